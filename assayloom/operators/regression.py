@@ -28,8 +28,9 @@ def r2(y_true: Column, y_pred: Column) -> Column:
 
 
 def squared_correlation(y_true: Column, y_pred: Column) -> Column:
-    """Squared Pearson correlation. Unlike R², it does not see a bias or a scale error."""
-    return F.pow(F.corr(y_true, y_pred), F.lit(2))
+    """Squared Pearson correlation, null if a side is constant. Unlike R², it does not see a bias or a scale error."""
+    together = F.covar_pop(y_true, y_pred)
+    return F.try_divide(together * together, F.var_pop(y_true) * F.var_pop(y_pred))
 
 
 def regression_metrics(
@@ -177,6 +178,5 @@ def residual_profile(df: DataFrame, buckets: int = 20) -> DataFrame:
 def residual_bias(df: DataFrame) -> DataFrame:
     """One row: slope of the residual over the true value (1 = predictions do not follow the target, 0 = no bias)."""
     residual = F.col("y_true") - F.col("y_pred")
-    return df.agg(
-        F.regr_slope(residual, F.col("y_true")).alias("residual_slope"), F.avg(residual).alias("mean_residual")
-    )
+    slope = F.try_divide(F.covar_pop(residual, F.col("y_true")), F.var_pop("y_true"))
+    return df.agg(slope.alias("residual_slope"), F.avg(residual).alias("mean_residual"))
