@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators.ordered import ONE_TASK_ROWS, previous_values, running
+from assayloom.staging import stage
 
 
 def _cell(y_true: str, y_pred: str, t: int, p: int) -> Column:
@@ -56,7 +57,11 @@ def cumulative_positives(
 ) -> DataFrame:
     """``score, positives, negatives, tp, fp``: counts of rows scored at or above each distinct score."""
     outputs = {"tp": ("sum", "positives"), "fp": ("sum", "negatives")}
-    return running(positives_by_score(df, y_true, score), [], ["-score"], outputs, one_task_rows=one_task_rows)
+    by_score = positives_by_score(df, y_true, score)
+    rows = df.count()
+    if rows > one_task_rows:
+        by_score = stage(by_score, "scores")
+    return running(by_score, [], ["-score"], outputs, one_task_rows, most_rows=rows)
 
 
 def roc_auc(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
@@ -90,5 +95,5 @@ def roc_curve(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_T
 
 def area_under(points: DataFrame, x: str, y: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """One row ``area``: trapezoids under the points taken in ascending (x, y) order."""
-    stepped = previous_values(points.select(x, y), [x, y], {"_x": x, "_y": y}, one_task_rows)
+    stepped = previous_values(stage(points.select(x, y), "points"), [x, y], {"_x": x, "_y": y}, one_task_rows)
     return stepped.agg(F.sum((F.col(x) - F.col("_x")) * (F.col(y) + F.col("_y")) / 2).alias("area"))

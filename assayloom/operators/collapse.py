@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.ordered import join_null_safe, largest_group, rows_at_ranks
+from assayloom.operators.ordered import ONE_TASK_ROWS, join_null_safe, largest_group, rows_at_ranks
 from assayloom.staging import stage
 
-# Most values per key that the exact aggregate may hold in memory.
-IN_MEMORY_VALUES = 100_000
-
 
 def collapse_duplicates(
     df: DataFrame,
@@ -20,21 +17,31 @@ def collapse_duplicates(
     value: str,
     first: Sequence[str],
     order: Sequence[str],
-    in_memory_values: int = IN_MEMORY_VALUES,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row per key: ``n``, the exact median of ``value`` and the ``first`` columns of the row first in ``order``.
 
     Clean ``value`` before (no NaN): Spark sorts NaN last where other tools skip it. Nulls are skipped.
-    ``order`` has to be unique per row. The built-in median keeps all values of a key in memory, so it is used only when
-    the largest key is small. Otherwise equal (key, value) pairs are counted first and the middle ranks are selected
-    from range-partitioned chunks.
+    ``order`` has to be unique per row. Small keys take one shuffle: a window numbers the sorted values of a key, and the
+    aggregate reuses its partitioning. It spills, where the built-in median holds all values of a key in memory. If a
+    key is too large for one task, equal (key, value) pairs are counted first and the middle ranks are selected from
+    range-partitioned chunks.
     """
     firsts = F.struct(*order, *[c for c in first if c not in order])
-    if largest_group(df, keys) <= in_memory_values:
-        collapsed = df.groupBy(*keys).agg(
+    median = f"median_{value}"
+    if largest_group(df, keys) <= one_task_rows:
+        by_key = Window.partitionBy(*keys)
+        placed = df.select(*keys, F.col(value).alias("_value"), firsts.alias("_first")).withColumns(
+            {
+                "_place": F.row_number().over(by_key.orderBy(F.col("_value").asc_nulls_last())),
+                "_valued": F.count("_value").over(by_key),
+            }
+        )
+        middle = F.expr("_place = (_valued + 1) div 2 or _place = _valued div 2 + 1")
+        collapsed = placed.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
-            F.median(value).alias(f"median_{value}"),
-            F.min(firsts).alias("_first"),
+            F.avg(F.when(middle, F.col("_value"))).alias(median),
+            F.min("_first").alias("_first"),
         )
     else:
         counted = stage(
@@ -47,14 +54,12 @@ def collapse_duplicates(
         ranks = per_key.where("_valued > 0").select(*keys, middle.alias("ranks"))
         present = counted.where(F.col(value).isNotNull()).drop("_first")
         medians = (
-            rows_at_ranks(present, keys, [value], ranks, "_weight", one_task_rows=in_memory_values)
+            rows_at_ranks(present, keys, [value], ranks, "_weight", one_task_rows)
             .groupBy(*keys)
-            .agg(F.avg(value).alias(f"median_{value}"))
+            .agg(F.avg(value).alias(median))
         )
         # One row per key on both sides; keys without any value keep a null median.
         have = join_null_safe(per_key, medians, keys)
-        bare = per_key.where("_valued is null").withColumn(f"median_{value}", F.lit(None).cast("double"))
+        bare = per_key.where("_valued is null").withColumn(median, F.lit(None).cast("double"))
         collapsed = have.unionByName(bare)
-    return collapsed.select(
-        *keys, "n", f"median_{value}", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in first]
-    )
+    return collapsed.select(*keys, "n", median, *[F.col(f"_first.{c}").alias(f"first_{c}") for c in first])

@@ -10,7 +10,8 @@ the plain window. Beyond it they
 4. run the window inside each (keys, chunk) only, adding the offset.
 
 Order columns are given by name, with a leading ``-`` for descending. The order has to be total for the result to be
-unique. Null keys form a group of their own.
+unique. Null keys form a group of their own. A caller that already knows a bound of the group size gives it as
+``most_rows`` and saves the count. The input is read more than once: stage it first if it is dear to compute.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assayloom.staging import stage
 
@@ -27,10 +29,22 @@ _CHUNK = "_chunk"
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; map-side counts keep this one small shuffle."""
+    """An upper bound of the rows in the largest group; map-side counts keep this one small shuffle.
+
+    Text keys are counted by their 64-bit hash, so the shuffle carries no text. Keys that share a hash only raise the bound.
+    """
     if not keys:
         return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    has_text = any(isinstance(df.schema[k].dataType, StringType) for k in keys)
+    counted = df.groupBy(F.xxhash64(*keys)) if has_text else df.groupBy(*keys)
+    return counted.count().agg(F.max("count")).first()[0] or 0
+
+
+def fits_one_task(df: DataFrame, keys: Sequence[str], one_task_rows: int, most_rows: int | None) -> bool:
+    """Whether every group is small enough for a plain window; ``most_rows`` is a bound the caller already knows."""
+    if most_rows is not None and most_rows <= one_task_rows:
+        return True
+    return largest_group(df, keys) <= one_task_rows
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:
@@ -70,13 +84,14 @@ def running(
     order: Sequence[str],
     outputs: Mapping[str, tuple[str, str]],
     one_task_rows: int = ONE_TASK_ROWS,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Add running aggregates per key.
 
     ``outputs`` maps a new column to ``(kind, column)``. Kinds are ``sum`` and ``max``, which include the current row,
     and ``max_before``, which stops before it and is null on a group's first row.
     """
-    if largest_group(df, keys) <= one_task_rows:
+    if fits_one_task(df, keys, one_task_rows, most_rows):
         return df.withColumns(
             {
                 name: _aggregate(kind, column).over(_window(keys, order, _through(kind)))
@@ -114,9 +129,10 @@ def previous_values(
     order: Sequence[str],
     outputs: Mapping[str, str],
     one_task_rows: int = ONE_TASK_ROWS,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Add, for every row of the whole ordered table, a column's value in the row before it (ascending order only)."""
-    if df.count() <= one_task_rows:
+    if fits_one_task(df, [], one_task_rows, most_rows):
         window = Window.orderBy(*sort_columns(order))
         return df.withColumns({name: F.lag(column).over(window) for name, column in outputs.items()})
     rows = _chunked(df, [], order)
@@ -144,6 +160,7 @@ def rows_at_ranks(
     ranks: DataFrame | Sequence[int],
     weight: str | None = None,
     one_task_rows: int = ONE_TASK_ROWS,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """The rows that hold given 1-based ranks in their group, with the rank in a ``rank`` column.
 
@@ -161,7 +178,7 @@ def rows_at_ranks(
         held = F.filter("ranks", lambda r: (F.col("_upto") - F.col(weight) < r) & (r <= F.col("_upto")))
         return rows_with_ranks.withColumn("rank", F.explode(held)).drop("ranks", "_upto", "_weight")
 
-    if largest_group(df, keys) <= one_task_rows:
+    if fits_one_task(df, keys, one_task_rows, most_rows):
         counted = rows.withColumn("_upto", F.sum(weight).over(_window(keys, order)))
         return hits(with_ranks(counted))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators.ordered import ONE_TASK_ROWS, rows_at_ranks
+from assayloom.staging import stage
 
 
 def with_residuals(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -78,16 +79,18 @@ def report_lines(df: DataFrame) -> DataFrame:
 # Histogram ----------------------------------------------------------------------------------------------------------
 
 
-def quartiles(df: DataFrame, column: str, one_task_rows: int = ONE_TASK_ROWS) -> tuple[float, float]:
-    """Exact linearly interpolated first and third quartile."""
+def quartiles(df: DataFrame, column: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> tuple[float, float]:
+    """Exact linearly interpolated first and third quartile of ``rows`` present values.
+
+    The built-in exact percentile gathers every distinct value in one place, so it serves small tables only.
+    """
+    if rows <= one_task_rows:
+        return tuple(df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))).first()[0])
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    rows = counts.agg(F.sum("_n")).first()[0]
     places = [(rows - 1) * q for q in (0.25, 0.75)]
     ranks = sorted({int(p) + step for p in places for step in (1, 2) if int(p) + step <= rows})
-    found = {
-        r["rank"]: r[column]
-        for r in rows_at_ranks(counts, [], [column], ranks, "_n", one_task_rows).select("rank", column).collect()
-    }
+    held = rows_at_ranks(stage(counts, "value-counts"), [], [column], ranks, "_n", one_task_rows)
+    found = {r["rank"]: r[column] for r in held.select("rank", column).collect()}
     values = []
     for p in places:
         low = found[int(p) + 1]
@@ -111,7 +114,7 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, one_task_rows
     if n == 0:
         return spark.createDataFrame([], "bin long, low double, high double, count long")
     if bins is None:
-        bins = bin_count(n, low, high, *quartiles(df, column, one_task_rows))
+        bins = bin_count(n, low, high, *quartiles(df, column, n, one_task_rows))
     width = (high - low) / bins or 1.0
     place = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     counts = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("_count"))

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from assayloom.operators.ordered import ONE_TASK_ROWS, rows_at_ranks, running
 from assayloom.operators.spread import HOT_ROWS, hot_keys_from_sizes, hot_limit, spread_join
@@ -22,8 +23,12 @@ SHARES = (8, 1, 1)
 
 
 def group_sizes(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """``group, size, first_row``: rows per group and the group's earliest row."""
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*order)).alias("first_row"))
+    """``group, size, first_row``: rows per group and the group's earliest row.
+
+    A single numeric order column keeps this a hash aggregate; several columns are compared as one struct, which sorts.
+    """
+    row = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min(row).alias("first_row"))
 
 
 def rank_in_size_class(groups: DataFrame, group: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
@@ -51,42 +56,49 @@ def fill_by_size(histogram: Iterable[tuple[int, int]], shares: Sequence[int] = S
 
 
 def assign_groups(
-    groups: DataFrame, group: str, shares: Sequence[int] = SHARES, one_task_rows: int = ONE_TASK_ROWS
+    groups: DataFrame,
+    group: str,
+    histogram: Sequence[tuple[int, int]],
+    shares: Sequence[int] = SHARES,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Add ``split`` to a staged table of group sizes."""
+    """Add ``split`` to a staged table of group sizes whose ``(size, groups)`` histogram is given."""
     spark = groups.sparkSession
-    histogram = groups.groupBy("size").count().collect()
-    filled = fill_by_size([(r["size"], r["count"]) for r in histogram], shares)
-    classes = spark.createDataFrame(filled, "size long, groups long, to_train long, to_valid long")
+    filled = fill_by_size(histogram, shares)
     # Classes that are cut inside: look up the last group on the near side of each cut.
-    cuts = [
-        (size, [r for r in sorted({a, a + b}) if 0 < r < n]) for size, n, a, b in filled
-    ]
+    cuts = [(size, [r for r in sorted({a, a + b}) if 0 < r < n]) for size, n, a, b in filled]
     cuts = [(size, ranks) for size, ranks in cuts if ranks]
+    marks = {}
     if cuts:
-        ranks = spark.createDataFrame(cuts, "size long, ranks array<long>")
-        cut_classes = groups.join(F.broadcast(ranks.select("size")), "size", "left_semi")
+        ranks = F.broadcast(spark.createDataFrame(cuts, "size long, ranks array<long>"))
         found = rows_at_ranks(
-            cut_classes, ["size"], ["-first_row", f"-{group}"], ranks, one_task_rows=one_task_rows
-        )
-        marks = found.select("size", "rank", F.struct("first_row", group).alias("mark"))
-        to_train = marks.select("size", F.col("rank").alias("to_train"), F.col("mark").alias("train_mark"))
-        to_both = marks.select("size", F.col("rank").alias("to_both"), F.col("mark").alias("both_mark"))
-        classes = (
-            classes.withColumn("to_both", F.col("to_train") + F.col("to_valid"))
-            .join(to_train, ["size", "to_train"], "left")
-            .join(to_both, ["size", "to_both"], "left")
-        )
-    else:
-        mark = F.lit(None).cast(f"struct<first_row:{groups.schema['first_row'].dataType.simpleString()},"
-                                f"{group}:{groups.schema[group].dataType.simpleString()}>")
-        classes = classes.withColumns(
-            {"to_both": F.col("to_train") + F.col("to_valid"), "train_mark": mark, "both_mark": mark}
+            groups.join(ranks.select("size"), "size", "left_semi"),
+            ["size"],
+            ["-first_row", f"-{group}"],
+            ranks,
+            one_task_rows=one_task_rows,
+            most_rows=max(n for _, n, _, _ in filled),
         )
+        # At most two rows per cut class.
+        marks = {(r["size"], r["rank"]): (r["first_row"], r[group]) for r in found.collect()}
+    classes = [
+        (size, a == n, a + b == n, marks.get((size, a)), marks.get((size, a + b))) for size, n, a, b in filled
+    ]
+    mark = StructType([groups.schema["first_row"], groups.schema[group]])
+    schema = StructType(
+        [
+            StructField("size", LongType()),
+            StructField("all_train", BooleanType()),
+            StructField("none_test", BooleanType()),
+            StructField("train_mark", mark),
+            StructField("both_mark", mark),
+        ]
+    )
+    classes = spark.createDataFrame(classes, schema)
     here = F.struct("first_row", group)
     split = (
-        F.when((F.col("to_train") == F.col("groups")) | (here >= F.col("train_mark")), SPLITS[0])
-        .when((F.col("to_both") == F.col("groups")) | (here >= F.col("both_mark")), SPLITS[1])
+        F.when(F.col("all_train") | (here >= F.col("train_mark")), SPLITS[0])
+        .when(F.col("none_test") | (here >= F.col("both_mark")), SPLITS[1])
         .otherwise(SPLITS[2])
     )
     # One row per size class: at most sqrt(2 * rows).
@@ -107,9 +119,11 @@ def group_split(
     """
     keyed = df.where(F.col(group).isNotNull())
     groups = stage(group_sizes(keyed, group, order), "group-sizes")
-    assigned = assign_groups(groups, group, shares, one_task_rows).select(group, "split")
-    rows = groups.agg(F.sum("size")).first()[0] or 0
-    hot = hot_keys_from_sizes(groups, [group], "size", hot_limit(rows, hot_rows))
+    histogram = [(r["size"], r["count"]) for r in groups.groupBy("size").count().collect()]
+    assigned = assign_groups(groups, group, histogram, shares, one_task_rows).select(group, "split")
+    limit = hot_limit(sum(size * count for size, count in histogram), hot_rows)
+    largest = max((size for size, _ in histogram), default=0)
+    hot = hot_keys_from_sizes(groups, [group], "size", limit) if largest > limit else None
     return spread_join(keyed, assigned, [group], spread_by=order, hot=hot)
 
 

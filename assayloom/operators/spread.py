@@ -23,9 +23,11 @@ def hot_limit(rows: int, hot_rows: int = HOT_ROWS) -> int:
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Hot keys with the number of sub-keys each gets, or None when there is none."""
-    limit = hot_limit(df.count(), hot_rows)
+    rows = df.count()
+    if rows <= hot_rows:
+        return None
     sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_keys_from_sizes(sizes, on, "_rows", limit)
+    return hot_keys_from_sizes(sizes, on, "_rows", hot_limit(rows, hot_rows))
 
 
 def hot_keys_from_sizes(sizes: DataFrame, on: Sequence[str], rows: str, limit: int) -> DataFrame | None:

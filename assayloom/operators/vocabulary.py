@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayloom.functions.text import MAX_TOKENS, RESERVED_IDS, UNKNOWN_ID, tokens, truncated
 from assayloom.operators.ordered import ONE_TASK_ROWS, running
 from assayloom.operators.spread import HOT_ROWS, hot_keys, spread_join
+from assayloom.staging import stage
 
 BROADCAST_TOKENS = 500_000
 
@@ -15,11 +16,12 @@ BROADCAST_TOKENS = 500_000
 def build_vocabulary(df: DataFrame, text: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """``token, uses, token_id`` over all tokens of all whole texts, the most used first, ties by token.
 
-    Ids start above the reserved ones (padding, unknown).
+    Ids start above the reserved ones (padding, unknown). The texts are read once; the staged counts are ordered.
     """
     used = df.select(F.explode(tokens(F.col(text))).alias("token"))
-    counted = used.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running(counted, [], ["-uses", "token"], {"_rank": ("sum", "_one")}, one_task_rows=one_task_rows)
+    counted = stage(used.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "token-counts")
+    one = F.lit(1).cast("long")
+    ranked = running(counted.withColumn("_one", one), [], ["-uses", "token"], {"_rank": ("sum", "_one")}, one_task_rows=one_task_rows)
     return ranked.select("token", "uses", (F.col("_rank") + (RESERVED_IDS - 1)).cast("int").alias("token_id"))
 
 
@@ -38,14 +40,14 @@ def encode_tokens(
     The regrouping shuffles ids, not text, and a group holds at most ``length`` of them. ``key`` is unique.
     """
     window = truncated(tokens(F.col(text)), length)
-    placed = df.select(key, F.posexplode(window).alias("_place", "token"))
+    # A text without tokens keeps one row with a null place; its stand-in token holds a space, so it is no word.
+    placed = df.select(key, F.posexplode_outer(window).alias("_place", "token"))
+    placed = placed.withColumn("token", F.coalesce("token", F.lit(" ")))
     ids = vocabulary.select("token", "token_id")
     if ids.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
         found = placed.join(F.broadcast(ids), "token", "left")
     else:
         found = spread_join(placed, ids, ["token"], [key, "_place"], "left", hot_keys(placed, ["token"], hot_rows))
     pair = F.struct("_place", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
-    encoded = found.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    with_ids = encoded.select(key, F.transform("_pairs", lambda p: p["id"]).alias("ids"))
-    empty = df.where(F.size(tokens(F.col(text))) <= 0).select(key, F.array().cast("array<int>").alias("ids"))
-    return with_ids.unionByName(empty)
+    pairs = F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), pair)))
+    return found.groupBy(key).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))

@@ -11,6 +11,7 @@ from assayloom.functions.numeric import LABEL_THRESHOLD, negative_log_molar, thr
 from assayloom.functions.text import canonical_key
 from assayloom.operators.collapse import collapse_duplicates
 from assayloom.operators.split import group_split
+from assayloom.staging import stage
 
 
 def keep_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -29,6 +30,15 @@ def with_canonical_key(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.withColumn(key, canonical_key(F.col(text))).where(F.col(key).isNotNull())
 
 
+def keyed_by_digest(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """``key_digest`` and the kept columns, staged: long texts are read once and never shuffled.
+
+    The digest is SHA-256 of the canonical key, so equal digests mean equal keys.
+    """
+    keyed = with_canonical_key(df, text, "_canonical")
+    return stage(keyed.select(F.sha2("_canonical", 256).alias("key_digest"), *keep), "digests")
+
+
 def curate(df: DataFrame, keys: Sequence[str], value: str, first: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Collapse to one row per key and add the log target ``y``."""
     collapsed = collapse_duplicates(df, keys, value, first, order)
@@ -48,5 +58,5 @@ def curate_and_split(
     """
     cleaned = with_canonical_key(clean_measurements(df, text, value), text, "canonical")
     first = [identifier, group] if identifier != group else [identifier]
-    curated = curate(cleaned, ["canonical"], value, first, order)
+    curated = stage(curate(cleaned, ["canonical"], value, first, order), "curated")
     return group_split(curated, f"first_{group}", ["canonical"])

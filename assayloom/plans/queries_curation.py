@@ -10,11 +10,11 @@ from assayloom.functions.text import canonical_key
 from assayloom.operators.collapse import collapse_duplicates
 from assayloom.operators.regression import regression_metrics
 from assayloom.operators.stopping import best_trial
-from assayloom.plans.curation import clean_measurements, curate, keep_complete, with_canonical_key, with_label
+from assayloom.plans.curation import clean_measurements, curate, keep_complete, keyed_by_digest, with_label
 from assayloom.plans.queries_evaluation import price_predictions
 from assayloom.sinks.files import append_metrics, write_csv, write_parameters, write_records
 from assayloom.sources.files import METRICS_SCHEMA, read_csv, read_parameters, read_records, with_defaults
-from assayloom.sources.tables import MissingInput, filtered_scan, result_size, scan, table
+from assayloom.sources.tables import MissingInput, dealt_out, filtered_scan, result_size, scan, table
 from assayloom.staging import fresh_path
 
 RETURNED = {"l_returnflag": "R", "l_linestatus": "F"}
@@ -55,15 +55,18 @@ def numeric_rows_only(spark: SparkSession, sf: str) -> DataFrame:
     return keep_complete(coerced_values(spark, sf), ["number"]).withColumnRenamed("number", "standard_value")
 
 
+def document_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt_out(table(spark, sf, "documents").select("doc_id", "n_chars", "text"))
+
+
 def canonical_texts(spark: SparkSession, sf: str) -> DataFrame:
     key = canonical_key(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(key).alias("key_digest"), F.length(key).alias("key_chars"))
+    return document_texts(spark, sf).select("doc_id", F.md5(key).alias("key_digest"), F.length(key).alias("key_chars"))
 
 
 def collapsed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    keyed = with_canonical_key(table(spark, sf, "documents"), "text", "canonical")
-    collapsed = collapse_duplicates(keyed, ["canonical"], "n_chars", ["doc_id"], ["doc_id"])
-    return collapsed.select(F.md5("canonical").alias("key_digest"), "n", "median_n_chars", "first_doc_id")
+    keyed = keyed_by_digest(document_texts(spark, sf), "text", ["doc_id", "n_chars"])
+    return collapse_duplicates(keyed, ["key_digest"], "n_chars", ["doc_id"], ["doc_id"])
 
 
 def curated_prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +197,7 @@ ORACLE = {
     "canonical_texts": f"""
         SELECT doc_id, md5({_CANONICAL}) AS key_digest, length({_CANONICAL})::INT AS key_chars FROM documents""",
     "collapsed_documents": f"""
-        SELECT md5({_CANONICAL}) AS key_digest, count(*) AS n, median(n_chars) AS median_n_chars,
+        SELECT sha256({_CANONICAL}) AS key_digest, count(*) AS n, median(n_chars) AS median_n_chars,
                min(doc_id) AS first_doc_id
         FROM documents WHERE {_CANONICAL} IS NOT NULL GROUP BY {_CANONICAL}""",
     "curated_prices": f"SELECT *, (y >= 4.6)::INT AS label FROM ({_CURATED})",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from assayloom.functions import requests, text, vectors
 from assayloom.operators.vocabulary import build_vocabulary, encode_tokens
 from assayloom.sources.tables import dealt_out, table
-from assayloom.staging import stage
 from assayloom.streaming.scoring import accepted, check_vectors, read_requests, rejected
 
 LEAST_TOKENS = 8
@@ -42,8 +41,7 @@ def token_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as ids of the document vocabulary; words that documents lack are unknown."""
     turns = texts(spark, sf, "conversations", "conv_id", "turn")
     keyed = turns.select(F.struct("conv_id", "turn").alias("place"), "text")
-    words = stage(build_vocabulary(texts(spark, sf, "documents"), "text"), "vocabulary")
-    encoded = encode_tokens(keyed, "place", "text", words)
+    encoded = encode_tokens(keyed, "place", "text", vocabulary(spark, sf))
     return encoded.select("place.conv_id", "place.turn", F.size("ids").alias("length"), F.md5(joined(F.col("ids"))).alias("ids_digest"))
 
 

@@ -36,7 +36,7 @@ def orders_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def orders_group_sizes(spark: SparkSession, sf: str) -> DataFrame:
     sizes = group_sizes(table(spark, sf, "orders"), "o_custkey", ["o_orderkey"])
-    return sizes.select("o_custkey", "size", F.col("first_row.o_orderkey").alias("first_order"))
+    return sizes.select("o_custkey", "size", F.col("first_row").alias("first_order"))
 
 
 def orders_class_ranks(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_collapse(spark, limit):
             ("gap", 1.0, 5), ("gap", None, 6), ("gap", 3.0, 7), ("none", None, 9), ("none", None, 8)]
     rows += [("hot", float((i * 37) % 101), 100 + i) for i in range(200)]
     frame = spark.createDataFrame(rows, "k string, v double, id int").repartition(5)
-    result = collapse_duplicates(frame, ["k"], "v", ["id"], ["id"], in_memory_values=limit).collect()
+    result = collapse_duplicates(frame, ["k"], "v", ["id"], ["id"], one_task_rows=limit).collect()
     found = {r["k"]: (r["n"], r["median_v"], r["first_id"]) for r in result}
     hot = statistics.median(r[1] for r in rows if r[0] == "hot")
     assert found == {

@@ -103,7 +103,7 @@ def test_histogram(spark, limit):
         low = int(place)
         return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low)
 
-    assert R.quartiles(frame, "residual", limit) == pytest.approx((quartile(0.25), quartile(0.75)))
+    assert R.quartiles(frame, "residual", len(values), limit) == pytest.approx((quartile(0.25), quartile(0.75)))
     bins = R.histogram(frame, "residual", one_task_rows=limit).orderBy("bin").collect()
     assert sum(r["count"] for r in bins) == len(values)
     assert bins[0]["low"] == min(values) and bins[-1]["high"] == pytest.approx(max(values))
