@@ -58,10 +58,7 @@ def cumulative_positives(
     """``score, positives, negatives, tp, fp``: counts of rows scored at or above each distinct score."""
     outputs = {"tp": ("sum", "positives"), "fp": ("sum", "negatives")}
     by_score = positives_by_score(df, y_true, score)
-    rows = df.count()
-    if rows > one_task_rows:
-        by_score = stage(by_score, "scores")
-    return running(by_score, [], ["-score"], outputs, one_task_rows, most_rows=rows)
+    return running(by_score, [], ["-score"], outputs, one_task_rows, most_rows=df.count())
 
 
 def roc_auc(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact running totals and order statistics without a one-task window.
 
 Spark sends every row of a window partition to one task. That is right for small groups and wrong for a group, or an
-ungrouped table, of unbounded size. The functions here count the largest group first. Up to ``one_task_rows`` they use
-the plain window. Beyond it they
+ungrouped table, of unbounded size. The functions here count first. Groups of up to ``one_task_rows`` rows take the plain
+window. For larger ones they
 
 1. range-partition by (keys, order), so a big group spans many partitions, and stage the result with its chunk number,
 2. total each (keys, chunk), at most #keys + #chunks rows,
@@ -20,8 +20,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from assayloom.operators.spread import counting_keys, hot_keys, part_by_heat
 from assayloom.staging import stage
 
 ONE_TASK_ROWS = 1_000_000
@@ -29,21 +29,16 @@ _CHUNK = "_chunk"
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """An upper bound of the rows in the largest group; map-side counts keep this one small shuffle.
-
-    Text keys are counted by their 64-bit hash, so the shuffle carries no text. Keys that share a hash only raise the bound.
-    """
+    """An upper bound of the rows in the largest group; map-side counts keep this one small shuffle."""
     if not keys:
         return df.count()
-    has_text = any(isinstance(df.schema[k].dataType, StringType) for k in keys)
-    counted = df.groupBy(F.xxhash64(*keys)) if has_text else df.groupBy(*keys)
-    return counted.count().agg(F.max("count")).first()[0] or 0
+    return df.groupBy(*counting_keys(df, keys)).count().agg(F.max("count")).first()[0] or 0
 
 
 def fits_one_task(df: DataFrame, keys: Sequence[str], one_task_rows: int, most_rows: int | None) -> bool:
     """Whether every group is small enough for a plain window; ``most_rows`` is a bound the caller already knows."""
-    if most_rows is not None and most_rows <= one_task_rows:
-        return True
+    if most_rows is not None and (not keys or most_rows <= one_task_rows):
+        return most_rows <= one_task_rows
     return largest_group(df, keys) <= one_task_rows
 
 
@@ -91,14 +86,30 @@ def running(
     ``outputs`` maps a new column to ``(kind, column)``. Kinds are ``sum`` and ``max``, which include the current row,
     and ``max_before``, which stops before it and is null on a group's first row.
     """
-    if fits_one_task(df, keys, one_task_rows, most_rows):
-        return df.withColumns(
-            {
-                name: _aggregate(kind, column).over(_window(keys, order, _through(kind)))
-                for name, (kind, column) in outputs.items()
-            }
-        )
+    if not keys or most_rows is not None:
+        small = fits_one_task(df, keys, one_task_rows, most_rows)
+        return (_running_plain if small else _running_chunked)(df, keys, order, outputs)
+    hot = hot_keys(df, keys, one_task_rows)
+    if hot is None:
+        return _running_plain(df, keys, order, outputs)
+    others, hot_rows = part_by_heat(df, keys, hot)
+    return _running_plain(others, keys, order, outputs).unionByName(_running_chunked(hot_rows, keys, order, outputs))
+
+
+def _running_plain(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    return df.withColumns(
+        {
+            name: _aggregate(kind, column).over(_window(keys, order, _through(kind)))
+            for name, (kind, column) in outputs.items()
+        }
+    )
+
 
+def _running_chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str]]
+) -> DataFrame:
     rows = _chunked(df, keys, order)
     totals = rows.groupBy(*keys, _CHUNK).agg(
         *[_aggregate(kind, column).alias(f"_in_{name}") for name, (kind, column) in outputs.items()]

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators.ordered import ONE_TASK_ROWS, rows_at_ranks
-from assayloom.staging import stage
 
 
 def with_residuals(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -89,7 +88,7 @@ def quartiles(df: DataFrame, column: str, rows: int, one_task_rows: int = ONE_TA
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     places = [(rows - 1) * q for q in (0.25, 0.75)]
     ranks = sorted({int(p) + step for p in places for step in (1, 2) if int(p) + step <= rows})
-    held = rows_at_ranks(stage(counts, "value-counts"), [], [column], ranks, "_n", one_task_rows)
+    held = rows_at_ranks(counts, [], [column], ranks, "_n", one_task_rows, most_rows=rows)
     found = {r["rank"]: r[column] for r in held.select("rank", column).collect()}
     values = []
     for p in places:

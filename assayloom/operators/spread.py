@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HOT_ROWS = 1_000_000
 MOST_HOT_KEYS = 2_000
@@ -21,23 +22,43 @@ def hot_limit(rows: int, hot_rows: int = HOT_ROWS) -> int:
     return max(hot_rows, rows // MOST_HOT_KEYS)
 
 
+def counting_keys(df: DataFrame, on: Sequence[str]) -> list[Column]:
+    """Columns to count group sizes by: the keys, or their 64-bit hash when text would have to be shuffled."""
+    has_text = any(isinstance(df.schema[k].dataType, StringType) for k in on)
+    return [F.xxhash64(*on).alias("_hash")] if has_text else [F.col(k) for k in on]
+
+
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Hot keys with the number of sub-keys each gets, or None when there is none."""
     rows = df.count()
     if rows <= hot_rows:
         return None
-    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_keys_from_sizes(sizes, on, "_rows", hot_limit(rows, hot_rows))
+    limit = hot_limit(rows, hot_rows)
+    counted = counting_keys(df, on)
+    sizes = df.groupBy(*counted).agg(F.count(F.lit(1)).alias("_rows"))
+    if "_hash" in sizes.columns:
+        # Two keys can share a hash, so keys are only looked up, and counted one by one, under the hashes that are hot.
+        hashes = [r["_hash"] for r in sizes.where(F.col("_rows") > limit).select("_hash").collect()]
+        if not hashes:
+            return None
+        sizes = df.where(F.xxhash64(*on).isin(hashes)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return hot_keys_from_sizes(sizes, on, "_rows", limit)
 
 
 def hot_keys_from_sizes(sizes: DataFrame, on: Sequence[str], rows: str, limit: int) -> DataFrame | None:
-    hot = sizes.where(F.col(rows) > limit).select(*on, F.ceil(F.col(rows) / F.lit(limit)).cast("int").alias(_COPIES))
+    copies = F.ceil(F.col(rows) / F.lit(max(limit, 1))).cast("int").alias(_COPIES)
+    hot = sizes.where(F.col(rows) > limit).select(*on, copies)
     found = hot.collect()
-    return df_from_rows(hot, found) if found else None
+    return hot.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
-def df_from_rows(like: DataFrame, rows: list) -> DataFrame:
-    return like.sparkSession.createDataFrame(rows, like.schema)
+def part_by_heat(df: DataFrame, on: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of all other keys, and rows of the hot keys; null keys take part like any key."""
+    marked = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in on]))
+    same = F.lit(True)
+    for k in on:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    return df.join(marked, same, "left_anti"), df.join(marked, same, "left_semi")
 
 
 def spread_join(

@@ -19,7 +19,7 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "k string, v int, id int, w int").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
+@pytest.mark.parametrize("limit", [0, 90, 10_000])
 def test_running(spark, limit):
     rows = random_rows(1)
     outputs = {"total": ("sum", "w"), "high": ("max", "w"), "high_before": ("max_before", "w")}
