@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import classification, regression, stopping
 from assayloom.operators.alignment import aligned_join
+from assayloom.plans.training import CLASSIFICATION
+from assayloom.sinks.files import append_metrics
+from assayloom.sources.files import CLASS_METRICS_SCHEMA, read_records
 from assayloom.sources.tables import table
+from assayloom.staging import fresh_path
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -116,6 +120,14 @@ def area_under_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(classification.area_under(curve, "fpr", "tpr"))
 
 
+def class_runs_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates and area of the urgency score as one record appended to a metrics table and read back."""
+    orders = urgency(spark, sf).withColumn("predicted_probability", F.col("score"))
+    path = fresh_path(spark, "class-runs")
+    append_metrics(CLASSIFICATION.metrics(orders).withColumn("run", F.lit("urgency")), path)
+    return rounded(read_records(spark, path, CLASS_METRICS_SCHEMA))
+
+
 def patience_stops(spark: SparkSession, sf: str) -> DataFrame:
     return stopping.early_stops(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", most_epochs=100)
 
@@ -146,6 +158,7 @@ QUERIES = {
     "roc_auc": roc_auc,
     "roc_curve": roc_curve,
     "area_under_curve": area_under_curve,
+    "class_runs_table": class_runs_table,
     "patience_stops": patience_stops,
     "round_stops": round_stops,
     "best_epochs": best_epochs,
@@ -194,6 +207,14 @@ def _stops_sql(patience: int, sign: str, most: str) -> str:
         JOIN better b ON b.user_id = l.user_id AND b.pos = coalesce(s.best_epoch, l.last_epoch)"""
 
 
+_RATES = """
+  round(avg((y = yhat)::INT), 6) AS accuracy, round(sum(y * yhat) / sum(yhat), 6) AS precision,
+  round(sum(y * yhat) / sum(y), 6) AS recall, round(2 * sum(y * yhat) / (sum(y) + sum(yhat)), 6)"""
+
+_AUC = f"""
+  SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc
+  FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM ({_ORDERS}))"""
+
 ORACLE = {
     "line_residuals": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(e, 6) AS residual, round(abs(e), 6) AS absolute_error
@@ -245,15 +266,11 @@ ORACLE = {
         SELECT g.t AS true, g.p AS predicted, count(o.y) AS count
         FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(t, p) LEFT JOIN ({_ORDERS}) o ON o.y = g.t AND o.yhat = g.p
         GROUP BY g.t, g.p""",
-    "classification_metrics": f"""
-        SELECT round(avg((y = yhat)::INT), 6) AS accuracy,
-               round(sum(y * yhat) / sum(yhat), 6) AS precision, round(sum(y * yhat) / sum(y), 6) AS recall,
-               round(2 * sum(y * yhat) / (sum(y) + sum(yhat)), 6) AS f1
-        FROM ({_ORDERS})""",
+    "classification_metrics": f"SELECT {_RATES} AS f1 FROM ({_ORDERS})",
+    "class_runs_table": f"""
+        SELECT 'urgency' AS run, {_RATES} AS "f1-score", ({_AUC}) AS "ROC-AUC" FROM ({_ORDERS})""",
     "cumulative_positives": f"SELECT s AS score, positives, negatives, tp, fp FROM ({_CURVE})",
-    "roc_auc": f"""
-        SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc
-        FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM ({_ORDERS}))""",
+    "roc_auc": _AUC,
     "roc_curve": f"""
         SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL
         SELECT s, round(fp / (SELECT sum(1 - y) FROM ({_ORDERS})), 6),

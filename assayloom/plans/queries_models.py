@@ -11,15 +11,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.functions.numeric import threshold_label
-from assayloom.functions.vectors import positive_probability
+from assayloom.functions.numeric import negative_log_molar, threshold_label
+from assayloom.functions.text import canonical_key
 from assayloom.learning import boosting, search
 from assayloom.learning.encoding import encode_texts
-from assayloom.operators.classification import roc_auc
-from assayloom.operators.regression import regression_metrics
+from assayloom.learning.features import with_fingerprint_vector
 from assayloom.operators.split import group_split
-from assayloom.operators.stopping import best_trial
+from assayloom.plans.training import CLASSIFICATION, REGRESSION, train_and_evaluate, tune
 from assayloom.sinks.files import save_model
+from assayloom.sources.files import read_parameters
 from assayloom.sources.models import load_model
 from assayloom.sources.tables import dealt_out, table
 from assayloom.staging import fresh_path, stage
@@ -52,8 +52,12 @@ def _staged_split(application: str, spark: SparkSession, sf: str) -> DataFrame:
     return stage(group_split(vectors(spark, sf), "vec_id", ["vec_id"]), "split-vectors")
 
 
+def split_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return boosting.with_vector(_staged_split(spark.sparkContext.applicationId, spark, sf))
+
+
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    split = boosting.with_vector(_staged_split(spark.sparkContext.applicationId, spark, sf))
+    split = split_vectors(spark, sf)
     train, valid, test = (split.where(F.col("split") == s) for s in ("train", "valid", "test"))
     return train, valid, test
 
@@ -74,19 +78,29 @@ def saved_models(spark: SparkSession, sf: str) -> PipelineModel:
 
 
 def regression_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, test = parts(spark, sf)
-    predicted = boosting.regressor(SMALL_TREES).fit(train).transform(test)
-    residual = F.col("y") - F.col("y_pred")
-    return predicted.select("vec_id", F.col("y").alias("y_true"), "y_pred", residual.alias("residual"))
+    """Held-out predictions of a regressor on vectors, with their identifiers and residuals."""
+    rows = split_vectors(spark, sf)
+    predictions, _ = train_and_evaluate(rows, REGRESSION, SMALL_TREES, "vec_id", patience=3)
+    return predictions
 
 
 def class_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, test = parts(spark, sf)
-    predicted = boosting.classifier(SMALL_TREES).fit(train).transform(test)
-    chance = positive_probability(F.col("probability"))
-    return predicted.select(
-        "vec_id", F.col("label").alias("true"), F.col("predicted").cast("int"), chance.alias("predicted_probability")
+    """Held-out classes and probabilities of a classifier on vectors."""
+    rows = split_vectors(spark, sf)
+    predictions, _ = train_and_evaluate(rows, CLASSIFICATION, SMALL_TREES, "vec_id", patience=3)
+    return predictions
+
+
+def fingerprint_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """A regressor on text fingerprints for the log text length; copies of a text never span two splits."""
+    documents = dealt_out(table(spark, sf, "documents").select("doc_id", "n_chars", "text"))
+    target = negative_log_molar(F.col("n_chars").cast("double"))
+    described = with_fingerprint_vector(documents, "text").select(
+        "doc_id", "vector", target.alias("y"), F.sha2(canonical_key(F.col("text")), 256).alias("digest")
     )
+    rows = group_split(stage(described, "fingerprints"), "digest", ["doc_id"])
+    predictions, _ = train_and_evaluate(stage(rows, "split-fingerprints"), REGRESSION, SMALL_TREES, "doc_id", patience=3)
+    return predictions
 
 
 def stopped_rounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,34 +111,18 @@ def stopped_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "round int, validation_loss double, kept boolean")
 
 
-def trials(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger of a seeded search for the classifier, scored by exact validation AUC."""
-    train, valid, _ = parts(spark, sf)
-
-    def objective(params: dict) -> float:
-        fit = boosting.fit_with_stopping(boosting.classifier, params, train, valid, patience=3)
-        scored = fit.model.transform(valid).withColumn("score", positive_probability(F.col("probability")))
-        return roc_auc(scored, "label", "score").first()["auc"]
-
-    return search.run_trials(search.draw_trials(spark, SEARCH_SPACE, 3, seed=42), objective)
-
-
 def search_trials(spark: SparkSession, sf: str) -> DataFrame:
-    return trials(spark, sf).select("trial", "params.*", "score")
+    """The ledger of a seeded search for the classifier, scored by exact validation AUC."""
+    ledger = tune(split_vectors(spark, sf), CLASSIFICATION, SEARCH_SPACE, 3, "vec_id", patience=3)
+    return ledger.select("trial", "params.*", "score")
 
 
 def refit_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Search for the regressor by validation RMSE, refit with the winner, and evaluate on the held-out split."""
-    train, valid, test = parts(spark, sf)
-
-    def objective(params: dict) -> float:
-        fit = boosting.fit_with_stopping(boosting.regressor, params, train, valid, patience=3)
-        return regression_metrics(fit.model.transform(valid), "y", "y_pred").first()["rmse"]
-
-    ledger = search.run_trials(search.draw_trials(spark, SEARCH_SPACE, 2, seed=7), objective)
-    winner = best_trial(ledger).first()["params"].asDict()
-    fit = boosting.fit_with_stopping(boosting.regressor, winner, train, valid, patience=3)
-    return regression_metrics(fit.model.transform(test), "y", "y_pred").withColumn("rounds", F.lit(fit.rounds))
+    """Search for the regressor by validation RMSE, refit with the saved winner, and evaluate on the held-out split."""
+    rows, path = split_vectors(spark, sf), fresh_path(spark, "winner")
+    tune(rows, REGRESSION, SEARCH_SPACE, 2, "vec_id", path, seed=7, patience=3)
+    _, record = train_and_evaluate(rows, REGRESSION, read_parameters(spark, path), "vec_id", patience=3)
+    return record.drop("best_params")
 
 
 def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,6 +158,7 @@ def request_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "regression_predictions": regression_predictions,
     "class_predictions": class_predictions,
+    "fingerprint_predictions": fingerprint_predictions,
     "stopped_rounds": stopped_rounds,
     "search_trials": search_trials,
     "refit_metrics": refit_metrics,

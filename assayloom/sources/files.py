@@ -21,6 +21,9 @@ PARAMETERS_SCHEMA = (
     "min_child_weight INT"
 )
 METRICS_SCHEMA = f"run STRING, rmse DOUBLE, r2 DOUBLE, best_params STRUCT<{PARAMETERS_SCHEMA}>"
+CLASS_METRICS_SCHEMA = (
+    "run STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, `f1-score` DOUBLE, `ROC-AUC` DOUBLE"
+)
 
 # Parameters of a regressor that was never tuned.
 DEFAULT_PARAMETERS = {"n_estimators": 1000, "learning_rate": 0.05, "max_depth": 6}

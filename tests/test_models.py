@@ -9,6 +9,10 @@ from assayloom.learning import boosting, search
 from assayloom.learning.encoding import encode_texts
 from assayloom.operators.regression import regression_metrics
 from assayloom.plans import queries_models as Q
+from assayloom.plans.analysis import analyse_classification_file, analyse_regression_file
+from assayloom.plans.training import CLASSIFICATION, REGRESSION, embed, train_and_evaluate
+from assayloom.sources.files import CLASS_METRICS_SCHEMA, read_records, read_vectors
+from assayloom.sources.models import load_model
 from assayloom.streaming.scoring import accepted, read_requests, rejected, run_stream, score
 
 
@@ -29,7 +33,7 @@ def test_predictions_keep_their_rows(spark, small, parts):
     expected = {r["vec_id"] for r in test.select("vec_id").collect()}
     for query in (Q.regression_predictions, Q.class_predictions):
         rows = query(spark, small).collect()
-        assert {r["vec_id"] for r in rows} == expected and len(rows) == len(expected)
+        assert {r["id"] for r in rows} == expected and len(rows) == len(expected)
     assert all(0 <= r["predicted_probability"] <= 1 and r["predicted"] in (0, 1) for r in rows)
 
 
@@ -113,3 +117,31 @@ def test_requests(spark):
     assert found['{"smiles":null}'][1] is not None
     assert found[None][1] == "not json"
     assert accepted(checked).count() == 2 and rejected(checked, "body").count() == 5
+
+
+def test_training_job_writes_everything(spark, small, tmp_path):
+    rows = Q.split_vectors(spark, small)
+    path = str(tmp_path)
+    predictions, record = train_and_evaluate(rows, CLASSIFICATION, Q.SMALL_TREES, "vec_id", path, "first", patience=3)
+    assert load_model(f"{path}/model").transform(rows).count() == 500
+    report = analyse_classification_file(spark, f"{path}/predictions")
+    saved = read_records(spark, f"{path}/metrics", CLASS_METRICS_SCHEMA).first()
+    assert saved["run"] == "first"
+    assert report["area"].first()["area"] == pytest.approx(saved["ROC-AUC"])
+    assert report["metrics"].first()["accuracy"] == pytest.approx(saved["accuracy"])
+    assert sum(r["count"] for r in report["confusion"].collect()) == predictions.count()
+
+
+def test_regression_job_and_report(spark, small, tmp_path):
+    rows = Q.split_vectors(spark, small)
+    predictions, record = train_and_evaluate(rows, REGRESSION, Q.SMALL_TREES, "vec_id", str(tmp_path), patience=3)
+    report = analyse_regression_file(spark, f"{tmp_path}/predictions")
+    assert report["metrics"].first()["rmse"] == pytest.approx(record.first()["rmse"])
+    assert report["worst"].count() == 5
+    assert sum(r["count"] for r in report["histogram"].collect()) == predictions.count()
+
+
+def test_embed_writes_one_folder_per_split(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a b", "train"), (2, "c", "test")], "id int, t string, split string")
+    embed(frame, "t", f"{tmp_path}/v")
+    assert [r["id"] for r in read_vectors(spark, f"{tmp_path}/v", "test").collect()] == [2]
