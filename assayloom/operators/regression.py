@@ -81,20 +81,21 @@ def report_lines(df: DataFrame) -> DataFrame:
 def quartiles(df: DataFrame, column: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> tuple[float, float]:
     """Exact linearly interpolated first and third quartile of ``rows`` present values.
 
-    The built-in exact percentile gathers every distinct value in one place, so it serves small tables only.
+    The built-in exact percentile gathers every distinct value in one place. Here at most four ranks are looked up; on a
+    large table equal values are counted first, so a value that fills a third of it is one row.
     """
-    if rows <= one_task_rows:
-        return tuple(df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))).first()[0])
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     places = [(rows - 1) * q for q in (0.25, 0.75)]
     ranks = sorted({int(p) + step for p in places for step in (1, 2) if int(p) + step <= rows})
-    held = rows_at_ranks(counts, [], [column], ranks, "_n", one_task_rows, most_rows=rows)
+    values, weight = df.where(F.col(column).isNotNull()).select(column), None
+    if rows > one_task_rows:
+        values, weight = values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "_n"
+    held = rows_at_ranks(values, [], [column], ranks, weight, one_task_rows, most_rows=rows)
     found = {r["rank"]: r[column] for r in held.select("rank", column).collect()}
-    values = []
+    between = []
     for p in places:
         low = found[int(p) + 1]
-        values.append(low + (found.get(int(p) + 2, low) - low) * (p - int(p)))
-    return values[0], values[1]
+        between.append(low + (found.get(int(p) + 2, low) - low) * (p - int(p)))
+    return between[0], between[1]
 
 
 def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
