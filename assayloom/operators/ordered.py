@@ -36,10 +36,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def fits_one_task(df: DataFrame, keys: Sequence[str], one_task_rows: int, most_rows: int | None) -> bool:
-    """Whether every group is small enough for a plain window; ``most_rows`` is a bound the caller already knows."""
-    if most_rows is not None and (not keys or most_rows <= one_task_rows):
-        return most_rows <= one_task_rows
-    return largest_group(df, keys) <= one_task_rows
+    """Whether every group is small enough for a plain window; a bound ``most_rows`` that the caller knows decides alone."""
+    return (largest_group(df, keys) if most_rows is None else most_rows) <= one_task_rows
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:

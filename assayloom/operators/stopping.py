@@ -9,33 +9,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.operators.ordered import ONE_TASK_ROWS, running
+from assayloom.operators.spread import hot_keys, part_by_heat
+
+
+def _log(logs: DataFrame, run: str, order: list[str], metric: str, larger_is_better: bool) -> DataFrame:
+    """Run, order and the metric turned so that larger is better; NaN becomes null, which never improves."""
+    signed = F.col(metric) if larger_is_better else -F.col(metric)
+    value = F.when(~F.isnan(signed), signed).cast("double")
+    return logs.select(run, *order, value.alias("_value"), F.lit(1).cast("long").alias("_one"))
 
 
 def improvements(
-    logs: DataFrame,
-    run: str,
-    order: list[str],
-    metric: str,
-    gap: float = 0.0,
-    larger_is_better: bool = True,
-    one_task_rows: int = ONE_TASK_ROWS,
+    log: DataFrame, run: str, order: list[str], gap: float, most_epochs: int | None, one_task_rows: int
 ) -> DataFrame:
     """``run, epoch, value`` of the epochs that beat the best so far by more than ``gap``; epochs count from 1.
 
     With a gap the best so far is not the running maximum. But an epoch that improves by more than the gap is always a
-    strict running maximum too, so the ordered walk only has to see those, a handful per run in practice.
+    strict running maximum too, so the ordered walk only sees those: a handful per run in practice, at most
+    ``most_epochs`` if that is given. The walk keeps one value in memory.
     """
-    signed = F.col(metric) if larger_is_better else -F.col(metric)
-    log = logs.select(run, *order, F.when(~F.isnan(signed), signed).alias("_value"), F.lit(1).cast("long").alias("_one"))
     outputs = {"epoch": ("sum", "_one"), "_best": ("max_before", "_value")}
     seen = running(log, [run], order, outputs, one_task_rows=one_task_rows)
-    records = seen.where(
-        F.col("_value").isNotNull() & (F.col("_best").isNull() | (F.col("_value") > F.col("_best")))
-    ).select(run, "epoch", F.col("_value").cast("double").alias("value"))
-    if gap > 0:
-        kept = records.repartition(run).sortWithinPartitions(run, "epoch")
-        records = kept.mapInPandas(_keep_gap(run, gap), records.schema)
-    return records if larger_is_better else records.withColumn("value", -F.col("value"))
+    if most_epochs is not None:
+        seen = seen.where(F.col("epoch") <= most_epochs)
+    higher = F.col("_best").isNull() | (F.col("_value") > F.col("_best"))
+    records = seen.where(F.col("_value").isNotNull() & higher).select(run, "epoch", F.col("_value").alias("value"))
+    walked = records.repartition(run).sortWithinPartitions(run, "epoch")
+    return walked.mapInPandas(_keep_gap(run, gap), records.schema)
 
 
 def _keep_gap(run: str, gap: float):
@@ -66,33 +66,70 @@ def early_stops(
 ) -> DataFrame:
     """``run, epochs, best_epoch, best_value, stop_epoch`` of each run under a patience rule.
 
-    A run stops at the epoch that is the ``patience``-th in a row without an improvement, and nothing after it counts.
-    ``stop_epoch`` is null for a run that ends before that. ``most_epochs`` is the trainer's own limit on epochs.
+    A run stops at the epoch that is the ``patience``-th in a row without an improvement by more than ``gap``, and nothing
+    after it counts. ``stop_epoch`` is null for a run that ends before that. ``most_epochs`` is the trainer's own limit.
     """
-    found = improvements(logs, run, order, metric, gap, larger_is_better, one_task_rows)
-    lengths = logs.groupBy(run).agg(F.count(F.lit(1)).alias("epochs"))
+    log = _log(logs, run, order, metric, larger_is_better)
+    decide = _stops_with_gap if gap > 0 else _stops_without_gap
+    found = decide(log, run, order, patience, gap, most_epochs, one_task_rows)
+    value = F.col("_at.value") if larger_is_better else -F.col("_at.value")
+    return found.select(
+        run,
+        "epochs",
+        F.when(F.col("_at.epoch") > 0, F.col("_at.epoch")).alias("best_epoch"),
+        value.alias("best_value"),
+        "stop_epoch",
+    )
+
+
+def _stops_without_gap(
+    log: DataFrame, run: str, order: list[str], patience: int, _: float, most_epochs: int | None, one_task_rows: int
+) -> DataFrame:
+    """Running maxima and one aggregate: no run has to fit one task."""
+    hot = hot_keys(log, [run], one_task_rows)
+    sides = [log] if hot is None else part_by_heat(log, [run], hot)
+    marked = []
+    for part, most_rows in zip(sides, (one_task_rows, one_task_rows + 1)):
+        numbered = running(part, [run], order, {"epoch": ("sum", "_one")}, one_task_rows, most_rows)
+        # The largest (value, -epoch) so far is the best value at its first epoch, which is the last improvement.
+        mark = F.when(F.col("_value").isNotNull(), F.struct("_value", (-F.col("epoch")).alias("_back")))
+        numbered = numbered.withColumn("_mark", mark)
+        marked.append(running(numbered, [run], order, {"_top": ("max", "_mark")}, one_task_rows, most_rows))
+    rows = marked[0] if hot is None else marked[0].unionByName(marked[1])
+    if most_epochs is not None:
+        rows = rows.where(F.col("epoch") <= most_epochs)
+    last = F.coalesce(-F.col("_top._back"), F.lit(0))
+    at = F.struct(last.alias("epoch"), F.col("_top._value").alias("value"))
+    here = F.struct(F.col("epoch").alias("now"), at.alias("at"))
+    merged = rows.groupBy(run).agg(
+        F.count(F.lit(1)).alias("epochs"),
+        F.min(F.when(F.col("epoch") - last >= patience, here)).alias("_stopped"),
+        F.max(here).alias("_last"),
+    )
+    return merged.select(
+        run, "epochs", F.coalesce("_stopped.at", "_last.at").alias("_at"), F.col("_stopped.now").alias("stop_epoch")
+    )
+
+
+def _stops_with_gap(
+    log: DataFrame, run: str, order: list[str], patience: int, gap: float, most_epochs: int | None, one_task_rows: int
+) -> DataFrame:
+    found = improvements(log, run, order, gap, most_epochs, one_task_rows)
+    lengths = log.groupBy(run).agg(F.count(F.lit(1)).alias("epochs"))
     if most_epochs is not None:
         lengths = lengths.withColumn("epochs", F.least("epochs", F.lit(most_epochs).cast("long")))
     starts = lengths.select(run, F.lit(0).cast("long").alias("epoch"), F.lit(None).cast("double").alias("value"))
     following = F.lead("epoch").over(Window.partitionBy(run).orderBy("epoch"))
     steps = starts.unionByName(found).withColumn("_next", following).join(lengths, run)
-    steps = steps.where(F.col("epoch") <= F.col("epochs"))
     stop = F.col("epoch") + patience
     stops = (F.col("_next").isNull() | (F.col("_next") > stop)) & (stop <= F.col("epochs"))
-    marked = steps.groupBy(run).agg(
-        F.first("epochs").alias("epochs"),
+    merged = steps.groupBy(run).agg(
+        F.max("epochs").alias("epochs"),
         F.min(F.when(stops, stop)).alias("stop_epoch"),
         F.min(F.when(stops, F.struct("epoch", "value"))).alias("_stopped"),
         F.max(F.struct("epoch", "value")).alias("_last"),
     )
-    best = F.coalesce("_stopped", "_last")
-    return marked.select(
-        run,
-        "epochs",
-        F.when(best["epoch"] > 0, best["epoch"]).alias("best_epoch"),
-        best["value"].alias("best_value"),
-        "stop_epoch",
-    )
+    return merged.select(run, "epochs", F.coalesce("_stopped", "_last").alias("_at"), "stop_epoch")
 
 
 def best_epochs(logs: DataFrame, run: str, epoch: str, metric: str, larger_is_better: bool = False) -> DataFrame:

@@ -61,5 +61,6 @@ def curate_and_split(
     """
     cleaned = with_canonical_key(clean_measurements(df, text, value), text, "canonical")
     first = [identifier, group] if identifier != group else [identifier]
+    cleaned = stage(cleaned.select("canonical", value, *dict.fromkeys([*first, *order])), "cleaned")
     curated = stage(curate(cleaned, ["canonical"], value, first, order), "curated")
     return group_split(curated, f"first_{group}", ["canonical"])

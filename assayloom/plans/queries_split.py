@@ -175,7 +175,8 @@ ORACLE = {
     "vector_alignment": """
         SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS left_only,
                (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS right_only,
-               0 AS repeated,
+               (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1 UNION
+                SELECT vec_id FROM embeddings GROUP BY vec_id HAVING count(*) > 1)) AS repeated,
                (SELECT count(*) FROM labels JOIN embeddings ON doc_id = vec_id) AS matched""",
     "predictions_with_ids": """
         SELECT o_orderkey, o_totalprice / 500000 AS y_pred,
