@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import LABEL_THRESHOLD, negative_log_molar, threshold_label, to_number
 from assayloom.functions.text import canonical_key
 from assayloom.operators.collapse import collapse_duplicates
-from assayloom.operators.split import group_split
+from assayloom.operators.split import group_split, split_sizes
+from assayloom.sinks.files import write_csv
+from assayloom.sources.files import RAW_SCHEMA, read_csv
+from assayloom.sources.tables import filtered_scan
 from assayloom.staging import stage
 
 
@@ -52,6 +56,36 @@ def with_label(df: DataFrame, threshold: float = LABEL_THRESHOLD) -> DataFrame:
     return df.withColumn("label", threshold_label(F.col("y"), threshold))
 
 
+def fetch(source: DataFrame, equals: Mapping[str, Any], path: str) -> None:
+    """Select records at the source, keep complete ones with a numeric value, and write them as the raw CSV."""
+    columns = [field.split()[0] for field in RAW_SCHEMA.split(", ")]
+    raw = filtered_scan(source, equals, columns)
+    write_csv(clean_measurements(raw, "canonical_smiles", "standard_value"), path)
+
+
+def process_and_split(
+    spark: SparkSession, raw_path: str, path: str, groups: DataFrame, group: str, key: str = "canonical_smiles"
+) -> DataFrame:
+    """The raw CSV as curated CSV rows ``id, smiles, pIC50`` in one folder per split; returns the rows per split.
+
+    ``groups`` maps the canonical key to its group; keys that it lacks form a group of their own.
+    """
+    raw = read_csv(spark, raw_path, RAW_SCHEMA)
+    cleaned = with_canonical_key(clean_measurements(raw, key, "standard_value"), key, "canonical")
+    order = ["molecule_chembl_id", "standard_value"]
+    narrow = stage(cleaned.select("canonical", *order), "cleaned")
+    curated = curate(narrow, ["canonical"], "standard_value", ["molecule_chembl_id"], order)
+    known = groups.select(F.col(key).alias("canonical"), F.col(group).alias("_group"))
+    grouped = curated.join(known, "canonical", "left").withColumn("_group", F.coalesce("_group", "canonical"))
+    split = group_split(stage(grouped, "curated"), "_group", ["canonical"])
+    named = split.select(
+        F.col("first_molecule_chembl_id").alias("id"), F.col("canonical").alias("smiles"), F.col("y").alias("pIC50"), "split"
+    )
+    written = stage(named, "split")
+    written.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("split").csv(path)
+    return split_sizes(written)
+
+
 def curate_and_split(
     df: DataFrame, text: str, value: str, identifier: str, group: str, order: Sequence[str]
 ) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from assayloom.functions.numeric import negative_log_molar, threshold_label, to_number
 from assayloom.functions.text import canonical_key
 from assayloom.operators.collapse import collapse_duplicates
-from assayloom.plans.curation import clean_measurements, curate_and_split
+from assayloom.plans.curation import clean_measurements, curate_and_split, fetch, process_and_split
+from assayloom.sources.files import SPLIT_SCHEMA, read_csv
 
 
 def test_coercion(spark):
@@ -67,3 +68,24 @@ def test_whole_job(spark):
     for r in rows:
         splits.setdefault(r["first_scaffold"], set()).add(r["split"])
     assert all(len(s) == 1 for s in splits.values())
+
+
+def test_fetch_then_split_files(spark, tmp_path):
+    rows = [(f"m{i:02}", f"C{i % 30}", str(10.0 * (i % 30 + 1)), "nM", "t1", "=") for i in range(60)]
+    rows += [("x1", None, "5", "nM", "t1", "="), ("x2", "CC", ">5", "nM", "t1", "="), ("x3", "CN", "5", "nM", "t2", "="),
+             ("x4", "CO", "5", "nM", "t1", ">")]
+    names = "molecule_chembl_id canonical_smiles standard_value standard_units target relation".split()
+    source = spark.createDataFrame(rows, " string, ".join(names) + " string")
+    fetch(source, {"target": "t1", "relation": "="}, f"{tmp_path}/raw")
+    scaffolds = spark.createDataFrame([(f"c{i}", f"s{i % 7}") for i in range(28)], "canonical_smiles string, scaffold string")
+    sizes = process_and_split(spark, f"{tmp_path}/raw", f"{tmp_path}/processed", scaffolds, "scaffold")
+    assert {r["split"]: r["rows"] for r in sizes.collect()} == {"train": 24, "valid": 2, "test": 4}
+    read = read_csv(spark, f"{tmp_path}/processed", SPLIT_SCHEMA).collect()
+    assert len(read) == 30
+    first = next(r for r in read if r["smiles"] == "c0")
+    assert (first["id"], first["pIC50"]) == ("m00", 8.0)
+    groups = {}
+    for r in read:
+        number = int(r["smiles"][1:])
+        groups.setdefault(f"s{number % 7}" if number < 28 else r["smiles"], set()).add(r["split"])
+    assert all(len(splits) == 1 for splits in groups.values())
