@@ -21,7 +21,8 @@ def build_vocabulary(df: DataFrame, text: str, one_task_rows: int = ONE_TASK_ROW
     used = df.select(F.explode(tokens(F.col(text))).alias("token"))
     counted = stage(used.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "token-counts")
     one = F.lit(1).cast("long")
-    ranked = running(counted.withColumn("_one", one), [], ["-uses", "token"], {"_rank": ("sum", "_one")}, one_task_rows=one_task_rows)
+    outputs = {"_rank": ("sum", "_one")}
+    ranked = running(counted.withColumn("_one", one), [], ["-uses", "token"], outputs, one_task_rows)
     return ranked.select("token", "uses", (F.col("_rank") + (RESERVED_IDS - 1)).cast("int").alias("token_id"))
 
 

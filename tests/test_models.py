@@ -145,3 +145,14 @@ def test_embed_writes_one_folder_per_split(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a b", "train"), (2, "c", "test")], "id int, t string, split string")
     embed(frame, "t", f"{tmp_path}/v")
     assert [r["id"] for r in read_vectors(spark, f"{tmp_path}/v", "test").collect()] == [2]
+
+
+def test_request_stream_equals_batch(spark, tmp_path):
+    bodies = [(f'{{"smiles":"C{i}"}}',) for i in range(20)] + [("{}",), ("nope",), ('{"smiles":1}',)]
+    frame = spark.createDataFrame(bodies, "body string")
+    frame.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    for part in (accepted, lambda checked: rejected(checked, "body")):
+        batch = part(read_requests(frame, "body", "smiles")).collect()
+        streamed = run_stream(part(read_requests(stream, "body", "smiles")), "requests").collect()
+        assert sorted(map(str, streamed)) == sorted(map(str, batch)) and batch
