@@ -32,6 +32,16 @@ def with_vector(df: DataFrame, features: str = "features", vector: str = "vector
     return df.withColumn(vector, as_feature_vector(F.col(features)))
 
 
+def in_fixed_order(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """The rows placed and ordered by their unique key, so that seeded row sampling inside a fit repeats exactly.
+
+    Sampling follows partitions and row order, which otherwise depend on files and shuffle arrival. One shuffle per fit is
+    little beside the passes of the fit. The result depends on ``partitions``, by default the shuffle partition setting.
+    """
+    count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, key).sortWithinPartitions(key)
+
+
 def _tree_settings(params: Mapping[str, Any], rounds: int | None, seed: int) -> dict[str, Any]:
     given = {**DEFAULT_PARAMETERS, **params}
     settings = {

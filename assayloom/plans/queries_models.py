@@ -59,7 +59,7 @@ def split_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     split = split_vectors(spark, sf)
     train, valid, test = (split.where(F.col("split") == s) for s in ("train", "valid", "test"))
-    return train, valid, test
+    return boosting.in_fixed_order(train, "vec_id"), valid, test
 
 
 @lru_cache(maxsize=8)

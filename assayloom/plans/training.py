@@ -81,9 +81,10 @@ def tune(
     seed: int = boosting.SEED,
     patience: int = PATIENCE,
     parallelism: int = 2,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Trial ledger of a seeded search scored on the validation rows; the winner is written to ``path``."""
-    train, valid = _part(rows, "train"), _part(rows, "valid")
+    train, valid = boosting.in_fixed_order(_part(rows, "train"), key, partitions), _part(rows, "valid")
 
     def objective(params: dict[str, Any]) -> float:
         fit = boosting.fit_with_stopping(task.make, params, train, valid, patience)
@@ -106,12 +107,14 @@ def train_and_evaluate(
     path: str | None = None,
     run: str = "run",
     patience: int = PATIENCE,
+    partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit with stopping, predict the held-out rows and evaluate: ``(predictions, one metrics record)``.
 
     With a ``path`` the model, the predictions (CSV) and the metrics record (runs table) are written below it.
     """
-    fit = boosting.fit_with_stopping(task.make, params, _part(rows, "train"), _part(rows, "valid"), patience)
+    train = boosting.in_fixed_order(_part(rows, "train"), key, partitions)
+    fit = boosting.fit_with_stopping(task.make, params, train, _part(rows, "valid"), patience)
     predictions = stage(task.predictions(fit.model.transform(_part(rows, "test")), key), "predictions")
     best = F.struct(*[F.lit(v).alias(k) for k, v in params.items()])
     record = task.metrics(predictions).withColumns({"run": F.lit(run), "rounds": F.lit(fit.rounds), "best_params": best})

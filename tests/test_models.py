@@ -156,3 +156,13 @@ def test_request_stream_equals_batch(spark, tmp_path):
         batch = part(read_requests(frame, "body", "smiles")).collect()
         streamed = run_stream(part(read_requests(stream, "body", "smiles")), "requests").collect()
         assert sorted(map(str, streamed)) == sorted(map(str, batch)) and batch
+
+
+@pytest.mark.parametrize("task", [REGRESSION, CLASSIFICATION])
+def test_same_seed_same_predictions_for_any_layout(spark, small, task):
+    rows = Q.split_vectors(spark, small)
+    found = []
+    for layout in (rows.repartition(7), rows.orderBy(F.desc("vec_id")).coalesce(2)):
+        predictions, _ = train_and_evaluate(layout, task, Q.SMALL_TREES, "vec_id", patience=3, partitions=4)
+        found.append(sorted(map(tuple, predictions.collect())))
+    assert found[0] == found[1]
