@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontamination, exact
+from assayloom.llm import decontamination, exact, packing, sharding, simhash
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,7 +32,48 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_decontamination": op8_decontamination}
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint and its component of near duplicates."""
+    return simhash.near_duplicates(_read(spark, folder, "documents")).drop("rid")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a packed sequence."""
+    packed = packing.pack(_read(spark, folder, "documents"), tokenizer_path(), ids=False)
+    return packed.select(F.col("row.doc_id").alias("doc_id"), *packed.columns[1:])
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its shard and its slot there."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _read(spark, folder, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    dealt = sharding.shuffle_into_shards(docs)
+    return dealt.select(
+        "row.*",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_packing": op9_packing,
+    "op10_sharding": op10_sharding,
+}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = (
