@@ -9,16 +9,21 @@ is cut into sequences of power-of-two lengths. Windows of a tier are dealt to st
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from tokenizers import Tokenizer
 
 from assayloom.llm.rows import map_batches, text_of, whole
 
@@ -29,46 +34,93 @@ STEP_TOKENS = 65_536
 #: Documents encoded and packed together.
 DOCS_TOGETHER = 512
 #: Words whose ids a worker remembers.
-MOST_WORDS = 300_000
+MOST_WORDS = 800_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
+#: A blank that white space, or nothing, follows.
+_WIDE_GAP = re.compile(r" (?:[\s\x1c-\x1f]|$)")
+
+
+# The byte-level pre-tokeniser's pattern, and the bytes that it writes as themselves.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTED_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
+
+
+def _byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as bytes, if its merges stand in the order of their ids; such a vocabulary needs no merge list."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model, cut = said["model"], said.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    if model.get("type", "BPE") != "BPE" or not plain or said.get("normalizer"):
+        return None
+    merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    if ids != sorted(ids):
+        return None
+    hidden = (b for b in range(256) if b not in PRINTED_BYTES)
+    byte_of = {chr(b): b for b in PRINTED_BYTES} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["content"] for t in said.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
+
+
+class _Words(dict):
+    """Ids of words that follow a blank, as bytes; a new word is encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array("I", self.encode(" " + word)).tobytes()
+        return found
 
 
 class Encoder:
-    """Ids of whole texts; words seen before are looked up.
+    """Ids of whole texts, as ``tokenizers`` gives them; words seen before are looked up.
 
     A byte-level pre-tokeniser never joins what stands before and after the place in front of a single blank that a visible
-    character follows. So a text is cut there, and the ids of its words in a row are the ids of the text.
+    character follows. So a text is cut there, and the ids of its words in a row are the ids of the text. New words go through
+    a byte-pair encoder over the same vocabulary where its merge order allows, else, and for special tokens, through the
+    tokeniser itself.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        parts = text.split(" ")
-        words = parts[:1] + [" " + p for p in parts[1:]]
-        if "  " in text or any(not p or p[0].isspace() for p in parts):
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = _byte_ranks(path)
+        self.fast = ranks and tiktoken.Encoding(
+            "words", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        self.known = _Words(self.ids)
+
+    def ids(self, text: str) -> list[int]:
+        if not self.fast or any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def one(self, text: str) -> np.ndarray:
+        if any(" " in s for s in self.special):
+            return np.array(self.ids(text), np.uint32)
+        first, *words = text.split(" ")
+        if _WIDE_GAP.search(text):
             joined: list[str] = []
             for word in words:
-                if joined and (len(word) < 2 or word[1].isspace()):
-                    joined[-1] += word
+                if not word or word[0].isspace():
+                    if joined:
+                        joined[-1] += " " + word
+                    else:
+                        first += " " + word
                 else:
                     joined.append(word)
             words = joined
-        return words
+        start = array("I", self.ids(first)).tobytes()
+        return np.frombuffer(start + b"".join(map(self.known.__getitem__, words)), np.uint32)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        cut = [self.words(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
-        for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(encoding.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32) for words in cut]
+        return [self.one(t) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
