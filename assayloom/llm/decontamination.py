@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from assayloom.llm.rows import NOT_WORD, folded, map_batches, text_of, whole, words_of
+from assayloom.llm.rows import NOT_WORD, boxed, folded, map_batches, text_of, whole, words_of
 
 WINDOW_WORDS = 13
 #: Windows in one automaton: about 100 MB in a worker.
@@ -158,8 +158,7 @@ def find_contamination(
     Null and empty texts have no words; null or wordless items have no window; an empty benchmark matches nothing; an empty
     table gives an empty result; repeated rows are judged one by one. A word covered by several occurrences counts once.
     """
-    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    found = docs.select(kept.alias("row"), text_of(f"`{text}`").alias("text"))
+    found = boxed(docs, carry, text=text_of(f"`{text}`"))
     blocks = blocks_of(benchmark_windows(benchmark, item, item_text, width), most_windows)
     for number, block in enumerate(blocks):
         windows = [(r["window"], sorted(r["items"])) for r in block.collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontamination, exact, packing, sharding, simhash
+from assayloom.llm import decontamination, exact, licences, packing, pii, sharding, simhash
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,11 +32,28 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    scanned = licences.digest(licences.scan_licences(_read(spark, folder, "documents"), carry=["doc_id"]))
+    return scanned.select(F.col("row.doc_id").alias("doc_id"), *scanned.columns[1:])
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and its component of near duplicates."""
     return simhash.near_duplicates(_read(spark, folder, "documents")).drop("rid")
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find_personal_data(_read(spark, folder, "documents"), carry=["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -68,8 +85,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_personal_data": op4_personal_data,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,

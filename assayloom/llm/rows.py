@@ -33,9 +33,10 @@ def words_of(text: Column, separators: str) -> Column:
     return F.filter(F.split(text, separators), lambda w: w != "")
 
 
-def boxed(df: DataFrame, **more: Column) -> DataFrame:
-    """Every row as one struct column ``row`` beside ``more``: no name in ``df`` can clash with an operator's own."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+def boxed(df: DataFrame, carry: Sequence[str] | None = None, **more: Column) -> DataFrame:
+    """Every row (or its ``carry`` columns) as one struct ``row`` beside ``more``: no name in ``df`` can clash with them."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in (df.columns if carry is None else carry)])
+    return df.select(kept.alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:
