@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontamination, exact, licences, packing, pii, sharding, simhash
+from assayloom.llm import decontamination, exact, licences, packing, pii, quality, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,32 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _read(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, _read(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs, model, carry=["doc_id"], clauses=False)
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = _read(spark, folder, "documents")
+    model = quality.fit_quality(docs, _read(spark, folder, "labels"))
+    scored = quality.score_quality(docs, model, carry=["doc_id"])
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        quality.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        quality.accepted().cast("int").alias("predicted"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -89,6 +115,8 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_personal_data": op4_personal_data,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
