@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontamination, exact, licences, packing, pii, quality, sharding, simhash, toxicity
+from assayloom.llm import decontamination, exact, katz, licences, packing, pii, quality, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document."""
+    return katz.score_texts(_read(spark, folder, "documents"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document."""
     docs = _read(spark, folder, "documents")
@@ -116,6 +121,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
+    "op6_katz": op6_katz,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
