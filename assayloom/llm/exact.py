@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.rows import BLANKS, map_batches, numbered, text_of
+from assayloom.llm.rows import BLANKS, map_batches, numbered, row_ids, text_of
 from assayloom.staging import stage
 
 #: Fingerprints per block of the filter, on average. It bounds a block's memory, not what is counted.
@@ -108,14 +108,15 @@ def _routed(fingerprint: Column) -> tuple[Column, Column]:
     return F.shiftright(place, _ROW_BITS), F.getbit(byte.cast("long"), inside.bitwiseAND(F.lit(7)).cast("int"))
 
 
-def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", rid: str | None = None) -> DataFrame:
     """One row per input row: rid, key, keep_id, keep_rid, group_size, kept, text_sha256.
 
     Texts are equal when identical without blanks (space, tab to carriage return). The row with the most code points stays,
     then the smallest key (null keys last), then the first of repeated rows: exactly one row of a group has ``kept``. A null
-    text counts as empty; an empty table gives an empty result. ``rid`` numbers the rows of ``docs`` as this scan saw them.
+    text counts as empty; an empty table gives an empty result. ``rid`` is the column of that name in ``docs``, if one is given
+    (whole numbers, unique), else a number of the row as this scan saw it.
     """
-    source = docs.select(F.col(f"`{key}`").alias("key"), text_of(f"`{text}`").alias("text"))
+    source = docs.select(F.col(f"`{key}`").alias("key"), text_of(f"`{text}`").alias("text"), *row_ids(rid))
     plain = normalised(F.col("text"))
     table = numbered(
         source.select(
@@ -123,6 +124,7 @@ def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             F.length("text").cast("long").alias("size"),
             F.xxhash64(plain).alias("fingerprint"),
             F.sha2(plain, 256).alias("digest"),
+            *row_ids(rid and "rid"),
         ),
         "exact-rows",
     )

@@ -220,7 +220,7 @@ def pack(
         schema = schema.add(name, LongType())
     schema = schema.add("tier", IntegerType()).add("step_group", LongType())
     if ids:
-        schema = schema.add("ids", ArrayType(LongType()))
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base = encoder(tokenizer).encode, TaskContext.get().partitionId() << 33
@@ -242,13 +242,13 @@ def pack(
                     crc = zlib.crc32(part.tobytes())
                     out.append((rows[doc], start, length, crc, len(tokens[doc]), sequence, offset, tier, group))
                     if ids:
-                        held.append(part.astype(np.int64))
+                        held.append(part.astype(np.int32))
                     offset += length
             columns = list(zip(*out)) if out else [()] * 9
             kinds = [row_type, *[pa.int64()] * 6, pa.int32(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             if ids:
-                arrays.append(pa.array(held, pa.list_(pa.int64())))
+                arrays.append(pa.array(held, pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         count = 0

@@ -40,7 +40,7 @@ def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and its component of near duplicates."""
-    return simhash.near_duplicates(_read(spark, folder, "documents")).drop("rid")
+    return simhash.near_duplicates(_read(spark, folder, "documents")).drop("rid", "kept")
 
 
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:

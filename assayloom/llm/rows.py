@@ -39,9 +39,14 @@ def boxed(df: DataFrame, carry: Sequence[str] | None = None, **more: Column) ->
     return df.select(kept.alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
+def row_ids(column: str | None) -> list[Column]:
+    """The given column of row numbers as ``rid``, or nothing."""
+    return [F.col(f"`{column}`").cast("long").alias("rid")] if column else []
+
+
 def numbered(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once with a row number ``rid`` that no recomputation can change."""
-    return stage(df.withColumn("rid", F.monotonically_increasing_id()), label)
+    """``df`` written once with its row numbers ``rid``; new ones, if it has none, that no recomputation can change."""
+    return stage(df if "rid" in df.columns else df.withColumn("rid", F.monotonically_increasing_id()), label)
 
 
 def shuffle_width(df: DataFrame) -> int:

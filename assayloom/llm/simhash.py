@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.graph import components
-from assayloom.llm.rows import map_batches, numbered, text_of, whole
+from assayloom.llm.rows import map_batches, numbered, row_ids, text_of, whole
 from assayloom.staging import stage
 
 SHINGLE_WORDS = 3
@@ -59,16 +59,19 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     return int(packed.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE_WORDS) -> DataFrame:
-    """``key, fp`` per input row; a null text is empty."""
+def fingerprints(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE_WORDS, rid: str | None = None
+) -> DataFrame:
+    """``key, fp`` (and ``rid``, where given) per input row; a null text is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width) for t in whole(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["key", "fp"])
+            arrays = [batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "fp", "rid"][: len(arrays)])
 
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_of(f"`{text}`").alias("text"))
-    return map_batches(source, "key long, fp long", work)
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_of(f"`{text}`").alias("text"), *row_ids(rid))
+    return map_batches(source, "key long, fp long" + (", rid long" if rid else ""), work)
 
 
 def _remainder(word: int) -> int:
@@ -171,38 +174,35 @@ def links_between(classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: rid, key, fingerprint (16 hex digits), component_id, links (of its fingerprint).
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", rid: str | None = None) -> DataFrame:
+    """One row per input row: rid, key, fingerprint (16 hex digits), component_id, links (of its fingerprint), kept.
 
     Rows link when their fingerprints differ in three bits or fewer; ``component_id`` is the smallest key reachable. Copies
     of a fingerprint are one node, so no pairs are made inside a group of copies. Empty and null texts have fingerprint zero
     and link like any other; null keys take no part in naming a component (null only if all its keys are null); an empty
-    table gives an empty result.
+    table gives an empty result. Exactly one row of a component is ``kept``: of its smallest key, the first of repeated rows.
+    ``rid`` is the column of that name in ``docs``, if one is given (whole numbers, unique), else a number of the row.
     """
-    table = numbered(fingerprints(docs, text, key), "fingerprints")
-    classes = table.groupBy("fp").agg(F.min("rid").alias("rep"), F.min("key").alias("least_key"))
-    classes = stage(classes, "fingerprint-classes")
+    table = numbered(fingerprints(docs, text, key, rid=rid), "fingerprints")
+    best = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "rid"))
+    classes = stage(table.groupBy("fp").agg(F.min("rid").alias("rep"), best.alias("best")), "fingerprint-classes")
     links = stage(links_between(classes), "fingerprint-links")
     roots = components(links, "a", "b")
-    degrees = (
-        links.select(F.col("a").alias("rep"))
-        .unionByName(links.select(F.col("b").alias("rep")))
-        .groupBy("rep")
-        .agg(F.count(F.lit(1)).alias("links"))
-    )
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     placed = (
         classes.join(roots, classes["rep"] == roots["node"], "left")
         .drop("node")
-        .join(degrees, "rep", "left")
-        .select("fp", "least_key", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        .join(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links")), "rep", "left")
+        .select("fp", "best", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     placed = stage(placed, "fingerprint-roots")
-    names = placed.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    named = stage(placed.join(names, "root").select("fp", "component_id", "links"), "fingerprint-names")
+    heads = placed.groupBy("root").agg(F.min("best").alias("head"))
+    named = stage(placed.join(heads, "root").select("fp", "head", "links"), "fingerprint-names")
     return table.join(named, "fp").select(
         "rid",
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("head.key").alias("component_id"),
         F.col("links").cast("long").alias("links"),
+        (F.col("head.rid") == F.col("rid")).alias("kept"),
     )
