@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from assayloom.llm.rows import NOT_WORD, boxed, folded, map_batches, text_of, whole, words_of
+from assayloom.llm.rows import NOT_WORD, TEXT_ROWS, boxed_texts, folded, map_batches, text_of, texts_in, whole, words_of
 
 WINDOW_WORDS = 13
 #: Windows in one automaton: about 100 MB in a worker.
@@ -95,7 +95,9 @@ def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def scan_block(docs: DataFrame, windows: list[tuple[str, list[str]]], name: str, last: bool, spans: bool) -> DataFrame:
+def scan_block(
+    docs: DataFrame, text: str, windows: list[tuple[str, list[str]]], name: str, last: bool, spans: bool
+) -> DataFrame:
     """``docs`` (row, text and what earlier blocks found) with this block's matches; after the last one, the result."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     first = "ranges" not in docs.columns
@@ -106,16 +108,17 @@ def scan_block(docs: DataFrame, windows: list[tuple[str, list[str]]], name: str,
         schema = schema.add("items", ArrayType(StringType())).add("spans", ArrayType(span))
     else:
         range_ = StructType().add("first", IntegerType()).add("stop", IntegerType())
-        schema = row.add("text", StringType()).add("ranges", ArrayType(range_)).add("items", ArrayType(StringType()))
+        schema = row.add("text", StringType()) if "text" in docs.columns else row
+        schema = schema.add("ranges", ArrayType(range_)).add("items", ArrayType(StringType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(name, shared.value)
         for batch in batches:
             n_words, all_ranges, all_items = [], [], []
-            texts = whole(batch, "text")
+            texts = texts_in(batch, text)
             before = [([], [])] * len(texts) if first else zip(whole(batch, "ranges"), whole(batch, "items"))
-            for text, (old_ranges, old_items) in zip(texts, before):
-                words = padded_words(text)
+            for own, (old_ranges, old_items) in zip(texts, before):
+                words = padded_words(own)
                 n_words.append(words.count(" ") - 1 if len(words) > 2 else 0)
                 found, owners = matches(automaton, words) if len(automaton) else ([], set())
                 all_ranges.append(merged_ranges([(r["first"], r["stop"]) for r in old_ranges] + found))
@@ -129,10 +132,11 @@ def scan_block(docs: DataFrame, windows: list[tuple[str, list[str]]], name: str,
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_words", "n_hit", "items", "spans"])
             else:
                 ranges = pa.array([[{"first": a, "stop": b} for a, b in r] for r in all_ranges], _RANGES)
-                arrays = [box, batch.column(batch.schema.get_field_index("text")), ranges, items]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "text", "ranges", "items"])
+                text_at = batch.schema.get_field_index("text")
+                kept = [box, batch.column(text_at)] if text_at >= 0 else [box]
+                yield pa.RecordBatch.from_arrays([*kept, ranges, items], names=schema.names)
 
-    return map_batches(docs, schema, work)
+    return map_batches(docs, schema, work, TEXT_ROWS)
 
 
 def blocks_of(windows: DataFrame, most: int = BLOCK_WINDOWS) -> list[DataFrame]:
@@ -158,12 +162,12 @@ def find_contamination(
     Null and empty texts have no words; null or wordless items have no window; an empty benchmark matches nothing; an empty
     table gives an empty result; repeated rows are judged one by one. A word covered by several occurrences counts once.
     """
-    found = boxed(docs, carry, text=text_of(f"`{text}`"))
+    found = boxed_texts(docs, text, carry)
     blocks = blocks_of(benchmark_windows(benchmark, item, item_text, width), most_windows)
     for number, block in enumerate(blocks):
         windows = [(r["window"], sorted(r["items"])) for r in block.collect()]
         digest = hashlib.sha256(repr(windows).encode()).hexdigest()
-        found = scan_block(found, windows, digest, number == len(blocks) - 1, spans)
+        found = scan_block(found, text, windows, digest, number == len(blocks) - 1, spans)
     return found
 
 

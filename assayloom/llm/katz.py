@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.labelled import fold
-from assayloom.llm.rows import map_batches, text_of, whole
+from assayloom.llm.rows import TEXT_ROWS, map_batches, text_of, whole
 from assayloom.staging import stage
 
 FOLDS, HELD_OUT = 10, 0
@@ -124,7 +124,7 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
         if tokens:
             yield rows(chunk, *held, known)
 
-    return map_batches(docs, _CODED, work)
+    return map_batches(docs, _CODED, work, TEXT_ROWS)
 
 
 def count_table(asked: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ STEP_TOKENS = 65_536
 #: Documents encoded and packed together.
 DOCS_TOGETHER = 512
 #: Words whose ids a worker remembers.
-MOST_WORDS = 800_000
+MOST_WORDS = 400_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 #: A blank that white space, or nothing, follows.
@@ -252,24 +252,21 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         count = 0
-        for whole_batch in batches:
-            row_type = whole_batch.schema.field("row").type
-            for at in range(0, whole_batch.num_rows, DOCS_TOGETHER):
-                batch = whole_batch.slice(at, DOCS_TOGETHER)
-                full = []
-                for row, found in zip(whole(batch, "row"), encode(whole(batch, "text"))):
-                    tokens[count], rows[count] = np.append(found, np.uint32(end_id)), row
-                    length = len(tokens[count])
-                    full += [(longest, [(count, i, longest)]) for i in range(0, length - longest + 1, longest)]
-                    if length % longest:
-                        pool.put(count, length - length % longest, length % longest)
-                    count += 1
-                yield written(iter(full))
-                yield written(pack_tiers(pool, tiers))
-                waiting = {doc for pieces in pool.by_length.values() for doc, _ in pieces}
-                tokens = {doc: tokens[doc] for doc in waiting}
-                rows = {doc: rows[doc] for doc in waiting}
+        for batch in batches:
+            row_type, full = batch.schema.field("row").type, []
+            for row, found in zip(whole(batch, "row"), encode(whole(batch, "text"))):
+                tokens[count], rows[count] = np.append(found, np.uint32(end_id)), row
+                length = len(tokens[count])
+                full += [(longest, [(count, i, longest)]) for i in range(0, length - longest + 1, longest)]
+                if length % longest:
+                    pool.put(count, length - length % longest, length % longest)
+                count += 1
+            yield written(iter(full))
+            yield written(pack_tiers(pool, tiers))
+            waiting = {doc for pieces in pool.by_length.values() for doc, _ in pieces}
+            tokens = {doc: tokens[doc] for doc in waiting}
+            rows = {doc: rows[doc] for doc in waiting}
         if count:
             yield written(pack_rest(pool, longest))
 
-    return map_batches(source, schema, work)
+    return map_batches(source, schema, work, DOCS_TOGETHER)

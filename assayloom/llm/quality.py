@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from assayloom.llm.labelled import fold, training_rows
-from assayloom.llm.rows import boxed, map_batches, text_of, whole
+from assayloom.llm.rows import TEXT_ROWS, boxed_texts, map_batches, texts_in
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -192,16 +192,14 @@ def score_quality(
     Null and empty texts get the score of an empty text; repeated rows get equal scores; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = boxed(docs, carry, text=text_of(f"`{text}`"))
+    source = boxed_texts(docs, text, carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in batches:
-            for at in range(0, full.num_rows, 256):
-                batch = full.slice(at, 256)
-                found = shared.value.scores(whole(batch, "text"))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["row", "score"])
+        for batch in batches:
+            found = shared.value.scores(texts_in(batch, text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["row", "score"])
 
-    return map_batches(source, StructType().add(source.schema["row"]).add("score", DoubleType()), work)
+    return map_batches(source, StructType().add(source.schema["row"]).add("score", DoubleType()), work, TEXT_ROWS)
 
 
 def accepted() -> Column:

@@ -53,10 +53,43 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows with texts that a task handles together.
+TEXT_ROWS = 256
+
+
 def map_batches(
-    df: DataFrame, schema: StructType | str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    df: DataFrame,
+    schema: StructType | str,
+    work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    rows: int | None = None,
 ) -> DataFrame:
-    return df.mapInArrow(work, schema)
+    """``mapInArrow``, with batches of at most ``rows`` rows; a task gives its unused memory back when it ends."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or max(batch.num_rows, 1)):
+                yield batch.slice(at, rows)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(parts(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(sliced, schema)
+
+
+def boxed_texts(df: DataFrame, text: str, carry: Sequence[str] | None) -> DataFrame:
+    """``row`` and, unless the row has it already, ``text``; so no text crosses to Python twice."""
+    if text in (df.columns if carry is None else carry) and dict(df.dtypes)[text] == "string":
+        return boxed(df, carry)
+    return boxed(df, carry, text=text_of(f"`{text}`"))
+
+
+def texts_in(batch: pa.RecordBatch, text: str) -> list[str]:
+    """The texts of a batch of :func:`boxed_texts`, nulls as empty ones."""
+    own = batch.schema.get_field_index("text")
+    if own >= 0:
+        return batch.column(own).to_pylist()
+    return [t or "" for t in batch.column(batch.schema.get_field_index("row")).field(text).to_pylist()]
 
 
 def whole(batch: pa.RecordBatch, name: str) -> list:

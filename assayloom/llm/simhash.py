@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.graph import components
-from assayloom.llm.rows import map_batches, numbered, row_ids, text_of, whole
+from assayloom.llm.rows import TEXT_ROWS, map_batches, numbered, row_ids, text_of, whole
 from assayloom.staging import stage
 
 SHINGLE_WORDS = 3
@@ -71,7 +71,7 @@ def fingerprints(
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "fp", "rid"][: len(arrays)])
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_of(f"`{text}`").alias("text"), *row_ids(rid))
-    return map_batches(source, "key long, fp long" + (", rid long" if rid else ""), work)
+    return map_batches(source, "key long, fp long" + (", rid long" if rid else ""), work, TEXT_ROWS)
 
 
 def _remainder(word: int) -> int:

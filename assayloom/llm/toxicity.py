@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from assayloom.llm.labelled import fold, training_rows
-from assayloom.llm.rows import boxed, map_batches, text_of, whole
+from assayloom.llm.rows import TEXT_ROWS, boxed_texts, map_batches, texts_in
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -236,20 +236,20 @@ def score_toxicity(
     empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = boxed(docs, carry, text=text_of(f"`{text}`"))
+    source = boxed_texts(docs, text, carry)
     match = StructType().add("match", StringType()).add("clause", StringType())
     schema = StructType().add(source.schema["row"]).add("score", DoubleType())
     kind = pa.list_(pa.struct([("match", pa.string()), ("clause", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.matches(t) for t in whole(batch, "text")]
+            found = [shared.value.matches(t) for t in texts_in(batch, text)]
             arrays = [batch.column(0), pa.array([shared.value.score(m) for m in found], pa.float64())]
             if clauses:
                 arrays.append(pa.array([[{"match": m, "clause": c} for m, c in row] for row in found], kind))
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "score", "clauses"][: len(arrays)])
 
-    return map_batches(source, schema.add("clauses", ArrayType(match)) if clauses else schema, work)
+    return map_batches(source, schema.add("clauses", ArrayType(match)) if clauses else schema, work, TEXT_ROWS)
 
 
 def held_out(key: Column) -> Column:
