@@ -21,6 +21,12 @@ def to_number(text: Column) -> Column:
     return F.when(F.abs(number) < float("inf"), number)
 
 
+def finite(value: Column) -> Column:
+    """The value, null where it is NaN or infinite: the one rule of what counts as a value in metrics and curves."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
 def negative_log_molar(nanomolar: Column) -> Column:
     """``9 - log10(v + 1e-10)`` to 6 decimals; null for negative values.
 

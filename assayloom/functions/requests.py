@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the response.
 SUCCESS = "success"
+FAILURE = "error"
 HIGH_RISK = "High risk of hERG liability"
 LOW_RISK = "Appears safe"
 
@@ -33,15 +34,19 @@ def risk_text(is_toxic: Column) -> Column:
     return F.when(is_toxic, F.lit(HIGH_RISK)).otherwise(F.lit(LOW_RISK))
 
 
-def response(text: Column, is_toxic: Column, probability: Column, predicted: Column, text_name: str = "smiles") -> Column:
-    """The nested answer for one scored row."""
+def response(
+    text: Column, is_toxic: Column, probability: Column, predicted: Column, error: Column, text_name: str = "smiles"
+) -> Column:
+    """The nested answer for one row: both results of a good one, or the reason why there is none."""
+    good = error.isNull()
     return F.struct(
         text.alias(text_name),
-        F.struct(
+        F.when(good, F.struct(
             is_toxic.alias("is_toxic"),
             F.round(probability, 4).alias("confidence_score"),
             risk_text(is_toxic).alias("warning"),
-        ).alias("classification"),
-        F.struct(F.round(predicted, 4).alias("predicted_pIC50")).alias("regression"),
-        F.lit(SUCCESS).alias("status"),
+        )).alias("classification"),
+        F.when(good, F.struct(F.round(predicted, 4).alias("predicted_pIC50"))).alias("regression"),
+        F.when(good, SUCCESS).otherwise(FAILURE).alias("status"),
+        error.alias("error"),
     )

@@ -82,3 +82,23 @@ def fingerprint(token_array: Column, bits: int = FINGERPRINT_BITS, longest: int
 def usable_fingerprint(token_array: Column, least_tokens: int = 1, bits: int = FINGERPRINT_BITS) -> Column:
     """The fingerprint, or null for text with too few tokens to describe."""
     return bound(token_array, lambda t: F.when(F.size(t) >= least_tokens, fingerprint(t, bits)))
+
+
+# The escape sign of written text files (a control sign that texts of other writers hardly hold), and its uses.
+ESCAPE = "\x1b"
+NULL_MARK = f"{ESCAPE}N"
+ESCAPES = (("\n", "n"), ("\r", "r"))
+
+
+def escaped(text: Column) -> Column:
+    """The text on one line; the empty text has a mark, so that it differs from null."""
+    for sign, letter in ((ESCAPE, "e"), *ESCAPES):
+        text = F.replace(text, F.lit(sign), F.lit(ESCAPE + letter))
+    return F.when(text == "", F.lit(f"{ESCAPE}0")).otherwise(text)
+
+
+def unescaped(text: Column) -> Column:
+    text = F.replace(text, F.lit(f"{ESCAPE}0"), F.lit(""))
+    for sign, letter in (*ESCAPES, (ESCAPE, "e")):
+        text = F.replace(text, F.lit(ESCAPE + letter), F.lit(sign))
+    return text

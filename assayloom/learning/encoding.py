@@ -7,15 +7,16 @@ random direction, and a text is the mean direction of its tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from assayloom.functions.text import MAX_TOKENS, attention_mask, hashed_ids, padded, tokens, truncated
+from assayloom.functions.text import MAX_TOKENS, hashed_ids, tokens, truncated
 
 Encoder = Callable[[np.ndarray, np.ndarray], np.ndarray]
 TABLE_SIZE = 4096
@@ -51,18 +52,47 @@ def encode_windows(
     return df.withColumn("features", encode("input_ids", "attention_mask"))
 
 
+def whole_text_vectors(make_encoder: Callable[[], Encoder], window: int, batch_rows: int) -> Callable[[Column], Column]:
+    """Vectors of id arrays of any length: consecutive windows, encoded in batches, as the mean weighted by their tokens."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+        for batch in batches:
+            rows = [np.empty(0, np.int64) if ids is None else np.asarray(ids) for ids in batch]
+            parts = [(i, ids[at : at + window]) for i, ids in enumerate(rows) for at in range(0, max(len(ids), 1), window)]
+            total, weight = None, np.zeros(len(rows))
+            for at in range(0, len(parts), batch_rows):
+                chosen = parts[at : at + batch_rows]
+                ids, mask = np.zeros((len(chosen), window), np.int64), np.zeros((len(chosen), window), np.int64)
+                for place, (_, part) in enumerate(chosen):
+                    ids[place, : len(part)], mask[place, : len(part)] = part, 1
+                vectors, tokens_ = encoder(ids, mask), mask.sum(axis=1)
+                total = np.zeros((len(rows), vectors.shape[1])) if total is None else total
+                owners = [i for i, _ in chosen]
+                np.add.at(total, owners, vectors * tokens_[:, None])
+                np.add.at(weight, owners, tokens_)
+            means = [] if total is None else list((total / np.maximum(weight, 1)[:, None]).astype(np.float32))
+            yield pd.Series(means, dtype=object)
+
+    return encode
+
+
 def encode_texts(
     df: DataFrame,
     text: str,
     make_encoder: Callable[[], Encoder] | None = None,
-    length: int = MAX_TOKENS,
+    length: int | None = None,
     table_size: int = TABLE_SIZE,
     batch_rows: int = BATCH_ROWS,
+    window: int = MAX_TOKENS,
 ) -> DataFrame:
-    """Tokenise with hashed ids, truncate and pad to ``length``, and add the ``features`` vector."""
-    ids = hashed_ids(truncated(tokens(F.col(text)), length), table_size)
-    windows = df.withColumn("_ids", ids).withColumns(
-        {"input_ids": padded(F.col("_ids"), length), "attention_mask": attention_mask(F.col("_ids"), length)}
-    )
+    """Tokenise whole texts with hashed ids and add the ``features`` vector; a null text has no tokens.
+
+    Encoders see windows of ``window`` tokens; a longer text is the mean of its windows, weighted by their tokens. ``length``
+    cuts texts instead, for a model that ends there.
+    """
     make = make_encoder or mean_direction_encoder(table_size=table_size)
-    return encode_windows(windows, make, length, batch_rows).drop("_ids", "input_ids", "attention_mask")
+    ids = tokens(F.col(text)) if length is None else truncated(tokens(F.col(text)), length)
+    encode = whole_text_vectors(make, length or window, batch_rows)
+    return df.withColumn("features", encode(hashed_ids(ids, table_size)))

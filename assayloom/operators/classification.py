@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.operators.ordered import ONE_TASK_ROWS, previous_values, running
+from assayloom.functions.numeric import finite
+from assayloom.operators.ordered import previous_values, running
 from assayloom.staging import stage
 
 
@@ -13,23 +14,33 @@ def _cell(y_true: str, y_pred: str, t: int, p: int) -> Column:
     return F.count_if((F.col(y_true) == t) & (F.col(y_pred) == p))
 
 
+def _unlabelled(y_true: str, y_pred: str) -> Column:
+    labelled = F.col(y_true).isin(0, 1) & F.col(y_pred).isin(0, 1)
+    return F.count_if(~F.coalesce(labelled, F.lit(False))).alias("unlabelled")
+
+
 def confusion_matrix(df: DataFrame, y_true: str = "true", y_pred: str = "predicted") -> DataFrame:
-    """``true, predicted, count`` for all four cells, empty ones included."""
+    """``true, predicted, count`` for all four cells, empty ones included, and ``unlabelled`` in every row.
+
+    Rows with a null or any label but 0 and 1 on either side are in no cell; ``unlabelled`` is their number.
+    """
     cells = [
         F.struct(F.lit(t).alias("true"), F.lit(p).alias("predicted"), _cell(y_true, y_pred, t, p).alias("count"))
         for t in (0, 1)
         for p in (0, 1)
     ]
-    return df.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
+    counted = df.agg(F.array(*cells).alias("_cells"), _unlabelled(y_true, y_pred))
+    return counted.select(F.explode("_cells").alias("_cell"), "unlabelled").select("_cell.*", "unlabelled")
 
 
 def classification_metrics(df: DataFrame, y_true: str = "true", y_pred: str = "predicted") -> DataFrame:
-    """One row in one pass: accuracy, precision, recall, F1. A rate without cases is 0."""
+    """One row in one pass: accuracy, precision, recall, F1 of the labelled rows, and ``unlabelled``. A rate without cases is 0."""
     counted = df.agg(
         _cell(y_true, y_pred, 1, 1).alias("tp"),
         _cell(y_true, y_pred, 0, 1).alias("fp"),
         _cell(y_true, y_pred, 1, 0).alias("fn"),
         _cell(y_true, y_pred, 0, 0).alias("tn"),
+        _unlabelled(y_true, y_pred),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
 
@@ -41,29 +52,32 @@ def classification_metrics(df: DataFrame, y_true: str = "true", y_pred: str = "p
         rate(tp, tp + fp).alias("precision"),
         rate(tp, tp + fn).alias("recall"),
         rate(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        "unlabelled",
     )
 
 
 def positives_by_score(df: DataFrame, y_true: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score; everything ordered works on this smaller table."""
-    positive = (F.col(y_true) == 1).cast("long")
-    return df.groupBy(F.col(score).alias("score")).agg(
+    """Positives and negatives per distinct score, staged; everything ordered works on this smaller table.
+
+    Rows without a finite score, or with a label other than 0 and 1, have no place on a curve and are left out.
+    """
+    rows = df.where(F.col(y_true).isin(0, 1) & finite(F.col(score)).isNotNull())
+    positive = F.col(y_true).cast("long")
+    by_score = rows.groupBy(F.col(score).alias("score")).agg(
         F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives")
     )
+    return stage(by_score, "by-score")
 
 
-def cumulative_positives(
-    df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def cumulative_positives(df: DataFrame, y_true: str, score: str) -> DataFrame:
     """``score, positives, negatives, tp, fp``: counts of rows scored at or above each distinct score."""
     outputs = {"tp": ("sum", "positives"), "fp": ("sum", "negatives")}
-    by_score = positives_by_score(df, y_true, score)
-    return running(by_score, [], ["-score"], outputs, one_task_rows, most_rows=df.count())
+    return running(positives_by_score(df, y_true, score), [], ["-score"], outputs)
 
 
-def roc_auc(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def roc_auc(df: DataFrame, y_true: str, score: str) -> DataFrame:
     """One row ``auc``: the exact chance that a positive outranks a negative, ties counting half; null with one class."""
-    above = cumulative_positives(df, y_true, score, one_task_rows)
+    above = cumulative_positives(df, y_true, score)
     # At each score: positives strictly above beat this score's negatives, positives at it tie with them.
     won = F.col("negatives") * (F.col("tp") - F.col("positives") / 2)
     totals = above.agg(
@@ -73,14 +87,14 @@ def roc_auc(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_TAS
     return totals.select(F.try_divide(F.col("won"), pairs).alias("auc"))
 
 
-def roc_curve(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def roc_curve(df: DataFrame, y_true: str, score: str) -> DataFrame:
     """``threshold, fpr, tpr`` at every distinct score and at the (0, 0) start, whose threshold is infinite.
 
     Collinear points are kept. Rates are null when their class is absent.
     """
-    positive = (F.col(y_true) == 1).cast("long")
-    p, n = df.agg(F.sum(positive), F.sum(1 - positive)).first()
-    counted = cumulative_positives(df, y_true, score, one_task_rows)
+    by_score = positives_by_score(df, y_true, score)
+    p, n = by_score.agg(F.sum("positives"), F.sum("negatives")).first()
+    counted = running(by_score, [], ["-score"], {"tp": ("sum", "positives"), "fp": ("sum", "negatives")})
     points = counted.select(
         F.col("score").cast("double").alias("threshold"),
         F.try_divide(F.col("fp"), F.lit(n or 0)).alias("fpr"),
@@ -90,7 +104,7 @@ def roc_curve(df: DataFrame, y_true: str, score: str, one_task_rows: int = ONE_T
     return start.unionByName(points)
 
 
-def area_under(points: DataFrame, x: str, y: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def area_under(points: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``area``: trapezoids under the points taken in ascending (x, y) order."""
-    stepped = previous_values(stage(points.select(x, y), "points"), [x, y], {"_x": x, "_y": y}, one_task_rows)
+    stepped = previous_values(stage(points.select(x, y), "points"), [x, y], {"_x": x, "_y": y})
     return stepped.agg(F.sum((F.col(x) - F.col("_x")) * (F.col(y) + F.col("_y")) / 2).alias("area"))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators.ordered import join_null_safe, rows_at_ranks
-from assayloom.operators.spread import HOT_ROWS, hot_keys, part_by_heat
 from assayloom.staging import stage
 
 
@@ -18,50 +17,16 @@ def collapse_duplicates(
     value: str,
     first: Sequence[str],
     order: Sequence[str],
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per key: ``n``, the exact median of ``value`` and the ``first`` columns of the row first in ``order``.
 
     Clean ``value`` before (no NaN): Spark sorts NaN last where other tools skip it. Nulls are skipped.
-    ``order`` has to be unique per row. Hot keys, if there are any, are collapsed apart from the others, because one
-    task must not take all rows of such a key.
+    ``order`` has to be unique per row. Equal (key, value) pairs are counted first and the middle ranks come from
+    range-partitioned chunks, so a key of any size is spread over tasks; there is one path for every size.
     """
-    narrow = df.select(
+    rows = df.select(
         *keys, F.col(value).alias("_value"), F.struct(*order, *[c for c in first if c not in order]).alias("_first")
     )
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        collapsed = _collapse_others(narrow, keys)
-    else:
-        others, of_hot_keys = part_by_heat(narrow, keys, hot)
-        collapsed = _collapse_others(others, keys).unionByName(_collapse_hot(of_hot_keys, keys, hot_rows))
-    return collapsed.select(
-        *keys, "n", F.col("_median").alias(f"median_{value}"), *[F.col(f"_first.{c}").alias(f"first_{c}") for c in first]
-    )
-
-
-def _collapse_others(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One shuffle: a window numbers the sorted values of each key, and the aggregate reuses its partitioning.
-
-    The window spills, where the built-in median holds all values of a key in memory.
-    """
-    by_key = Window.partitionBy(*keys)
-    placed = rows.withColumns(
-        {
-            "_place": F.row_number().over(by_key.orderBy(F.col("_value").asc_nulls_last())),
-            "_valued": F.count("_value").over(by_key),
-        }
-    )
-    middle = F.expr("_place = (_valued + 1) div 2 or _place = _valued div 2 + 1")
-    return placed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(middle, F.col("_value"))).alias("_median"),
-        F.min("_first").alias("_first"),
-    )
-
-
-def _collapse_hot(rows: DataFrame, keys: Sequence[str], one_task_rows: int) -> DataFrame:
-    """Equal (key, value) pairs are counted first; the middle ranks come from range-partitioned chunks."""
     counted = stage(
         rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_weight"), F.min("_first").alias("_first")),
         "value-counts",
@@ -74,8 +39,11 @@ def _collapse_hot(rows: DataFrame, keys: Sequence[str], one_task_rows: int) -> D
     middle = F.array_distinct(F.array(F.expr("(_valued + 1) div 2"), F.expr("_valued div 2 + 1")))
     ranks = per_key.where("_valued > 0").select(*keys, middle.alias("ranks"))
     present = counted.where(F.col("_value").isNotNull()).drop("_first")
-    found = rows_at_ranks(present, keys, ["_value"], ranks, "_weight", one_task_rows)
+    found = rows_at_ranks(present, keys, ["_value"], ranks, "_weight")
     medians = found.groupBy(*keys).agg(F.avg("_value").alias("_median"))
     # One row per key on both sides; a key without any value keeps a null median.
     without = per_key.where("_valued is null").withColumn("_median", F.lit(None).cast("double"))
-    return join_null_safe(per_key, medians, keys).unionByName(without).drop("_valued")
+    collapsed = join_null_safe(per_key, medians, keys).unionByName(without).drop("_valued")
+    return collapsed.select(
+        *keys, "n", F.col("_median").alias(f"median_{value}"), *[F.col(f"_first.{c}").alias(f"first_{c}") for c in first]
+    )

@@ -1,8 +1,7 @@
 """Exact running totals and order statistics without a one-task window.
 
-Spark sends every row of a window partition to one task. That is right for small groups and wrong for a group, or an
-ungrouped table, of unbounded size. The functions here count first. Groups of up to ``one_task_rows`` rows take the plain
-window. For larger ones they
+Spark sends every row of a window partition to one task. That is wrong for a group, or an ungrouped table, of unbounded size.
+The functions here have one path for every size. They
 
 1. range-partition by (keys, order), so a big group spans many partitions, and stage the result with its chunk number,
 2. total each (keys, chunk), at most #keys + #chunks rows,
@@ -10,8 +9,7 @@ window. For larger ones they
 4. run the window inside each (keys, chunk) only, adding the offset.
 
 Order columns are given by name, with a leading ``-`` for descending. The order has to be total for the result to be
-unique. Null keys form a group of their own. A caller that already knows a bound of the group size gives it as
-``most_rows`` and saves the count. The input is read more than once: stage it first if it is dear to compute.
+unique. Null keys form a group of their own. The input is read twice: stage it first if it is dear to compute.
 """
 
 from __future__ import annotations
@@ -21,25 +19,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.spread import counting_keys, hot_keys, part_by_heat
 from assayloom.staging import stage
 
-ONE_TASK_ROWS = 1_000_000
 _CHUNK = "_chunk"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """An upper bound of the rows in the largest group; map-side counts keep this one small shuffle."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*counting_keys(df, keys)).count().agg(F.max("count")).first()[0] or 0
-
-
-def fits_one_task(df: DataFrame, keys: Sequence[str], one_task_rows: int, most_rows: int | None) -> bool:
-    """Whether every group is small enough for a plain window; a bound ``most_rows`` that the caller knows decides alone."""
-    return (largest_group(df, keys) if most_rows is None else most_rows) <= one_task_rows
-
-
 def sort_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
@@ -71,43 +55,12 @@ def _through(kind: str) -> int:
     return -1 if kind == "max_before" else 0
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    outputs: Mapping[str, tuple[str, str]],
-    one_task_rows: int = ONE_TASK_ROWS,
-    most_rows: int | None = None,
-) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add running aggregates per key.
 
     ``outputs`` maps a new column to ``(kind, column)``. Kinds are ``sum`` and ``max``, which include the current row,
     and ``max_before``, which stops before it and is null on a group's first row.
     """
-    if not keys or most_rows is not None:
-        small = fits_one_task(df, keys, one_task_rows, most_rows)
-        return (_running_plain if small else _running_chunked)(df, keys, order, outputs)
-    hot = hot_keys(df, keys, one_task_rows)
-    if hot is None:
-        return _running_plain(df, keys, order, outputs)
-    others, hot_rows = part_by_heat(df, keys, hot)
-    return _running_plain(others, keys, order, outputs).unionByName(_running_chunked(hot_rows, keys, order, outputs))
-
-
-def _running_plain(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str]]
-) -> DataFrame:
-    return df.withColumns(
-        {
-            name: _aggregate(kind, column).over(_window(keys, order, _through(kind)))
-            for name, (kind, column) in outputs.items()
-        }
-    )
-
-
-def _running_chunked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str]]
-) -> DataFrame:
     rows = _chunked(df, keys, order)
     totals = rows.groupBy(*keys, _CHUNK).agg(
         *[_aggregate(kind, column).alias(f"_in_{name}") for name, (kind, column) in outputs.items()]
@@ -133,17 +86,8 @@ def _running_chunked(
     return joined.withColumns(added).drop(_CHUNK, *[f"_before_{name}" for name in outputs])
 
 
-def previous_values(
-    df: DataFrame,
-    order: Sequence[str],
-    outputs: Mapping[str, str],
-    one_task_rows: int = ONE_TASK_ROWS,
-    most_rows: int | None = None,
-) -> DataFrame:
+def previous_values(df: DataFrame, order: Sequence[str], outputs: Mapping[str, str]) -> DataFrame:
     """Add, for every row of the whole ordered table, a column's value in the row before it (ascending order only)."""
-    if fits_one_task(df, [], one_task_rows, most_rows):
-        window = Window.orderBy(*sort_columns(order))
-        return df.withColumns({name: F.lag(column).over(window) for name, column in outputs.items()})
     rows = _chunked(df, [], order)
     position = F.struct(*order)
     lasts = rows.groupBy(_CHUNK).agg(
@@ -168,13 +112,11 @@ def rows_at_ranks(
     order: Sequence[str],
     ranks: DataFrame | Sequence[int],
     weight: str | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
-    most_rows: int | None = None,
 ) -> DataFrame:
     """The rows that hold given 1-based ranks in their group, with the rank in a ``rank`` column.
 
     ``ranks`` has the key columns and an array column ``ranks``; without keys it is a short list of numbers. A row with
-    weight w covers w ranks. Beyond ``one_task_rows`` only the chunks that contain a wanted rank are ordered.
+    weight w covers w ranks. Only the chunks that contain a wanted rank are ordered.
     """
     rows = df if weight else df.withColumn("_weight", F.lit(1).cast("long"))
     weight = weight or "_weight"
@@ -187,10 +129,6 @@ def rows_at_ranks(
         held = F.filter("ranks", lambda r: (F.col("_upto") - F.col(weight) < r) & (r <= F.col("_upto")))
         return rows_with_ranks.withColumn("rank", F.explode(held)).drop("ranks", "_upto", "_weight")
 
-    if fits_one_task(df, keys, one_task_rows, most_rows):
-        counted = rows.withColumn("_upto", F.sum(weight).over(_window(keys, order)))
-        return hits(with_ranks(counted))
-
     rows = _chunked(rows, keys, order)
     totals = rows.groupBy(*keys, _CHUNK).agg(F.sum(weight).alias("_inside"))
     before = F.coalesce(F.sum("_inside").over(_window(keys, [_CHUNK], -1)), F.lit(0))

@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.operators.ordered import ONE_TASK_ROWS, rows_at_ranks
+from assayloom.functions.numeric import finite
+from assayloom.operators.ordered import rows_at_ranks
+from assayloom.staging import stage
 
 
 def with_residuals(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -33,13 +35,23 @@ def squared_correlation(y_true: Column, y_pred: Column) -> Column:
     return F.try_divide(together * together, F.var_pop(y_true) * F.var_pop(y_pred))
 
 
+def valid_pair(y_true: str, y_pred: str) -> tuple[Column, Column]:
+    """Both sides, null unless both are finite numbers."""
+    t, p = finite(F.col(y_true)), finite(F.col(y_pred))
+    return F.when(p.isNotNull(), t), F.when(t.isNotNull(), p)
+
+
 def regression_metrics(
     df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
-    """``n, rmse, r2, pearson_r2`` in one pass: one row, or one per group of ``by``."""
-    t, p = F.col(y_true), F.col(y_pred)
+    """``n, skipped, rmse, r2, pearson_r2`` in one pass: one row, or one per group of ``by``.
+
+    A pair counts if both sides are finite numbers; ``skipped`` is the number of the others.
+    """
+    t, p = valid_pair(y_true, y_pred)
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(t).alias("n"),
+        F.count_if(t.isNull()).alias("skipped"),
         rmse(t, p).alias("rmse"),
         r2(t, p).alias("r2"),
         squared_correlation(t, p).alias("pearson_r2"),
@@ -51,12 +63,11 @@ def compare_models(df: DataFrame, y_true: str, predictions: dict[str, str], base
 
     ``rmse_gain`` is the relative improvement over the baseline model's RMSE.
     """
-    t = F.col(y_true)
+    sides = {name: valid_pair(y_true, c) for name, c in predictions.items()}
     records = [
-        F.struct(F.lit(name).alias("model"), rmse(t, F.col(c)).alias("rmse"), r2(t, F.col(c)).alias("r2"))
-        for name, c in predictions.items()
+        F.struct(F.lit(name).alias("model"), rmse(t, p).alias("rmse"), r2(t, p).alias("r2")) for name, (t, p) in sides.items()
     ]
-    base = rmse(t, F.col(predictions[baseline])).alias("_base")
+    base = rmse(*sides[baseline]).alias("_base")
     rows = df.agg(F.array(*records).alias("_records"), base).select(F.explode("_records").alias("_r"), "_base")
     gain = F.try_divide(F.col("_base") - F.col("_r.rmse"), F.col("_base"))
     return rows.select("_r.model", "_r.rmse", "_r.r2", gain.alias("rmse_gain")).orderBy(F.desc("rmse"), "model")
@@ -78,18 +89,16 @@ def report_lines(df: DataFrame) -> DataFrame:
 # Histogram ----------------------------------------------------------------------------------------------------------
 
 
-def quartiles(df: DataFrame, column: str, rows: int, one_task_rows: int = ONE_TASK_ROWS) -> tuple[float, float]:
+def quartiles(df: DataFrame, column: str, rows: int) -> tuple[float, float]:
     """Exact linearly interpolated first and third quartile of ``rows`` present values.
 
-    The built-in exact percentile gathers every distinct value in one place. Here at most four ranks are looked up; on a
-    large table equal values are counted first, so a value that fills a third of it is one row.
+    The built-in exact percentile gathers every distinct value in one place. Here equal values are counted first, so a value
+    that fills a third of the table is one row, and at most four ranks are looked up.
     """
     places = [(rows - 1) * q for q in (0.25, 0.75)]
     ranks = sorted({int(p) + step for p in places for step in (1, 2) if int(p) + step <= rows})
-    values, weight = df.where(F.col(column).isNotNull()).select(column), None
-    if rows > one_task_rows:
-        values, weight = values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "_n"
-    held = rows_at_ranks(values, [], [column], ranks, weight, one_task_rows, most_rows=rows)
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    held = rows_at_ranks(stage(values, "value-counts"), [], [column], ranks, "_n")
     found = {r["rank"]: r[column] for r in held.select("rank", column).collect()}
     between = []
     for p in places:
@@ -107,27 +116,26 @@ def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
     return max(sturges, math.ceil((high - low) / spread) if spread > 0 else 0)
 
 
-def histogram(df: DataFrame, column: str, bins: int | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Equal-width histogram ``bin, low, high, count`` with empty bins, the last one closed."""
-    spark = df.sparkSession
+def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """Equal-width histogram ``bin, bins, low, high, count`` of the filled bins among ``bins``, the last one closed.
+
+    Values that are not finite have no bin. The result follows the data, however far an outlier lies.
+    """
+    spark, df = df.sparkSession, stage(df.select(finite(F.col(column)).alias(column)), "values")
     n, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
     if n == 0:
-        return spark.createDataFrame([], "bin long, low double, high double, count long")
+        return spark.createDataFrame([], "bin long, bins long, low double, high double, count long")
     if bins is None:
-        bins = bin_count(n, low, high, *quartiles(df, column, n, one_task_rows))
+        bins = bin_count(n, low, high, *quartiles(df, column, n))
     width = (high - low) / bins or 1.0
     place = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-    counts = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("_count"))
-    return (
-        spark.range(bins)
-        .withColumnRenamed("id", "bin")
-        .join(counts, "bin", "left")
-        .select(
-            "bin",
-            (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"),
-            (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"),
-            F.coalesce("_count", F.lit(0)).alias("count"),
-        )
+    counts = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return counts.select(
+        "bin",
+        F.lit(bins).cast("long").alias("bins"),
+        (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"),
+        (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"),
+        "count",
     )
 
 
@@ -138,7 +146,7 @@ def density(df: DataFrame, column: str, bin_width: float, points: int = 200, cel
     standing at the mean of its rows, so the work per grid point depends on the number of cells and not of rows; the
     relative error is about (1/64)² / 24.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, stage(df.select(finite(F.col(column)).alias(column)), "values")
     n, low, high, deviation = df.agg(F.count(column), F.min(column), F.max(column), F.stddev_samp(column)).first()
     if n < 2 or not deviation:
         return spark.createDataFrame([], "point long, x double, density double")
@@ -154,8 +162,15 @@ def density(df: DataFrame, column: str, bin_width: float, points: int = 200, cel
     scale = bin_width / (bandwidth * math.sqrt(2 * math.pi))
     x = F.lit(low) + F.col("point") * F.lit(step)
     z = (x - F.col("_center")) / F.lit(bandwidth)
+    # Beyond 39 bandwidths the kernel is zero in a double, so a cell only meets the points around it.
+    reach = F.lit(39 * bandwidth)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_center") - reach - F.lit(low)) / F.lit(step))).cast("long")
+    last = F.least(F.lit(points - 1), F.floor((F.col("_center") + reach - F.lit(low)) / F.lit(step))).cast("long")
+    met = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    grid = spark.range(points).select(F.col("id").alias("point"), F.lit(0).cast("long").alias("_weight"), F.lit(low).alias("_center"))
     return (
-        cells.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+        cells.select(F.explode(met).alias("point"), "_weight", "_center")
+        .unionByName(grid)
         .groupBy("point")
         .agg((F.sum(F.col("_weight") * F.exp(-z * z / 2)) * F.lit(scale)).alias("density"))
         .select("point", x.alias("x"), "density")
@@ -164,6 +179,8 @@ def density(df: DataFrame, column: str, bin_width: float, points: int = 200, cel
 
 def residual_profile(df: DataFrame, buckets: int = 20) -> DataFrame:
     """Residuals by equal-width bucket of the prediction: count, mean and spread per bucket."""
+    t, p = valid_pair("y_true", "y_pred")
+    df = df.select(t.alias("y_true"), p.alias("y_pred")).where(F.col("y_pred").isNotNull())
     low, high = df.agg(F.min("y_pred"), F.max("y_pred")).first()
     if low is None:
         low = high = 0.0
@@ -180,6 +197,8 @@ def residual_profile(df: DataFrame, buckets: int = 20) -> DataFrame:
 
 def residual_bias(df: DataFrame) -> DataFrame:
     """One row: slope of the residual over the true value (1 = predictions do not follow the target, 0 = no bias)."""
+    t, p = valid_pair("y_true", "y_pred")
+    df = df.select(t.alias("y_true"), p.alias("y_pred"))
     residual = F.col("y_true") - F.col("y_pred")
-    slope = F.try_divide(F.covar_pop(residual, F.col("y_true")), F.var_pop("y_true"))
+    slope = F.try_divide(F.covar_pop(residual, F.col("y_true")), F.var_pop(F.when(residual.isNotNull(), F.col("y_true"))))
     return df.agg(slope.alias("residual_slope"), F.avg(residual).alias("mean_residual"))

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from assayloom.operators.ordered import ONE_TASK_ROWS, rows_at_ranks, running
-from assayloom.operators.spread import HOT_ROWS, hot_keys_from_sizes, hot_limit, spread_join
+from assayloom.operators.ordered import rows_at_ranks, running
+from assayloom.operators.spread import HOT_ROWS, hot_keys_from_sizes, spread_join
 from assayloom.staging import stage
 
 SPLITS = ("train", "valid", "test")
@@ -31,11 +31,11 @@ def group_sizes(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min(row).alias("first_row"))
 
 
-def rank_in_size_class(groups: DataFrame, group: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def rank_in_size_class(groups: DataFrame, group: str) -> DataFrame:
     """Add ``class_rank``: 1 for the latest group among those of equal size."""
     one = groups.withColumn("_one", F.lit(1).cast("long"))
     order = ["-first_row", f"-{group}"]
-    return running(one, ["size"], order, {"class_rank": ("sum", "_one")}, one_task_rows=one_task_rows).drop("_one")
+    return running(one, ["size"], order, {"class_rank": ("sum", "_one")}).drop("_one")
 
 
 def fill_by_size(histogram: Iterable[tuple[int, int]], shares: Sequence[int] = SHARES) -> list[tuple[int, int, int, int]]:
@@ -60,7 +60,6 @@ def assign_groups(
     group: str,
     histogram: Sequence[tuple[int, int]],
     shares: Sequence[int] = SHARES,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``split`` to a staged table of group sizes whose ``(size, groups)`` histogram is given."""
     spark = groups.sparkSession
@@ -70,14 +69,12 @@ def assign_groups(
     cuts = [(size, ranks) for size, ranks in cuts if ranks]
     marks = {}
     if cuts:
-        ranks = F.broadcast(spark.createDataFrame(cuts, "size long, ranks array<long>"))
+        ranks = spark.createDataFrame(cuts, "size long, ranks array<long>")
         found = rows_at_ranks(
             groups.join(ranks.select("size"), "size", "left_semi"),
             ["size"],
             ["-first_row", f"-{group}"],
             ranks,
-            one_task_rows=one_task_rows,
-            most_rows=max(n for _, n, _, _ in filled),
         )
         # At most two rows per cut class.
         marks = {(r["size"], r["rank"]): (r["first_row"], r[group]) for r in found.collect()}
@@ -102,7 +99,7 @@ def assign_groups(
         .otherwise(SPLITS[2])
     )
     # One row per size class: at most sqrt(2 * rows).
-    return groups.join(F.broadcast(classes), "size").select(group, "size", "first_row", split.alias("split"))
+    return groups.join(classes, "size").select(group, "size", "first_row", split.alias("split"))
 
 
 def group_split(
@@ -110,21 +107,17 @@ def group_split(
     group: str,
     order: Sequence[str],
     shares: Sequence[int] = SHARES,
-    one_task_rows: int = ONE_TASK_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``split`` to every row. ``order`` names the columns that make row order explicit and unique.
 
-    Rows without a group key have no group to follow and are left out, as rows without a key are in curation.
+    No row is left out: rows without a group key form one group of their own.
     """
-    keyed = df.where(F.col(group).isNotNull())
-    groups = stage(group_sizes(keyed, group, order), "group-sizes")
+    groups = stage(group_sizes(df, group, order), "group-sizes")
     histogram = [(r["size"], r["count"]) for r in groups.groupBy("size").count().collect()]
-    assigned = assign_groups(groups, group, histogram, shares, one_task_rows).select(group, "split")
-    limit = hot_limit(sum(size * count for size, count in histogram), hot_rows)
-    largest = max((size for size, _ in histogram), default=0)
-    hot = hot_keys_from_sizes(groups, [group], "size", limit) if largest > limit else None
-    return spread_join(keyed, assigned, [group], spread_by=order, hot=hot)
+    assigned = assign_groups(groups, group, histogram, shares).select(group, "split")
+    hot = hot_keys_from_sizes(groups, [group], "size", hot_rows)
+    return spread_join(df, assigned, [group], order, hot, null_safe=True)
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

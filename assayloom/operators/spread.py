@@ -1,8 +1,9 @@
 """Equi-joins that stay balanced when one key holds a large share of the left side.
 
-A key is hot when it has more than ``max(hot_rows, rows / 2000)`` left rows, so there are at most 2,000 hot keys and the
-hot-key table is safe to broadcast. Hot keys are spread over several sub-keys: left rows by a hash of a row column, the
-few right rows of the key by copying them to every sub-key. All other keys join as usual. No row is dropped.
+A key is hot when it has more than a fixed number of left rows, whatever the size of the table. Hot keys are spread over
+several sub-keys: left rows by a hash of a row column, the few right rows of the key by copying them to every sub-key. All
+other keys have one sub-key. The table of hot keys is joined like any other, so their number has no limit, and null keys are
+spread too. There is one path for every size, and no row is dropped.
 """
 
 from __future__ import annotations
@@ -11,54 +12,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from assayloom.staging import stage
 
 HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 2_000
 _SALT, _COPIES = "_salt", "_copies"
 
 
-def hot_limit(rows: int, hot_rows: int = HOT_ROWS) -> int:
-    return max(hot_rows, rows // MOST_HOT_KEYS)
-
-
-def counting_keys(df: DataFrame, on: Sequence[str]) -> list[Column]:
-    """Columns to count group sizes by: the keys, or their 64-bit hash when text would have to be shuffled."""
-    has_text = any(isinstance(df.schema[k].dataType, StringType) for k in on)
-    return [F.xxhash64(*on).alias("_hash")] if has_text else [F.col(k) for k in on]
+def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], prefix: str, null_safe: bool = True) -> tuple[DataFrame, Column]:
+    """``right`` with its keys renamed, and the condition that they meet those of ``left``."""
+    renamed = right.withColumnsRenamed({k: f"{prefix}{k}" for k in on})
+    condition = F.lit(True)
+    for k in on:
+        mine, other = left[k], renamed[f"{prefix}{k}"]
+        condition = condition & (mine.eqNullSafe(other) if null_safe else mine == other)
+    return renamed, condition
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Hot keys with the number of sub-keys each gets, or None when there is none."""
-    rows = df.count()
-    if rows <= hot_rows:
-        return None
-    limit = hot_limit(rows, hot_rows)
-    counted = counting_keys(df, on)
-    sizes = df.groupBy(*counted).agg(F.count(F.lit(1)).alias("_rows"))
-    if "_hash" in sizes.columns:
-        # Two keys can share a hash, so keys are only looked up, and counted one by one, under the hashes that are hot.
-        hashes = [r["_hash"] for r in sizes.where(F.col("_rows") > limit).select("_hash").collect()]
-        if not hashes:
-            return None
-        sizes = df.where(F.xxhash64(*on).isin(hashes)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_keys_from_sizes(sizes, on, "_rows", limit)
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hot keys, null ones too, with the number of sub-keys each gets; empty when there is none."""
+    return hot_keys_from_sizes(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), on, "_rows", hot_rows)
 
 
-def hot_keys_from_sizes(sizes: DataFrame, on: Sequence[str], rows: str, limit: int) -> DataFrame | None:
-    copies = F.ceil(F.col(rows) / F.lit(max(limit, 1))).cast("int").alias(_COPIES)
-    hot = sizes.where(F.col(rows) > limit).select(*on, copies)
-    found = hot.collect()
-    return hot.sparkSession.createDataFrame(found, hot.schema) if found else None
+def hot_keys_from_sizes(sizes: DataFrame, on: Sequence[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    copies = F.ceil(F.col(rows) / F.lit(max(hot_rows, 1))).cast("int").alias(_COPIES)
+    return stage(sizes.where(F.col(rows) > hot_rows).select(*on, copies), "hot-keys")
 
 
-def part_by_heat(df: DataFrame, on: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of all other keys, and rows of the hot keys; null keys take part like any key."""
-    marked = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in on]))
-    same = F.lit(True)
-    for k in on:
-        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    return df.join(marked, same, "left_anti"), df.join(marked, same, "left_semi")
+def _with_copies(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    marked, condition = same_keys(df, hot, on, "_hot_")
+    return df.join(marked, condition, "left").drop(*[f"_hot_{k}" for k in on])
 
 
 def spread_join(
@@ -66,27 +49,21 @@ def spread_join(
     right: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
+    hot: DataFrame,
     how: str = "inner",
-    hot: DataFrame | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``right`` (few rows per key) to ``left``; ``how`` is inner, left, left_semi or left_anti.
 
-    ``spread_by`` names left columns that differ between the rows of one key. ``hot`` comes from :func:`hot_keys`; with
-    None this is an ordinary join.
+    ``spread_by`` names left columns that differ between the rows of one key. ``hot`` comes from :func:`hot_keys`. With
+    ``null_safe`` null keys meet each other.
     """
     on = list(on)
-    if hot is None:
-        return left.join(right, on, how)
     copies = F.coalesce(F.col(_COPIES), F.lit(1))
-    marked = F.broadcast(hot)
-    salted_left = (
-        left.join(marked, on, "left")
-        .withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), copies.cast("long")).cast("int"))
-        .drop(_COPIES)
-    )
-    salted_right = (
-        right.join(marked, on, "left")
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), copies - 1)))
-        .drop(_COPIES)
-    )
-    return salted_left.join(salted_right, [*on, _SALT], how).drop(_SALT)
+    salt = F.pmod(F.xxhash64(*spread_by), copies.cast("long")).cast("int")
+    salted_left = _with_copies(left, on, hot).withColumn(_SALT, salt).drop(_COPIES)
+    every = F.explode(F.sequence(F.lit(0), copies - 1))
+    salted_right = _with_copies(right, on, hot).withColumn("_right_salt", every).drop(_COPIES)
+    renamed, condition = same_keys(salted_left, salted_right, on, "_right_", null_safe)
+    joined = salted_left.join(renamed, condition & (salted_left[_SALT] == renamed["_right_salt"]), how)
+    return joined.drop(_SALT, "_right_salt", *[f"_right_{k}" for k in on])

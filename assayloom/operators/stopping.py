@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.ordered import ONE_TASK_ROWS, running
-from assayloom.operators.spread import hot_keys, part_by_heat
+from assayloom.operators.ordered import join_null_safe, running
+from assayloom.staging import stage
+
+#: Running maxima that one run may hold in one row; longer runs are followed by joins.
+HELD_RECORDS = 10_000
 
 
 def _log(logs: DataFrame, run: str, order: list[str], metric: str, larger_is_better: bool) -> DataFrame:
@@ -20,37 +20,57 @@ def _log(logs: DataFrame, run: str, order: list[str], metric: str, larger_is_bet
 
 
 def improvements(
-    log: DataFrame, run: str, order: list[str], gap: float, most_epochs: int | None, one_task_rows: int
+    log: DataFrame, run: str, order: list[str], gap: float, most_epochs: int | None, held_records: int
 ) -> DataFrame:
     """``run, epoch, value`` of the epochs that beat the best so far by more than ``gap``; epochs count from 1.
 
     With a gap the best so far is not the running maximum. But an epoch that improves by more than the gap is always a
-    strict running maximum too, so the ordered walk only sees those: a handful per run in practice, at most
-    ``most_epochs`` if that is given. The walk keeps one value in memory.
+    strict running maximum too, so only those are looked at. A run with up to ``held_records`` of them is folded in its row. In
+    a longer one each points to the first later one above its value plus the gap, and the chain from the first is followed by
+    doubling: as many joins as its length has binary digits, and no run has to fit a task.
     """
     outputs = {"epoch": ("sum", "_one"), "_best": ("max_before", "_value")}
-    seen = running(log, [run], order, outputs, one_task_rows=one_task_rows)
+    seen = running(log, [run], order, outputs)
     if most_epochs is not None:
         seen = seen.where(F.col("epoch") <= most_epochs)
     higher = F.col("_best").isNull() | (F.col("_value") > F.col("_best"))
     records = seen.where(F.col("_value").isNotNull() & higher).select(run, "epoch", F.col("_value").alias("value"))
-    walked = records.repartition(run).sortWithinPartitions(run, "epoch")
-    return walked.mapInPandas(_keep_gap(run, gap), records.schema)
-
-
-def _keep_gap(run: str, gap: float):
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, best = None, None
-        for frame in frames:
-            keep = []
-            for name, value in zip(frame[run], frame["value"]):
-                better = name != current or value > best + gap
-                if better:
-                    current, best = name, value
-                keep.append(better)
-            yield frame[keep]
-
-    return walk
+    records = stage(records, "running-maxima")
+    sizes = records.groupBy(run).agg((F.count(F.lit(1)) > held_records).alias("_long"))
+    sized = join_null_safe(records, sizes, [run])
+    short = _folded(sized.where(~F.col("_long")).drop("_long"), run, gap)
+    return short.unionByName(_followed(stage(sized.where("_long").drop("_long"), "long-runs"), run, gap))
+
+
+def _folded(records: DataFrame, run: str, gap: float) -> DataFrame:
+    step = F.struct("epoch", "value")
+    held = records.groupBy(run).agg(F.array_sort(F.collect_list(step)).alias("_held"))
+    none = F.array().cast("array<struct<epoch:bigint,value:double>>")
+
+    def kept(sofar: Column, record: Column) -> Column:
+        better = (F.size(sofar) == 0) | (record["value"] > F.element_at(sofar, -1)["value"] + gap)
+        return F.when(better, F.array_append(sofar, record)).otherwise(sofar)
+
+    return held.select(run, F.inline(F.aggregate("_held", none, kept)))
+
+
+def _followed(records: DataFrame, run: str, gap: float) -> DataFrame:
+    # Records and, a gap higher, the question of each; from the top down, the earliest record so far is the answer. On equal
+    # values the question comes first, since the answer has to be above it.
+    is_record = records.select(run, F.col("value").alias("_at"), F.lit(0).alias("_asks"), "epoch", (-F.col("epoch")).alias("_back"))
+    asks = records.select(run, (F.col("value") + gap).alias("_at"), F.lit(1).alias("_asks"), "epoch", F.lit(None).cast("long").alias("_back"))
+    answered = running(is_record.unionByName(asks), [run], ["-_at", "-_asks", "epoch"], {"_next": ("max", "_back")})
+    jumps = answered.where("_asks = 1 and _next is not null").select(run, "epoch", (-F.col("_next")).alias("_to"))
+    jumps = stage(jumps, "jumps")
+    reached = stage(records.groupBy(run).agg(F.min("epoch").alias("epoch")), "reached")
+    before, after = -1, reached.count()
+    while before < after:
+        ahead = join_null_safe(reached, jumps, [run, "epoch"]).select(run, F.col("_to").alias("epoch"))
+        reached = stage(reached.unionByName(ahead).distinct(), "reached")
+        further = jumps.select(run, F.col("epoch").alias("_to"), F.col("_to").alias("_last"))
+        jumps = stage(join_null_safe(jumps, further, [run, "_to"]).select(run, "epoch", F.col("_last").alias("_to")), "jumps")
+        before, after = after, reached.count()
+    return join_null_safe(records, reached, [run, "epoch"])
 
 
 def early_stops(
@@ -62,16 +82,18 @@ def early_stops(
     gap: float = 1e-4,
     larger_is_better: bool = True,
     most_epochs: int | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    held_records: int = HELD_RECORDS,
 ) -> DataFrame:
     """``run, epochs, best_epoch, best_value, stop_epoch`` of each run under a patience rule.
 
     A run stops at the epoch that is the ``patience``-th in a row without an improvement by more than ``gap``, and nothing
-    after it counts. ``stop_epoch`` is null for a run that ends before that. ``most_epochs`` is the trainer's own limit.
+    after it counts. Rows without a run are a run. ``stop_epoch`` is null for a run that ends before that. ``most_epochs`` is the trainer's own limit.
     """
     log = _log(logs, run, order, metric, larger_is_better)
-    decide = _stops_with_gap if gap > 0 else _stops_without_gap
-    found = decide(log, run, order, patience, gap, most_epochs, one_task_rows)
+    if gap > 0:
+        found = _stops_with_gap(log, run, order, patience, gap, most_epochs, held_records)
+    else:
+        found = _stops_without_gap(log, run, order, patience, most_epochs)
     value = F.col("_at.value") if larger_is_better else -F.col("_at.value")
     return found.select(
         run,
@@ -83,19 +105,13 @@ def early_stops(
 
 
 def _stops_without_gap(
-    log: DataFrame, run: str, order: list[str], patience: int, _: float, most_epochs: int | None, one_task_rows: int
+    log: DataFrame, run: str, order: list[str], patience: int, most_epochs: int | None
 ) -> DataFrame:
     """Running maxima and one aggregate: no run has to fit one task."""
-    hot = hot_keys(log, [run], one_task_rows)
-    sides = [log] if hot is None else part_by_heat(log, [run], hot)
-    marked = []
-    for part, most_rows in zip(sides, (one_task_rows, one_task_rows + 1)):
-        numbered = running(part, [run], order, {"epoch": ("sum", "_one")}, one_task_rows, most_rows)
-        # The largest (value, -epoch) so far is the best value at its first epoch, which is the last improvement.
-        mark = F.when(F.col("_value").isNotNull(), F.struct("_value", (-F.col("epoch")).alias("_back")))
-        numbered = numbered.withColumn("_mark", mark)
-        marked.append(running(numbered, [run], order, {"_top": ("max", "_mark")}, one_task_rows, most_rows))
-    rows = marked[0] if hot is None else marked[0].unionByName(marked[1])
+    numbered = running(log, [run], order, {"epoch": ("sum", "_one")})
+    # The largest (value, -epoch) so far is the best value at its first epoch, which is the last improvement.
+    mark = F.when(F.col("_value").isNotNull(), F.struct("_value", (-F.col("epoch")).alias("_back")))
+    rows = running(numbered.withColumn("_mark", mark), [run], order, {"_top": ("max", "_mark")})
     if most_epochs is not None:
         rows = rows.where(F.col("epoch") <= most_epochs)
     last = F.coalesce(-F.col("_top._back"), F.lit(0))
@@ -112,15 +128,15 @@ def _stops_without_gap(
 
 
 def _stops_with_gap(
-    log: DataFrame, run: str, order: list[str], patience: int, gap: float, most_epochs: int | None, one_task_rows: int
+    log: DataFrame, run: str, order: list[str], patience: int, gap: float, most_epochs: int | None, held_records: int
 ) -> DataFrame:
-    found = improvements(log, run, order, gap, most_epochs, one_task_rows)
+    found = improvements(log, run, order, gap, most_epochs, held_records)
     lengths = log.groupBy(run).agg(F.count(F.lit(1)).alias("epochs"))
     if most_epochs is not None:
         lengths = lengths.withColumn("epochs", F.least("epochs", F.lit(most_epochs).cast("long")))
     starts = lengths.select(run, F.lit(0).cast("long").alias("epoch"), F.lit(None).cast("double").alias("value"))
     following = F.lead("epoch").over(Window.partitionBy(run).orderBy("epoch"))
-    steps = starts.unionByName(found).withColumn("_next", following).join(lengths, run)
+    steps = join_null_safe(starts.unionByName(found).withColumn("_next", following), lengths, [run])
     stop = F.col("epoch") + patience
     stops = (F.col("_next").isNull() | (F.col("_next") > stop)) & (stop <= F.col("epochs"))
     merged = steps.groupBy(run).agg(

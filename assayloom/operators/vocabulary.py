@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.text import MAX_TOKENS, RESERVED_IDS, UNKNOWN_ID, tokens, truncated
-from assayloom.operators.ordered import ONE_TASK_ROWS, running
+from assayloom.functions.text import RESERVED_IDS, UNKNOWN_ID, tokens, truncated
+from assayloom.operators.ordered import running
 from assayloom.operators.spread import HOT_ROWS, hot_keys, spread_join
 from assayloom.staging import stage
 
-BROADCAST_TOKENS = 500_000
 
-
-def build_vocabulary(df: DataFrame, text: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def build_vocabulary(df: DataFrame, text: str) -> DataFrame:
     """``token, uses, token_id`` over all tokens of all whole texts, the most used first, ties by token.
 
     Ids start above the reserved ones (padding, unknown). The texts are read once; the staged counts are ordered.
@@ -22,7 +20,7 @@ def build_vocabulary(df: DataFrame, text: str, one_task_rows: int = ONE_TASK_ROW
     counted = stage(used.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "token-counts")
     one = F.lit(1).cast("long")
     outputs = {"_rank": ("sum", "_one")}
-    ranked = running(counted.withColumn("_one", one), [], ["-uses", "token"], outputs, one_task_rows)
+    ranked = running(counted.withColumn("_one", one), [], ["-uses", "token"], outputs)
     return ranked.select("token", "uses", (F.col("_rank") + (RESERVED_IDS - 1)).cast("int").alias("token_id"))
 
 
@@ -31,24 +29,20 @@ def encode_tokens(
     key: str,
     text: str,
     vocabulary: DataFrame,
-    length: int = MAX_TOKENS,
-    broadcast_tokens: int = BROADCAST_TOKENS,
+    length: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``key, ids``: vocabulary ids of the first ``length`` tokens of each text; tokens it lacks get the unknown id.
+    """``key, ids``: vocabulary ids of all tokens of each whole text; tokens it lacks get the unknown id.
 
-    A vocabulary of at most ``broadcast_tokens`` is broadcast. A larger one is joined with the frequent tokens spread.
-    The regrouping shuffles ids, not text, and a group holds at most ``length`` of them. ``key`` is unique.
+    ``length`` cuts texts for a model whose window ends there. The lookup is a join with frequent tokens spread; Spark decides
+    by size whether it broadcasts. The regrouping shuffles ids, not text. ``key`` is unique.
     """
-    window = truncated(tokens(F.col(text)), length)
+    window = tokens(F.col(text)) if length is None else truncated(tokens(F.col(text)), length)
     # A text without tokens keeps one row with a null place; its stand-in token holds a space, so it is no word.
     placed = df.select(key, F.posexplode_outer(window).alias("_place", "token"))
     placed = placed.withColumn("token", F.coalesce("token", F.lit(" ")))
     ids = vocabulary.select("token", "token_id")
-    if ids.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
-        found = placed.join(F.broadcast(ids), "token", "left")
-    else:
-        found = spread_join(placed, ids, ["token"], [key, "_place"], "left", hot_keys(placed, ["token"], hot_rows))
+    found = spread_join(placed, ids, ["token"], [key, "_place"], hot_keys(placed, ["token"], hot_rows), "left")
     pair = F.struct("_place", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
     pairs = F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), pair)))
     return found.groupBy(key).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))

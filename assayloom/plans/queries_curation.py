@@ -14,7 +14,7 @@ from assayloom.plans.curation import clean_measurements, curate, keep_complete,
 from assayloom.plans.queries_evaluation import price_predictions
 from assayloom.sinks.files import append_metrics, write_csv, write_parameters, write_records
 from assayloom.sources.files import METRICS_SCHEMA, read_csv, read_parameters, read_records, with_defaults
-from assayloom.sources.tables import MissingInput, dealt_out, filtered_scan, result_size, scan, table
+from assayloom.sources.tables import MissingInput, filtered_scan, result_size, scan, table
 from assayloom.staging import fresh_path
 
 RETURNED = {"l_returnflag": "R", "l_linestatus": "F"}
@@ -56,7 +56,7 @@ def numeric_rows_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return dealt_out(table(spark, sf, "documents").select("doc_id", "n_chars", "text"))
+    return table(spark, sf, "documents").select("doc_id", "n_chars", "text")
 
 
 def canonical_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,6 +97,21 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv(spark, path, "p_partkey LONG, p_name STRING, p_type STRING, p_retailprice DOUBLE")
 
 
+def csv_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Document texts with blanks around, quotes, line breaks, the empty text and nulls, written as CSV and read back."""
+    kind, text = F.col("doc_id") % 7, F.col("text")
+    texts = (
+        F.when(kind == 0, F.concat(F.lit("  "), text, F.lit(" \t")))
+        .when(kind == 1, F.concat(F.lit('"'), text, F.lit('",""')))
+        .when(kind == 2, F.concat(F.lit("\r\n"), text, F.lit("\\\n")))
+        .when(kind == 3, F.lit(""))
+        .when(kind != 4, text)
+    )
+    path = fresh_path(spark, "csv")
+    write_csv(table(spark, sf, "documents").select("doc_id", texts.alias("text"), "lang"), path)
+    return read_csv(spark, path, "doc_id LONG, text STRING, lang STRING", malformed="FAILFAST")
+
+
 def records_to_table(spark: SparkSession, sf: str) -> DataFrame:
     """Event records as JSON lines, read back as a typed table with one field the records do not have."""
     path = fresh_path(spark, "records")
@@ -159,6 +174,7 @@ QUERIES = {
     "label_balance": label_balance,
     "log_targets": log_targets,
     "csv_round_trip": csv_round_trip,
+    "csv_texts": csv_texts,
     "records_to_table": records_to_table,
     "parameters_with_defaults": parameters_with_defaults,
     "runs_table": runs_table,
@@ -208,6 +224,10 @@ ORACLE = {
           SELECT c_custkey,
                  CASE WHEN c_acctbal * 10 + 1e-10 > 0 THEN round(9 - log10(c_acctbal * 10 + 1e-10), 6) END AS y
           FROM customer)""",
+    "csv_texts": """
+        SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '  ' || text || ' ' || chr(9) WHEN 1 THEN '"' || text || '",""'
+               WHEN 2 THEN chr(13) || chr(10) || text || chr(92) || chr(10) WHEN 3 THEN '' WHEN 4 THEN NULL ELSE text END AS text,
+               lang FROM documents""",
     "csv_round_trip": "SELECT p_partkey, p_name, p_type, p_retailprice FROM part",
     "records_to_table": "SELECT event_id, event_type, value, 0 AS has_unit FROM events",
     "parameters_with_defaults": """

@@ -129,7 +129,65 @@ def class_runs_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patience_stops(spark: SparkSession, sf: str) -> DataFrame:
-    return stopping.early_stops(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", most_epochs=100)
+    """Every run to its end, with a gap of several units, so that the gap decides."""
+    return stopping.early_stops(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", gap=7.5)
+
+
+def patience_stops_long_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where nearly every run counts as too long for one row."""
+    events = table(spark, sf, "events")
+    return stopping.early_stops(events, "user_id", ["ts", "event_id"], "value", gap=7.5, held_records=2)
+
+
+def patience_stops_null_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of every third user have lost their run; together they are one."""
+    run = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    events = table(spark, sf, "events").withColumn("run", run)
+    return stopping.early_stops(events, "run", ["ts", "event_id"], "value", gap=7.5)
+
+
+def capped_patience_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """A trainer that ends after 20 epochs."""
+    events = table(spark, sf, "events")
+    return stopping.early_stops(events, "user_id", ["ts", "event_id"], "value", gap=7.5, most_epochs=20)
+
+
+def uneven_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Price predictions with missing, NaN and infinite sides."""
+    key = F.col("l_partkey")
+    lost = F.when(key % 11 == 0, F.lit(None)).when(key % 13 == 0, F.lit(float("nan"))).when(key % 17 == 0, F.lit(float("inf")))
+    whole = (key % 11 != 0) & (key % 13 != 0) & (key % 17 != 0)
+    rows = price_predictions(spark, sf).withColumn("y_pred", F.when(whole, F.col("y_pred")).otherwise(lost.cast("double")))
+    return rows.withColumn("y_true", F.when(key % 19 != 0, F.col("y_true")))
+
+
+def uneven_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(regression.regression_metrics(uneven_predictions(spark, sf), by=["l_returnflag"]))
+
+
+def uneven_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    residuals = regression.with_residuals(uneven_predictions(spark, sf)).select("residual")
+    return rounded(regression.histogram(residuals, "residual", bins=32))
+
+
+def uneven_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion matrix and rates of orders with missing and foreign labels."""
+    key = F.col("o_orderkey")
+    orders = urgency(spark, sf).withColumns(
+        {
+            "true": F.when(key % 7 == 0, F.lit(None)).when(key % 11 == 0, F.lit(2)).otherwise(F.col("true")),
+            "predicted": F.when(key % 13 != 0, F.col("predicted")),
+        }
+    )
+    rates = classification.classification_metrics(orders).drop("unlabelled")
+    return rounded(classification.confusion_matrix(orders).crossJoin(F.broadcast(rates)))
+
+
+def uneven_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Area under the curve of the orders that have a finite score."""
+    key = F.col("o_orderkey")
+    score = F.when(key % 5 == 0, F.lit(float("nan"))).when(key % 7 != 0, F.col("score"))
+    return rounded(classification.roc_auc(urgency(spark, sf).withColumn("score", score), "true", "score"))
 
 
 def round_stops(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,6 +218,13 @@ QUERIES = {
     "area_under_curve": area_under_curve,
     "class_runs_table": class_runs_table,
     "patience_stops": patience_stops,
+    "patience_stops_long_runs": patience_stops_long_runs,
+    "patience_stops_null_runs": patience_stops_null_runs,
+    "capped_patience_stops": capped_patience_stops,
+    "uneven_metrics": uneven_metrics,
+    "uneven_histogram": uneven_histogram,
+    "uneven_classes": uneven_classes,
+    "uneven_auc": uneven_auc,
     "round_stops": round_stops,
     "best_epochs": best_epochs,
 }
@@ -207,6 +272,30 @@ def _stops_sql(patience: int, sign: str, most: str) -> str:
         JOIN better b ON b.user_id = l.user_id AND b.pos = coalesce(s.best_epoch, l.last_epoch)"""
 
 
+def _literal_stops(run: str, most: str, name: str = "user_id") -> str:
+    """The patience loop as it stands, epoch by epoch."""
+    return f"""
+        WITH RECURSIVE log AS (
+          SELECT {run} AS r, value AS v, row_number() OVER (PARTITION BY {run} ORDER BY ts, event_id) AS e FROM events),
+        kept AS (SELECT * FROM log WHERE e <= {most}),
+        walk AS (
+          SELECT r, e, v AS best, e AS since, 0 AS waited FROM kept WHERE e = 1
+          UNION ALL
+          SELECT k.r, k.e, CASE WHEN k.v > best + 7.5 THEN k.v ELSE best END, CASE WHEN k.v > best + 7.5 THEN k.e ELSE since END,
+                 CASE WHEN k.v > best + 7.5 THEN 0 ELSE waited + 1 END
+          FROM walk w JOIN kept k ON k.r IS NOT DISTINCT FROM w.r AND k.e = w.e + 1 WHERE waited < 10),
+        ends AS (SELECT r, max(e) AS e FROM walk GROUP BY r),
+        sizes AS (SELECT r, count(*) AS epochs FROM kept GROUP BY r)
+        SELECT w.r AS {name}, epochs, since AS best_epoch, best AS best_value, CASE WHEN waited = 10 THEN w.e END AS stop_epoch
+        FROM walk w JOIN ends n ON n.r IS NOT DISTINCT FROM w.r AND n.e = w.e
+        JOIN sizes s ON s.r IS NOT DISTINCT FROM w.r"""
+
+
+_UNEVEN = """
+  SELECT l_returnflag, t, p, good FROM (
+    SELECT l_returnflag, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS t, l_extendedprice AS p,
+           l_partkey % 11 <> 0 AND l_partkey % 13 <> 0 AND l_partkey % 17 <> 0 AND l_partkey % 19 <> 0 AS good FROM lineitem)"""
+
 _RATES = """
   round(avg((y = yhat)::INT), 6) AS accuracy, round(sum(y * yhat) / sum(yhat), 6) AS precision,
   round(sum(y * yhat) / sum(y), 6) AS recall, round(2 * sum(y * yhat) / (sum(y) + sum(yhat)), 6)"""
@@ -220,9 +309,9 @@ ORACLE = {
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(e, 6) AS residual, round(abs(e), 6) AS absolute_error
         FROM ({_LINES})""",
     "price_metrics": f"""
-        SELECT count(*) AS n, {_metrics("p")}, round(pow(corr(t, p), 2), 6) AS pearson_r2 FROM ({_LINES})""",
+        SELECT count(*) AS n, 0 AS skipped, {_metrics("p")}, round(pow(corr(t, p), 2), 6) AS pearson_r2 FROM ({_LINES})""",
     "retail_metrics": f"""
-        SELECT count(*) AS n, {_metrics("q")}, round(pow(corr(t, q), 2), 6) AS pearson_r2 FROM ({_LINES})""",
+        SELECT count(*) AS n, 0 AS skipped, {_metrics("q")}, round(pow(corr(t, q), 2), 6) AS pearson_r2 FROM ({_LINES})""",
     "worst_predictions": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(abs(e), 6) AS absolute_error,
                printf('True: %.2f | Predicted: %.2f | Residual: %.2f', t, p, e) AS line
@@ -242,9 +331,8 @@ ORACLE = {
               FROM s),
         w AS (SELECT *, (hi - lo) / bins AS width FROM b),
         c AS (SELECT least(floor((e - lo) / width), bins - 1)::BIGINT AS bin, count(*) AS count FROM e, w GROUP BY 1)
-        SELECT r.bin, round(lo + r.bin * width, 6) AS low, round(lo + (r.bin + 1) * width, 6) AS high,
-               coalesce(c.count, 0) AS count
-        FROM w, (SELECT unnest(range(bins)) AS bin FROM b) r LEFT JOIN c ON c.bin = r.bin""",
+        SELECT c.bin, bins, round(lo + c.bin * width, 6) AS low, round(lo + (c.bin + 1) * width, 6) AS high, c.count
+        FROM w, c""",
     "residual_density": f"""
         WITH e AS (SELECT e FROM ({_LINES})),
         s AS (SELECT count(*) AS n, min(e) AS lo, max(e) AS hi, stddev_samp(e) * pow(count(*), -0.2) AS h FROM e),
@@ -263,10 +351,10 @@ ORACLE = {
     "residual_bias": f"""
         SELECT round(regr_slope(e, t), 6) AS residual_slope, round(avg(e), 6) AS mean_residual FROM ({_LINES})""",
     "confusion_matrix": f"""
-        SELECT g.t AS true, g.p AS predicted, count(o.y) AS count
+        SELECT g.t AS true, g.p AS predicted, count(o.y) AS count, 0 AS unlabelled
         FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(t, p) LEFT JOIN ({_ORDERS}) o ON o.y = g.t AND o.yhat = g.p
         GROUP BY g.t, g.p""",
-    "classification_metrics": f"SELECT {_RATES} AS f1 FROM ({_ORDERS})",
+    "classification_metrics": f"SELECT {_RATES} AS f1, 0 AS unlabelled FROM ({_ORDERS})",
     "class_runs_table": f"""
         SELECT 'urgency' AS run, {_RATES} AS "f1-score", ({_AUC}) AS "ROC-AUC" FROM ({_ORDERS})""",
     "cumulative_positives": f"SELECT s AS score, positives, negatives, tp, fp FROM ({_CURVE})",
@@ -281,7 +369,37 @@ ORACLE = {
         c AS (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y UNION ALL SELECT fp / n, tp / p FROM ({_CURVE}), t)
         SELECT round(sum((x - lx) * (y + ly) / 2), 6) AS area
         FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y) AS lx, lag(y) OVER (ORDER BY x, y) AS ly FROM c)""",
-    "patience_stops": _stops_sql(10, "", "100"),
+    "patience_stops": _literal_stops("user_id", "9223372036854775807"),
+    "patience_stops_long_runs": _literal_stops("user_id", "9223372036854775807"),
+    "patience_stops_null_runs": _literal_stops(
+        "CASE WHEN user_id % 3 <> 0 THEN 'u' || user_id END", "9223372036854775807", "run"
+    ),
+    "capped_patience_stops": _literal_stops("user_id", "20"),
+    "uneven_metrics": f"""
+        SELECT l_returnflag, count(t) FILTER (good) AS n, count(*) FILTER (NOT coalesce(good, false)) AS skipped,
+               round(sqrt(avg(pow(t - p, 2)) FILTER (good)), 6) AS rmse,
+               round(1 - sum(pow(t - p, 2)) FILTER (good) / (var_pop(t) FILTER (good) * count(*) FILTER (good)), 6) AS r2,
+               round(pow(corr(t, p) FILTER (good), 2), 6) AS pearson_r2
+        FROM ({_UNEVEN}) GROUP BY l_returnflag""",
+    "uneven_histogram": f"""
+        WITH e AS (SELECT t - p AS e FROM ({_UNEVEN}) WHERE good),
+        s AS (SELECT min(e) AS lo, (max(e) - min(e)) / 32 AS width FROM e)
+        SELECT least(floor((e - lo) / width), 31)::BIGINT AS bin, 32 AS bins,
+               round(any_value(lo) + bin * any_value(width), 6) AS low,
+               round(any_value(lo) + (bin + 1) * any_value(width), 6) AS high, count(*) AS count
+        FROM e, s GROUP BY bin""",
+    "uneven_classes": f"""
+        WITH o AS (
+          SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 2 ELSE y END AS y,
+                 CASE WHEN o_orderkey % 13 <> 0 THEN yhat END AS yhat FROM ({_ORDERS})),
+        k AS (SELECT * FROM o WHERE y IN (0, 1) AND yhat IN (0, 1)),
+        r AS (SELECT {_RATES} AS f1, (SELECT count(*) FROM o) - count(*) AS unlabelled FROM k)
+        SELECT g.t AS true, g.p AS predicted, (SELECT count(*) FROM k WHERE y = g.t AND yhat = g.p) AS count, r.*
+        FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(t, p), r""",
+    "uneven_auc": f"""
+        WITH k AS (SELECT * FROM ({_ORDERS}) WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)
+        SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc
+        FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM k)""",
     "round_stops": _stops_sql(20, "-", "9223372036854775807"),
     "best_epochs": """
         SELECT user_id, arg_min(event_id, {'v': value, 'e': event_id}) AS best_epoch, min(value) AS best_metric

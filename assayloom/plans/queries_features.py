@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from assayloom.functions import requests, text, vectors
 from assayloom.operators.vocabulary import build_vocabulary, encode_tokens
-from assayloom.sources.tables import dealt_out, table
-from assayloom.streaming.scoring import accepted, check_vectors, read_requests, rejected
+from assayloom.sources.tables import table
+from assayloom.streaming.scoring import check_vectors, read_requests, rejected
 
 LEAST_TOKENS = 8
 
@@ -18,7 +18,7 @@ def joined(array: Column) -> Column:
 
 
 def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    return dealt_out(table(spark, sf, name).select(*columns, "text"))
+    return table(spark, sf, name).select(*columns, "text")
 
 
 def token_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,6 +45,13 @@ def token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("place.conv_id", "place.turn", F.size("ids").alias("length"), F.md5(joined(F.col("ids"))).alias("ids_digest"))
 
 
+def document_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as ids; frequent words are spread over several sub-keys."""
+    documents = texts(spark, sf, "documents", "doc_id")
+    encoded = encode_tokens(documents, "doc_id", "text", vocabulary(spark, sf), hot_rows=5_000)
+    return encoded.select("doc_id", F.size("ids").alias("length"), F.md5(joined(F.col("ids"))).alias("ids_digest"))
+
+
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     bits = text.fingerprint(text.tokens(F.col("text")))
     documents = texts(spark, sf, "documents", "doc_id").select("doc_id", bits.alias("bits"))
@@ -122,10 +129,11 @@ def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def accepted_responses(spark: SparkSession, sf: str) -> DataFrame:
     """The nested response of every good request, with the event value standing in for the model, as flat columns."""
-    good = accepted(read_requests(request_bodies(spark, sf), "body", "smiles"))
+    checked = read_requests(request_bodies(spark, sf), "body", "smiles")
+    good = checked.where(F.col("error").isNull())
     chance = F.col("value") / 300
     answered = good.withColumn(
-        "r", requests.response(F.col("smiles"), F.col("value") >= 20, chance, F.lit(9) - chance)
+        "r", requests.response(F.col("smiles"), F.col("value") >= 20, chance, F.lit(9) - chance, F.col("error"))
     )
     return answered.select("event_id", "r.smiles", "r.classification.*", "r.regression.*", "r.status").withColumn(
         "is_toxic", F.col("is_toxic").cast("int")
@@ -136,6 +144,7 @@ QUERIES = {
     "token_windows": token_windows,
     "vocabulary": vocabulary,
     "token_ids": token_ids,
+    "document_token_ids": document_token_ids,
     "fingerprints": fingerprints,
     "usable_fingerprints": usable_fingerprints,
     "stacked_batches": stacked_batches,
@@ -185,12 +194,18 @@ ORACLE = {
     "vocabulary": _VOCABULARY,
     "token_ids": f"""
         WITH v AS ({_VOCABULARY}),
-        t AS (SELECT conv_id, turn, unnest(({_TOKENS})[1:512]) AS token,
-                     unnest(range(len(({_TOKENS})[1:512]))) AS place FROM conversations)
+        t AS (SELECT conv_id, turn, unnest({_TOKENS}) AS token, unnest(range(len({_TOKENS}))) AS place FROM conversations)
         SELECT conv_id, turn, count(*)::INT AS length,
                md5(string_agg(coalesce(token_id, 1)::VARCHAR, ' ' ORDER BY place)) AS ids_digest
         FROM t LEFT JOIN v USING (token) GROUP BY conv_id, turn
         UNION ALL SELECT conv_id, turn, 0, md5('') FROM conversations WHERE len({_TOKENS}) = 0""",
+    "document_token_ids": f"""
+        WITH v AS ({_VOCABULARY}),
+        t AS (SELECT doc_id, unnest({_TOKENS}) AS token, unnest(range(len({_TOKENS}))) AS place FROM documents)
+        SELECT doc_id, count(*)::INT AS length,
+               md5(string_agg(coalesce(token_id, 1)::VARCHAR, ' ' ORDER BY place)) AS ids_digest
+        FROM t LEFT JOIN v USING (token) GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, md5('') FROM documents WHERE len({_TOKENS}) = 0""",
     "fingerprints": f"""
         SELECT doc_id, len(bits)::INT AS bits_set, md5(array_to_string(bits, ' ')) AS bits_digest
         FROM ({_bits_sql("documents", "doc_id")})""",

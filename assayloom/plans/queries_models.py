@@ -5,8 +5,6 @@ Trees are kept small: the tables here are small, and the plans do not depend on
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +15,14 @@ from assayloom.learning import boosting, search
 from assayloom.learning.encoding import encode_texts
 from assayloom.learning.features import with_fingerprint_vector
 from assayloom.operators.split import group_split
+from assayloom.plans.queries_split import split_sql
 from assayloom.plans.training import CLASSIFICATION, REGRESSION, train_and_evaluate, tune
 from assayloom.sinks.files import save_model
 from assayloom.sources.files import read_parameters
 from assayloom.sources.models import load_model
-from assayloom.sources.tables import dealt_out, table
+from assayloom.sources.tables import table
 from assayloom.staging import fresh_path, stage
-from assayloom.streaming.scoring import accepted, check_vectors, read_requests, respond, run_stream, score
+from assayloom.streaming.scoring import read_requests, respond, run_stream, score
 
 SMALL_TREES = {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.8}
 SEARCH_SPACE = (
@@ -47,13 +46,12 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
-def _staged_split(application: str, spark: SparkSession, sf: str) -> DataFrame:
+def _staged_split(spark: SparkSession, sf: str) -> DataFrame:
     return stage(group_split(vectors(spark, sf), "vec_id", ["vec_id"]), "split-vectors")
 
 
 def split_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return boosting.with_vector(_staged_split(spark.sparkContext.applicationId, spark, sf))
+    return boosting.with_vector(_staged_split(spark, sf))
 
 
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,8 +60,7 @@ def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     return boosting.in_fixed_order(train, "vec_id"), valid, test
 
 
-@lru_cache(maxsize=8)
-def _saved_models(application: str, spark: SparkSession, sf: str) -> str:
+def _saved_models(spark: SparkSession, sf: str) -> str:
     train, _, _ = parts(spark, sf)
     model = boosting.scoring_model(
         boosting.regressor(SMALL_TREES).fit(train), boosting.classifier(SMALL_TREES).fit(train)
@@ -74,7 +71,7 @@ def _saved_models(application: str, spark: SparkSession, sf: str) -> str:
 
 
 def saved_models(spark: SparkSession, sf: str) -> PipelineModel:
-    return load_model(_saved_models(spark.sparkContext.applicationId, spark, sf))
+    return load_model(_saved_models(spark, sf))
 
 
 def regression_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +90,7 @@ def class_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def fingerprint_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """A regressor on text fingerprints for the log text length; copies of a text never span two splits."""
-    documents = dealt_out(table(spark, sf, "documents").select("doc_id", "n_chars", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
     target = negative_log_molar(F.col("n_chars").cast("double"))
     described = with_fingerprint_vector(documents, "text").select(
         "doc_id", "vector", target.alias("y"), F.sha2(canonical_key(F.col("text")), 256).alias("digest")
@@ -111,6 +108,26 @@ def stopped_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "round int, validation_loss double, kept boolean")
 
 
+def split_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """One round of depth one on a 0/1 feature: held-out predictions are the means of the two sides of the training rows."""
+    source = table(spark, sf, "embeddings").select(
+        "vec_id",
+        F.array((F.col("label") >= 5).cast("double")).alias("features"),
+        (F.col("label") / 2).alias("y"),
+    )
+    rows = boosting.with_vector(stage(group_split(source, "vec_id", ["vec_id"]), "one-feature"))
+    one = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0}
+    train = boosting.in_fixed_order(rows.where(F.col("split") != "test"), "vec_id")
+    scored = boosting.regressor(one).fit(train).transform(rows.where(F.col("split") == "test"))
+    predicted = scored.select(F.col("vec_id").alias("id"), F.col("y").alias("y_true"), "y_pred")
+    return predicted.select(
+        "id",
+        F.round("y_true", 6).alias("y_true"),
+        F.round("y_pred", 6).alias("y_pred"),
+        F.round(F.col("y_true") - F.col("y_pred"), 6).alias("residual"),
+    )
+
+
 def search_trials(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger of a seeded search for the classifier, scored by exact validation AUC."""
     ledger = tune(split_vectors(spark, sf), CLASSIFICATION, SEARCH_SPACE, 3, "vec_id", patience=3)
@@ -127,31 +144,47 @@ def refit_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a vector from the default encoder."""
-    encoded = encode_texts(dealt_out(table(spark, sf, "documents").select("doc_id", "text")), "text")
+    encoded = encode_texts(table(spark, sf, "documents").select("doc_id", "text"), "text")
     return encoded.select("doc_id", "features")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """The key as text; every seventh vector short and every eleventh missing, as requests may be."""
+    broken = F.when(F.col("vec_id") % 11 == 0, F.lit(None)).when(F.col("vec_id") % 7 == 0, F.slice("features", 1, 9))
+    known = (F.col("vec_id") % 11 != 0) & (F.col("vec_id") % 7 != 0)
+    return rows.select("vec_id", F.when(known, F.col("features")).otherwise(broken).alias("features"), F.col("vec_id").cast("string").alias("name"))
+
+
 def dual_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector through both saved and reloaded models into one nested response."""
-    checked = check_vectors(vectors(spark, sf).select("vec_id", "features"), 64)
-    good = checked.where(F.col("status") == "success").withColumn("name", F.col("vec_id").cast("string"))
-    return respond(score(good, saved_models(spark, sf)), "name").select("vec_id", "response")
+    named = _named(vectors(spark, sf).select("vec_id", "features"))
+    return respond(score(named, saved_models(spark, sf)), "name").select("vec_id", "response")
+
+
+def score_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Status and reason of every scored row; the rows are as many as the vectors."""
+    return dual_scores(spark, sf).select("vec_id", "response.smiles", "response.status", "response.error")
+
+
+def stream_score_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the stream."""
+    return dual_scores_stream(spark, sf).select("vec_id", "response.smiles", "response.status", "response.error")
 
 
 def dual_scores_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same scoring over the vectors as a file stream."""
     source = spark.read.parquet(f"{sf}/embeddings.parquet")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/embeddings*.parquet")
-    named = stream.select("vec_id", F.col("embedding").alias("features"), F.col("vec_id").cast("string").alias("name"))
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/[e]mbeddings.parquet")
+    named = _named(stream.select("vec_id", F.col("embedding").alias("features")))
     scored = respond(score(named, saved_models(spark, sf)), "name").select("vec_id", "response")
     return run_stream(scored, "scores")
 
 
 def request_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Text requests end to end: type check, tokens, encoder, both models, nested response."""
-    documents = dealt_out(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     bodies = documents.select("doc_id", F.to_json(F.struct(F.col("text").alias("smiles"))).alias("body"))
-    encoded = encode_texts(accepted(read_requests(bodies, "body", "smiles")), "smiles")
+    encoded = encode_texts(read_requests(bodies, "body", "smiles"), "smiles")
     return respond(score(encoded, saved_models(spark, sf)), "smiles").select("doc_id", "response")
 
 
@@ -166,5 +199,27 @@ QUERIES = {
     "dual_scores": dual_scores,
     "dual_scores_stream": dual_scores_stream,
     "request_scores": request_scores,
+    "score_errors": score_errors,
+    "stream_score_errors": stream_score_errors,
+    "split_predictions": split_predictions,
+}
+
+_ERRORS = """
+    SELECT vec_id, vec_id::VARCHAR AS smiles,
+           CASE WHEN vec_id % 11 = 0 OR vec_id % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+           CASE WHEN vec_id % 11 = 0 THEN 'no vector' WHEN vec_id % 7 = 0 THEN 'wrong vector length' END AS error
+    FROM embeddings"""
+
+ORACLE: dict[str, str] = {
+    "score_errors": _ERRORS,
+    "stream_score_errors": _ERRORS,
+    "split_predictions": split_sql(
+        "embeddings",
+        "vec_id",
+        "vec_id",
+        """, m AS (SELECT split = 'test' AS held, label >= 5 AS f, label / 2.0 AS y, vec_id FROM embeddings JOIN assigned ON grp = vec_id),
+           p AS (SELECT f, avg(y) AS y_pred FROM m WHERE NOT held GROUP BY f)
+           SELECT vec_id AS id, round(y, 6) AS y_true, round(y_pred, 6) AS y_pred, round(y - y_pred, 6) AS residual
+           FROM m JOIN p USING (f) WHERE held""",
+    ),
 }
-ORACLE: dict[str, str] = {}

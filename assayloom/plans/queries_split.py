@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.operators.alignment import aligned_join, alignment_report, keep_surviving
+from assayloom.operators.alignment import aligned_join, aligned_rows, alignment_report, keep_surviving
 from assayloom.operators.split import (
     bundle_splits,
     group_sizes,
@@ -30,6 +30,12 @@ def conversations_split(spark: SparkSession, sf: str) -> DataFrame:
     return group_split(turns, "conv_id", ["conv_id", "turn"])
 
 
+def orders_without_customers_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of every seventh customer have lost their customer; together they are one group."""
+    customer = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey")
+    return group_split(table(spark, sf, "orders").select("o_orderkey", customer), "o_custkey", ["o_orderkey"], hot_rows=500)
+
+
 def orders_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return split_sizes(orders_split(spark, sf))
 
@@ -75,8 +81,8 @@ def labels_with_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def labels_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
-    joined = aligned_join(table(spark, sf, "labels"), vectors, "doc_id")
-    return joined.select("doc_id", "toxic", "label", F.size("embedding").alias("dimensions"))
+    joined = aligned_rows(table(spark, sf, "labels"), vectors, "doc_id")
+    return joined.select("doc_id", "toxic", "label", F.size("embedding").alias("dimensions"), "status")
 
 
 def vector_alignment(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,6 +106,7 @@ def surviving_labels(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "orders_split": orders_split,
     "conversations_split": conversations_split,
+    "orders_without_customers_split": orders_without_customers_split,
     "orders_split_sizes": orders_split_sizes,
     "orders_group_sizes": orders_group_sizes,
     "orders_class_ranks": orders_class_ranks,
@@ -147,6 +154,13 @@ ORACLE = {
         "{'c': conv_id, 't': turn}",
         "SELECT conv_id, turn, split FROM conversations JOIN assigned ON grp = conv_id",
     ),
+    "orders_without_customers_split": split_sql(
+        "(SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS o_custkey FROM orders)",
+        "o_custkey",
+        "o_orderkey",
+        """SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS o_custkey, split
+           FROM orders JOIN assigned ON grp IS NOT DISTINCT FROM CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END""",
+    ),
     "orders_split_sizes": split_sql(
         "orders",
         "o_custkey",
@@ -170,8 +184,9 @@ ORACLE = {
     ),
     "labels_with_documents": "SELECT doc_id, quality, toxic, lang, n_chars FROM labels JOIN documents USING (doc_id)",
     "labels_with_vectors": """
-        SELECT doc_id, toxic, label, len(embedding)::INT AS dimensions
-        FROM labels JOIN embeddings ON doc_id = vec_id""",
+        SELECT coalesce(doc_id, vec_id) AS doc_id, toxic, label, len(embedding)::INT AS dimensions,
+               CASE WHEN vec_id IS NULL THEN 'left only' WHEN doc_id IS NULL THEN 'right only' ELSE 'matched' END AS status
+        FROM labels FULL JOIN embeddings ON doc_id = vec_id""",
     "vector_alignment": """
         SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS left_only,
                (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS right_only,

@@ -7,13 +7,23 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from assayloom.functions.text import NULL_MARK, escaped
 from assayloom.sources.files import PARAMETERS_SCHEMA
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header row and no row index; quotes are doubled, so any text comes back whole."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header row and no row index, from which :func:`read_csv` reads back any text whole.
+
+    Quotes are doubled. Line breaks, the empty text and the sign itself are written with the escape sign, so a record is one
+    line and files stay splittable; null has a mark of its own.
+    """
+    texts = {f.name: F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, StringType)}
+    writer = df.withColumns({n: escaped(c) for n, c in texts.items()}).write.mode("overwrite")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer.options(header=True, escape='"', nullValue=NULL_MARK, **kept).csv(path)
 
 
 def write_records(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.functions.text import NULL_MARK, unescaped
 from assayloom.sources.tables import scan
 
 # Schemas of the exchanged files.
@@ -29,13 +30,16 @@ CLASS_METRICS_SCHEMA = (
 DEFAULT_PARAMETERS = {"n_estimators": 1000, "learning_rate": 0.05, "max_depth": 6}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False, malformed: str = "PERMISSIVE") -> DataFrame:
     """CSV with a header row. The schema is declared, so no pass over the data is spent on guessing types.
 
-    ``multi_line`` accepts line breaks inside quoted fields, but then Spark cannot split a file between tasks.
+    What :func:`write_csv` wrote comes back as it was. ``multi_line`` accepts line breaks inside quoted fields of other
+    writers, but then Spark cannot split a file between tasks. Unquoted empty fields are null. ``malformed`` is Spark's mode
+    for rows that do not fit the schema; FAILFAST refuses them.
     """
-    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
-    return reader.option("multiLine", multi_line).csv(path)
+    reader = spark.read.schema(schema).options(header=True, mode=malformed, escape='"', nullValue=NULL_MARK)
+    found = reader.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=multi_line).csv(path)
+    return found.withColumns({n: unescaped(F.col(f"`{n}`")) for n, kind in found.dtypes if kind == "string"})
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

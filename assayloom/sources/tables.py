@@ -28,15 +28,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return scan(spark, f"{folder}/{name}.parquet")
 
 
-def dealt_out(scanned: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt out row by row; any larger scan as it is.
-
-    For work that is heavy per row on a table of few, large row groups. Use it on a scan, before any shuffle.
-    """
-    cores = scanned.sparkSession.sparkContext.defaultParallelism
-    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
-
-
 def filtered_scan(df: DataFrame, equals: Mapping[str, Any], columns: Sequence[str]) -> DataFrame:
     """Rows that meet every equality, with the wanted columns only. Both reach the Parquet reader."""
     for name, value in equals.items():

@@ -21,11 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="assayloom-")
+    elif not context.master.startswith("local") and ":" not in folder and _default_scheme(spark) == "file":
+        raise RuntimeError(f"{folder} is a folder of each machine; name a shared one, with its scheme, in spark.checkpoint.dir")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def _default_scheme(spark: SparkSession) -> str:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    return spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(hadoop).getScheme()
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete everything that this application has staged; for the end of a job, when its results are read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

@@ -40,16 +40,31 @@ def check_vectors(df: DataFrame, dimensions: int) -> DataFrame:
 
 
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``y_pred, probability, is_toxic`` from a two-model pipeline; the identifiers stay in the row."""
-    scored = model.transform(with_vector(df))
+    """Add ``y_pred, p_toxic, is_toxic`` from a two-model pipeline, and ``error``; every row stays.
+
+    A row that has an ``error`` already, or a vector that is missing or of another length, is scored on a stand-in vector and
+    its outputs are null.
+    """
+    dimensions = model.stages[0].numFeatures
+    earlier = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    checked = check_vectors(df.withColumn("_earlier", earlier), dimensions)
+    checked = checked.withColumn("error", F.coalesce("_earlier", "error")).drop("_earlier", "status")
+    stand_in = F.array_repeat(F.lit(0.0).cast(df.schema["features"].dataType.elementType), dimensions)
+    safe = checked.withColumn("_given", F.when(F.col("error").isNull(), F.col("features")).otherwise(stand_in))
+    scored = model.transform(with_vector(safe, "_given"))
+    good = F.col("error").isNull()
     return scored.withColumns(
-        {"p_toxic": positive_probability(F.col("probability")), "is_toxic": F.col("predicted") == 1.0}
-    ).drop("vector", "raw", "probability", "predicted")
+        {
+            "y_pred": F.when(good, F.col("y_pred")),
+            "p_toxic": F.when(good, positive_probability(F.col("probability"))),
+            "is_toxic": F.when(good, F.col("predicted") == 1.0),
+        }
+    ).drop("vector", "raw", "probability", "predicted", "_given")
 
 
 def respond(scored: DataFrame, text: str) -> DataFrame:
     """Add the nested ``response``."""
-    answer = response(F.col(text), F.col("is_toxic"), F.col("p_toxic"), F.col("y_pred"))
+    answer = response(F.col(text), F.col("is_toxic"), F.col("p_toxic"), F.col("y_pred"), F.col("error"))
     return scored.withColumn("response", answer)
 
 

@@ -35,14 +35,13 @@ def test_log_target_and_label(spark):
     assert [r[0] for r in edge.select(threshold_label(F.col("y"))).collect()] == [1, 0]
 
 
-@pytest.mark.parametrize("limit", [0, 50, 100_000])
-def test_collapse(spark, limit):
+def test_collapse(spark):
     rows = [("one", 3.0, 0), ("even", 1.0, 1), ("even", 2.0, 2), ("even", 4.0, 3), ("even", 10.0, 4),
             ("gap", 1.0, 5), ("gap", None, 6), ("gap", 3.0, 7), ("none", None, 9), ("none", None, 8),
             (None, 7.0, 10), (None, 8.0, 11)]
     rows += [("hot", float((i * 37) % 101), 100 + i) for i in range(200)]
     frame = spark.createDataFrame(rows, "k string, v double, id int").repartition(5)
-    result = collapse_duplicates(frame, ["k"], "v", ["id"], ["id"], hot_rows=limit).collect()
+    result = collapse_duplicates(frame, ["k"], "v", ["id"], ["id"]).collect()
     found = {r["k"]: (r["n"], r["median_v"], r["first_id"]) for r in result}
     hot = statistics.median(r[1] for r in rows if r[0] == "hot")
     assert found == {

@@ -37,18 +37,18 @@ def test_fingerprint(spark):
         assert r["u"] == (expected if len(r["t"].split()) >= 2 else None)
 
 
-@pytest.mark.parametrize("broadcast_tokens,hot_rows,limit", [(1000, 1000, 1000), (0, 20, 0)])
-def test_vocabulary_and_ids(spark, broadcast_tokens, hot_rows, limit):
+@pytest.mark.parametrize("hot_rows", [1000, 20])
+def test_vocabulary_and_ids(spark, hot_rows):
     draw = random.Random(2)
     words = ["the"] * 30 + [f"w{i}" for i in range(40)]
     texts = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 12)))) for i in range(80)] + [(99, "zzz the")]
     frame = spark.createDataFrame(texts, "id int, t string").repartition(4)
     known = frame.where("id < 99")
-    vocabulary = build_vocabulary(known, "t", one_task_rows=limit)
+    vocabulary = build_vocabulary(known, "t")
     counts = Counter(w for i, t in texts if i < 99 for w in t.split())
     expected = {w: k + 2 for k, (w, _) in enumerate(sorted(counts.items(), key=lambda c: (-c[1], c[0])))}
     assert {r["token"]: r["token_id"] for r in vocabulary.collect()} == expected
-    encoded = encode_tokens(frame, "id", "t", vocabulary, 8, broadcast_tokens, hot_rows)
+    encoded = encode_tokens(frame, "id", "t", vocabulary, 8, hot_rows)
     assert {r["id"]: r["ids"] for r in encoded.collect()} == {
         i: [expected.get(w, 1) for w in t.split()[:8]] for i, t in texts
     }

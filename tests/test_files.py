@@ -63,3 +63,22 @@ def test_staging_uses_the_shared_folder(spark):
     staged = stage(spark.range(5).withColumn("x", F.col("id") * 2), "numbers")
     assert staged.agg(F.sum("x")).first()[0] == 20
     assert shared_folder(spark) in staged.inputFiles()[0]
+
+
+def test_staged_tables_can_be_dropped(spark, tmp_path):
+    from assayloom.staging import drop_staged, fresh_path, stage
+
+    staged = stage(spark.range(5), "few")
+    folder = fresh_path(spark, "x").rsplit("/", 1)[0]
+    assert staged.count() == 5 and spark.read.parquet(f"{folder}/few-*").count() == 5
+    drop_staged(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{folder}/few-*").count()
+
+
+def test_csv_keeps_any_text(spark, tmp_path):
+    texts = ["", None, " a ", "\t", "a\nb", "a\r\nb\n", '"', '","', "\\", "\\n", "\x1b", "\x1bN", "\x1b0", "\x1be", "C\\C=C\\n1", "é,日本"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    write_csv(frame, f"{tmp_path}/c")
+    read = read_csv(spark, f"{tmp_path}/c", "i INT, t STRING", malformed="FAILFAST")
+    assert {r["i"]: r["t"] for r in read.collect()} == dict(enumerate(texts))

@@ -1,9 +1,7 @@
-"""Running totals and ranks: the plain window, the chunked way and a brute-force loop agree."""
+"""Running totals and ranks: the chunked way and a brute-force loop agree."""
 
 import random
 
-import pytest
-
 from assayloom.operators.ordered import previous_values, rows_at_ranks, running
 
 
@@ -19,11 +17,10 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "k string, v int, id int, w int").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [0, 90, 10_000])
-def test_running(spark, limit):
+def test_running(spark):
     rows = random_rows(1)
     outputs = {"total": ("sum", "w"), "high": ("max", "w"), "high_before": ("max_before", "w")}
-    result = running(table(spark, rows), ["k"], ["-v", "id"], outputs, one_task_rows=limit)
+    result = running(table(spark, rows), ["k"], ["-v", "id"], outputs)
     found = {r["id"]: (r["total"], r["high"], r["high_before"]) for r in result.collect()}
     assert len(found) == len(rows)
     for key in {r[0] for r in rows}:
@@ -34,10 +31,9 @@ def test_running(spark, limit):
             assert found[row[2]] == (total, high, before)
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_running_without_keys(spark, limit):
+def test_running_without_keys(spark):
     rows = random_rows(2)
-    result = running(table(spark, rows), [], ["v", "id"], {"total": ("sum", "w")}, one_task_rows=limit)
+    result = running(table(spark, rows), [], ["v", "id"], {"total": ("sum", "w")})
     found = {r["id"]: r["total"] for r in result.collect()}
     total = 0
     for row in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -45,10 +41,9 @@ def test_running_without_keys(spark, limit):
         assert found[row[2]] == total
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_previous_values(spark, limit):
+def test_previous_values(spark):
     rows = random_rows(3)
-    result = previous_values(table(spark, rows), ["v", "id"], {"earlier": "k"}, one_task_rows=limit)
+    result = previous_values(table(spark, rows), ["v", "id"], {"earlier": "k"})
     found = {r["id"]: r["earlier"] for r in result.collect()}
     ordered = sorted(rows, key=lambda r: (r[1], r[2]))
     assert found[ordered[0][2]] is None
@@ -56,12 +51,11 @@ def test_previous_values(spark, limit):
         assert found[row[2]] == before[0]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_rows_at_ranks(spark, limit):
+def test_rows_at_ranks(spark):
     rows = random_rows(4)
     wanted = {key: [1, 3, len([r for r in rows if r[0] == key])] for key in {r[0] for r in rows}}
     ranks = spark.createDataFrame(list(wanted.items()), "k string, ranks array<long>")
-    result = rows_at_ranks(table(spark, rows), ["k"], ["v", "id"], ranks, one_task_rows=limit)
+    result = rows_at_ranks(table(spark, rows), ["k"], ["v", "id"], ranks)
     found = {(r["k"], r["rank"]): r["id"] for r in result.collect()}
     for key, places in wanted.items():
         ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
@@ -69,11 +63,10 @@ def test_rows_at_ranks(spark, limit):
             assert found[(key, place)] == ordered[place - 1][2]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_weighted_ranks_without_keys(spark, limit):
+def test_weighted_ranks_without_keys(spark):
     rows = [(v, w) for v, w in zip(range(50), [3, 1, 7, 2, 5] * 10)]
     frame = spark.createDataFrame(rows, "v int, w long").repartition(4)
     flat = [v for v, w in rows for _ in range(w)]
     ranks = [1, 4, 5, 90, len(flat)]
-    result = rows_at_ranks(frame, [], ["v"], ranks, weight="w", one_task_rows=limit)
+    result = rows_at_ranks(frame, [], ["v"], ranks, weight="w")
     assert {r["rank"]: r["v"] for r in result.collect()} == {k: flat[k - 1] for k in ranks}

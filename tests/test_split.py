@@ -45,14 +45,14 @@ CASES = {
 
 
 @pytest.mark.parametrize("sizes", CASES.values(), ids=CASES.keys())
-@pytest.mark.parametrize("one_task_rows,hot_rows", [(1_000_000, 1_000_000), (0, 5)])
-def test_group_split(spark, sizes, one_task_rows, hot_rows):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_group_split(spark, sizes, hot_rows):
     draw = random.Random(11)
     names = [f"g{i}" for i, size in enumerate(sizes) for _ in range(size)]
     draw.shuffle(names)
     rows = list(enumerate(names))
     frame = spark.createDataFrame(rows, "i int, g string").repartition(4)
-    result = group_split(frame, "g", ["i"], one_task_rows=one_task_rows, hot_rows=hot_rows).collect()
+    result = group_split(frame, "g", ["i"], hot_rows=hot_rows).collect()
     assert sorted(r["i"] for r in result) == list(range(len(rows)))
     groups = [(names.count(g), names.index(g), g) for g in set(names)]
     expected = greedy(groups)
@@ -71,10 +71,17 @@ def test_leaks(spark):
     assert [r["g"] for r in leaked_groups(frame, "g").collect()] == ["a"]
 
 
-def test_rank_in_size_class_both_ways(spark):
+def test_rank_in_size_class(spark):
     frame = spark.createDataFrame([(i, f"g{i % 90 if i < 180 else i}") for i in range(300)], "i int, g string")
     sizes = group_sizes(frame, "g", ["i"])
-    plain = {r["g"]: r["class_rank"] for r in rank_in_size_class(sizes, "g").collect()}
-    chunked = {r["g"]: r["class_rank"] for r in rank_in_size_class(sizes, "g", one_task_rows=0).collect()}
-    assert plain == chunked
-    assert plain["g299"] == 1 and plain["g89"] == 1
+    ranks = {r["g"]: r["class_rank"] for r in rank_in_size_class(sizes, "g").collect()}
+    assert ranks["g299"] == 1 and ranks["g89"] == 1
+    assert sorted(ranks[f"g{i}"] for i in range(90)) == list(range(1, 91))
+
+
+def test_rows_without_a_group_are_one_group(spark):
+    frame = spark.createDataFrame([(i, None if i % 3 == 0 else f"g{i}") for i in range(30)], "i int, g string")
+    for hot_rows in (1_000_000, 2):
+        result = group_split(frame, "g", ["i"], hot_rows=hot_rows).collect()
+        assert sorted(r["i"] for r in result) == list(range(30))
+        assert len({r["split"] for r in result if r["g"] is None}) == 1
