@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.text import FINGERPRINT_BITS, grams, tokens
+from assayloom.functions.text import FINGERPRINT_BITS, tokens, usable_fingerprint
 
 
 def with_fingerprint_vector(
     df: DataFrame, text: str, vector: str = "vector", bits: int = FINGERPRINT_BITS, least_tokens: int = 1
 ) -> DataFrame:
-    """Add a sparse 0/1 vector of hashed token runs; rows with too few tokens are left out, with their labels."""
+    """Add the fingerprint as a sparse 0/1 vector; rows with too few tokens are left out, with their labels."""
     words = tokens(F.col(text))
-    described = df.withColumn("_words", words).where(F.size("_words") >= least_tokens)
-    with_grams = described.withColumn("_grams", grams(F.col("_words")))
-    hashing = HashingTF(numFeatures=bits, binary=True, inputCol="_grams", outputCol=vector)
-    return hashing.transform(with_grams).drop("_words", "_grams")
+    positions = usable_fingerprint(words, least_tokens, bits).cast("array<string>")
+    described = df.where(F.size(words) >= least_tokens).withColumn("_positions", positions)
+    one_each = CountVectorizerModel.from_vocabulary([str(i) for i in range(bits)], "_positions", vector, binary=True)
+    return one_each.transform(described).drop("_positions")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,35 +58,38 @@ def classification_metrics(df: DataFrame, y_true: str = "true", y_pred: str = "p
     )
 
 
-def positives_by_score(df: DataFrame, y_true: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score, staged; everything ordered works on this smaller table.
+def positives_by_score(df: DataFrame, y_true: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score (of a group), staged; everything ordered works on this smaller table.
 
     Rows without a finite score, or with a label other than 0 and 1, have no place on a curve and are left out.
     """
     rows = df.where(F.col(y_true).isin(0, 1) & finite(F.col(score)).isNotNull())
     positive = F.col(y_true).cast("long")
-    by_score = rows.groupBy(F.col(score).alias("score")).agg(
+    by_score = rows.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives")
     )
     return stage(by_score, "by-score")
 
 
-def cumulative_positives(df: DataFrame, y_true: str, score: str) -> DataFrame:
+def cumulative_positives(df: DataFrame, y_true: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``score, positives, negatives, tp, fp``: counts of rows scored at or above each distinct score."""
     outputs = {"tp": ("sum", "positives"), "fp": ("sum", "negatives")}
-    return running(positives_by_score(df, y_true, score), [], ["-score"], outputs)
+    return running(positives_by_score(df, y_true, score, by), by, ["-score"], outputs)
+
 
+def roc_auc(df: DataFrame, y_true: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row ``auc``, or one per group of ``by``.
 
-def roc_auc(df: DataFrame, y_true: str, score: str) -> DataFrame:
-    """One row ``auc``: the exact chance that a positive outranks a negative, ties counting half; null with one class."""
-    above = cumulative_positives(df, y_true, score)
+    It is the exact chance that a positive outranks a negative, ties counting half; null with one class.
+    """
+    above = cumulative_positives(df, y_true, score, by)
     # At each score: positives strictly above beat this score's negatives, positives at it tie with them.
     won = F.col("negatives") * (F.col("tp") - F.col("positives") / 2)
-    totals = above.agg(
+    totals = above.groupBy(*by).agg(
         F.sum(won).alias("won"), F.sum("positives").alias("p"), F.sum("negatives").alias("n")
     )
     pairs = F.col("p").cast("double") * F.col("n")
-    return totals.select(F.try_divide(F.col("won"), pairs).alias("auc"))
+    return totals.select(*by, F.try_divide(F.col("won"), pairs).alias("auc"))
 
 
 def roc_curve(df: DataFrame, y_true: str, score: str) -> DataFrame:

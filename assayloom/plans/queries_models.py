@@ -130,14 +130,14 @@ def split_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_trials(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger of a seeded search for the classifier, scored by exact validation AUC."""
-    ledger = tune(split_vectors(spark, sf), CLASSIFICATION, SEARCH_SPACE, 3, "vec_id", patience=3)
+    ledger = tune(split_vectors(spark, sf), CLASSIFICATION, "vec_id", SEARCH_SPACE, 3, patience=3)
     return ledger.select("trial", "params.*", "score")
 
 
 def refit_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Search for the regressor by validation RMSE, refit with the saved winner, and evaluate on the held-out split."""
     rows, path = split_vectors(spark, sf), fresh_path(spark, "winner")
-    tune(rows, REGRESSION, SEARCH_SPACE, 2, "vec_id", path, seed=7, patience=3)
+    tune(rows, REGRESSION, "vec_id", SEARCH_SPACE, 2, path, seed=7, patience=3)
     _, record = train_and_evaluate(rows, REGRESSION, read_parameters(spark, path), "vec_id", patience=3)
     return record.drop("best_params")
 

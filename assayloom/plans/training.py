@@ -24,17 +24,19 @@ from assayloom.sinks.files import append_metrics, save_model, write_by_split, wr
 from assayloom.staging import stage
 
 PATIENCE = 50
+TRIALS = 100
 
 
 @dataclass(frozen=True)
 class Task:
-    """What differs between the two models: estimator, target, tuning score and its direction."""
+    """What differs between the two models: estimator, target, tuning score and its direction, stopping metric."""
 
     make: Callable[..., Any]
     predictions: Callable[[DataFrame, str], DataFrame]
     metrics: Callable[[DataFrame], DataFrame]
     score: str
     larger_is_better: bool
+    stopping: str
 
 
 def _regression_predictions(scored: DataFrame, key: str) -> DataFrame:
@@ -58,8 +60,8 @@ def _class_metrics(predictions: DataFrame) -> DataFrame:
     return rates.withColumn("ROC-AUC", F.lit(area).cast("double"))
 
 
-REGRESSION = Task(boosting.regressor, _regression_predictions, regression_metrics, "rmse", False)
-CLASSIFICATION = Task(boosting.classifier, _class_predictions, _class_metrics, "ROC-AUC", True)
+REGRESSION = Task(boosting.regressor, _regression_predictions, regression_metrics, "rmse", False, "loss")
+CLASSIFICATION = Task(boosting.classifier, _class_predictions, _class_metrics, "ROC-AUC", True, "auc")
 
 
 def embed(df: DataFrame, text: str, path: str, make_encoder: Callable[[], Encoder] | None = None) -> None:
@@ -74,25 +76,33 @@ def _part(rows: DataFrame, split: str) -> DataFrame:
 def tune(
     rows: DataFrame,
     task: Task,
-    space: Sequence[search.Whole | search.Real],
-    n_trials: int,
     key: str,
+    space: Sequence[search.Whole | search.Real] = search.VECTOR_SPACE,
+    n_trials: int = TRIALS,
     path: str | None = None,
     seed: int = boosting.SEED,
     patience: int = PATIENCE,
     parallelism: int = 2,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Trial ledger of a seeded search scored on the validation rows; the winner is written to ``path``."""
-    train, valid = boosting.in_fixed_order(_part(rows, "train"), key, partitions), _part(rows, "valid")
+    """Trial ledger of a seeded search scored on the validation rows; the winner is written to ``path``.
+
+    The rows are placed and ordered once and kept for all trials. Models on fingerprints take ``FINGERPRINT_SPACE``.
+    """
+    train = boosting.in_fixed_order(_part(rows, "train"), key, partitions).persist()
+    valid = _part(rows, "valid").persist()
 
     def objective(params: dict[str, Any]) -> float:
-        fit = boosting.fit_with_stopping(task.make, params, train, valid, patience)
+        fit = boosting.fit_with_stopping(task.make, params, train, valid, patience, task.stopping)
         predictions = task.predictions(fit.model.transform(valid), key)
         return task.metrics(predictions).first()[task.score]
 
     drawn = search.draw_trials(rows.sparkSession, space, n_trials, seed)
-    ledger = search.run_trials(drawn, objective, parallelism)
+    try:
+        ledger = search.run_trials(drawn, objective, parallelism)
+    finally:
+        train.unpersist()
+        valid.unpersist()
     if path is not None:
         winner = best_trial(ledger, task.larger_is_better).first()["params"].asDict()
         write_parameters(rows.sparkSession, path, winner)
@@ -114,7 +124,7 @@ def train_and_evaluate(
     With a ``path`` the model, the predictions (CSV) and the metrics record (runs table) are written below it.
     """
     train = boosting.in_fixed_order(_part(rows, "train"), key, partitions)
-    fit = boosting.fit_with_stopping(task.make, params, train, _part(rows, "valid"), patience)
+    fit = boosting.fit_with_stopping(task.make, params, train, _part(rows, "valid"), patience, task.stopping)
     predictions = stage(task.predictions(fit.model.transform(_part(rows, "test")), key), "predictions")
     best = F.struct(*[F.lit(v).alias(k) for k, v in params.items()])
     record = task.metrics(predictions).withColumns({"run": F.lit(run), "rounds": F.lit(fit.rounds), "best_params": best})

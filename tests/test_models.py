@@ -5,8 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from assayloom.functions.text import fingerprint, tokens
+from assayloom.functions.vectors import positive_probability
 from assayloom.learning import boosting, search
 from assayloom.learning.encoding import encode_texts
+from assayloom.learning.features import with_fingerprint_vector
 from assayloom.operators.regression import regression_metrics
 from assayloom.plans import queries_models as Q
 from assayloom.plans.analysis import analyse_classification_file, analyse_regression_file
@@ -48,6 +51,51 @@ def test_stopped_fit_is_a_prefix(parts):
     assert fit.model.getNumTrees == fit.rounds
 
 
+@pytest.mark.parametrize("make", [boosting.regressor, boosting.classifier])
+def test_first_rounds_equal_a_shorter_fit(parts, make, tmp_path):
+    train, valid, _ = parts
+    whole = make(Q.SMALL_TREES).fit(train)
+    kept, shorter = boosting.first_rounds(whole, 3), make(Q.SMALL_TREES, rounds=3).fit(train)
+    kept.write().overwrite().save(f"{tmp_path}/kept")
+    outputs = [c for c in ("y_pred", "predicted", "probability") if c in kept.transform(valid).columns]
+    expected = shorter.transform(valid).select("vec_id", *outputs).orderBy("vec_id").collect()
+    for model in (kept, type(kept).load(f"{tmp_path}/kept")):
+        assert (model.getNumTrees, model.numFeatures) == (3, whole.numFeatures)
+        assert model.transform(valid).select("vec_id", *outputs).orderBy("vec_id").collect() == expected
+
+
+def test_area_of_every_round(parts):
+    train, valid, _ = parts
+    whole = boosting.classifier({**Q.SMALL_TREES, "n_estimators": 5}).fit(train)
+    found = [a for areas in boosting.areas_by_round(whole, valid, per_pass=2) for a in areas]
+    for n in range(1, 6):
+        scored = boosting.first_rounds(whole, n).transform(valid).select("label", positive_probability(F.col("probability")).alias("p"))
+        rows = scored.collect()
+        pairs = [(a["p"], b["p"]) for a in rows for b in rows if a["label"] == 1 and b["label"] == 0]
+        expected = sum(1 if a > b else 0.5 if a == b else 0 for a, b in pairs) / len(pairs)
+        assert found[n - 1] == pytest.approx(expected)
+    one_class = boosting.areas_by_round(whole, valid.where("label = 1"))
+    assert [a for areas in one_class for a in areas] == [0.5] * 5
+
+
+def test_stopping_on_the_area(parts):
+    train, valid, _ = parts
+    params = {**Q.SMALL_TREES, "n_estimators": 6}
+    fit = boosting.fit_with_stopping(boosting.classifier, params, train, valid, 2, "auc")
+    assert fit.model.getNumTrees == fit.rounds == boosting.best_round(fit.losses, 2)
+    assert all(0 <= loss <= 1 for loss in fit.losses)
+    with pytest.raises(ValueError):
+        boosting.fit_with_stopping(boosting.classifier, params, train, valid, 2, "accuracy")
+
+
+def test_fingerprint_vectors_hold_the_checked_fingerprint(spark):
+    frame = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha"), (3, ""), (4, None)], "id int, t string")
+    found = {r["id"]: r["vector"] for r in with_fingerprint_vector(frame, "t").collect()}
+    expected = {r["id"]: r["f"] for r in frame.select("id", fingerprint(tokens(F.col("t"))).alias("f")).collect()}
+    assert set(found) == {1, 2}
+    assert all(list(v.indices) == expected[i] and set(v.values) == {1.0} for i, v in found.items())
+
+
 def test_parameters_reach_the_trees():
     space = {"n_estimators": 7, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.7, "colsample_bytree": 0.6, "gamma": 0.1, "min_child_weight": 3}
     trees = boosting.regressor(space)
