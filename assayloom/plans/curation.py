@@ -82,7 +82,7 @@ def process_and_split(
         F.col("first_molecule_chembl_id").alias("id"), F.col("canonical").alias("smiles"), F.col("y").alias("pIC50"), "split"
     )
     written = stage(named, "split")
-    written.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("split").csv(path)
+    write_csv(written, path, ["split"])
     return split_sizes(written)
 
 

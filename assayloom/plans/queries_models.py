@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import negative_log_molar, threshold_label
+from assayloom.functions.requests import HIGH_RISK, LOW_RISK
 from assayloom.functions.text import canonical_key
 from assayloom.learning import boosting, search
 from assayloom.learning.encoding import encode_texts
 from assayloom.learning.features import with_fingerprint_vector
 from assayloom.operators.split import group_split
+from assayloom.plans.queries_evaluation import rounded
 from assayloom.plans.queries_split import split_sql
 from assayloom.plans.training import CLASSIFICATION, REGRESSION, train_and_evaluate, tune
 from assayloom.sinks.files import save_model
@@ -108,24 +110,77 @@ def stopped_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "round int, validation_loss double, kept boolean")
 
 
-def split_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """One round of depth one on a 0/1 feature: held-out predictions are the means of the two sides of the training rows."""
+ONE_SPLIT = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0}
+
+
+def one_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """Split rows whose only feature is 0 or 1: what one round of depth one learns has a closed form."""
     source = table(spark, sf, "embeddings").select(
         "vec_id",
         F.array((F.col("label") >= 5).cast("double")).alias("features"),
         (F.col("label") / 2).alias("y"),
+        F.col("label").isin(4, 5, 6, 8, 9).cast("int").alias("label"),
     )
-    rows = boosting.with_vector(stage(group_split(source, "vec_id", ["vec_id"]), "one-feature"))
-    one = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0}
-    train = boosting.in_fixed_order(rows.where(F.col("split") != "test"), "vec_id")
-    scored = boosting.regressor(one).fit(train).transform(rows.where(F.col("split") == "test"))
-    predicted = scored.select(F.col("vec_id").alias("id"), F.col("y").alias("y_true"), "y_pred")
-    return predicted.select(
-        "id",
-        F.round("y_true", 6).alias("y_true"),
-        F.round("y_pred", 6).alias("y_pred"),
-        F.round(F.col("y_true") - F.col("y_pred"), 6).alias("residual"),
+    return boosting.with_vector(stage(group_split(source, "vec_id", ["vec_id"]), "one-feature"))
+
+
+def split_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out predictions of the regressor: the means of the two sides of the training rows."""
+    predictions, _ = train_and_evaluate(one_feature(spark, sf), REGRESSION, ONE_SPLIT, "vec_id")
+    return rounded(predictions)
+
+
+def split_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics record of the same job."""
+    _, record = train_and_evaluate(one_feature(spark, sf), REGRESSION, ONE_SPLIT, "vec_id")
+    return rounded(record.drop("best_params"))
+
+
+def split_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out classes and probabilities of the classifier: the logistic of twice the mean of the -1/1 labels of a side."""
+    predictions, _ = train_and_evaluate(one_feature(spark, sf), CLASSIFICATION, ONE_SPLIT, "vec_id")
+    return rounded(predictions)
+
+
+def split_class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics record of the same job."""
+    _, record = train_and_evaluate(one_feature(spark, sf), CLASSIFICATION, ONE_SPLIT, "vec_id")
+    return rounded(record.drop("best_params"))
+
+
+def _split_model(spark: SparkSession, rows: DataFrame) -> PipelineModel:
+    """Regressor and classifier of the training rows, saved as one model and loaded again."""
+    train = boosting.in_fixed_order(rows.where(F.col("split") == "train"), "vec_id")
+    path = fresh_path(spark, "split-models")
+    save_model(
+        boosting.scoring_model(boosting.regressor(ONE_SPLIT).fit(train), boosting.classifier(ONE_SPLIT).fit(train)), path
     )
+    return load_model(path)
+
+
+def _split_answers(scored: DataFrame) -> DataFrame:
+    answers = respond(scored.withColumn("name", F.col("vec_id").cast("string")), "name")
+    return answers.select(
+        "vec_id",
+        "response.classification.*",
+        F.col("response.regression.predicted_pIC50").alias("predicted"),
+        "response.status",
+    )
+
+
+def split_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row through the saved and reloaded pair of models into the nested response."""
+    rows = one_feature(spark, sf)
+    return _split_answers(score(rows.select("vec_id", "features"), _split_model(spark, rows)))
+
+
+def split_responses_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the rows as a file stream."""
+    rows, path = one_feature(spark, sf).drop("vector"), fresh_path(spark, "stream-rows")
+    rows.select("vec_id", "features").write.parquet(path)
+    model = _split_model(spark, boosting.with_vector(rows))
+    stream = spark.readStream.schema("vec_id long, features array<double>").parquet(path)
+    return run_stream(_split_answers(score(stream, model)), "split-responses")
 
 
 def search_trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,6 +257,11 @@ QUERIES = {
     "score_errors": score_errors,
     "stream_score_errors": stream_score_errors,
     "split_predictions": split_predictions,
+    "split_metrics": split_metrics,
+    "split_classes": split_classes,
+    "split_class_metrics": split_class_metrics,
+    "split_responses": split_responses,
+    "split_responses_stream": split_responses_stream,
 }
 
 _ERRORS = """
@@ -210,16 +270,40 @@ _ERRORS = """
            CASE WHEN vec_id % 11 = 0 THEN 'no vector' WHEN vec_id % 7 = 0 THEN 'wrong vector length' END AS error
     FROM embeddings"""
 
+_SIDES = """, m AS (SELECT split, label >= 5 AS f, label / 2.0 AS y, (label IN (4, 5, 6, 8, 9))::INT AS c, vec_id
+               FROM embeddings JOIN assigned ON grp = vec_id),
+    k AS (SELECT f, avg(y) AS y_pred, 1 / (1 + exp(-2 * (2 * avg(c) - 1))) AS p FROM m WHERE split = 'train' GROUP BY f),
+    t AS (SELECT vec_id, split, f, y, c, y_pred, p, (p > 0.5)::INT AS yhat FROM m JOIN k USING (f)),
+    held AS (SELECT * FROM t WHERE split = 'test')"""
+
+
+def _sides(query: str) -> str:
+    """Over the two sides of the one feature: ``t`` has every row with its predictions, ``held`` the held-out ones."""
+    return split_sql("embeddings", "vec_id", "vec_id", f"{_SIDES} {query}")
+
+
+_ANSWERS = _sides(f"""
+    SELECT vec_id, yhat = 1 AS is_toxic, round(p, 4) AS confidence_score,
+           CASE WHEN yhat = 1 THEN '{HIGH_RISK}' ELSE '{LOW_RISK}' END AS warning,
+           round(y_pred, 4) AS predicted, 'success' AS status FROM t""")
+
 ORACLE: dict[str, str] = {
     "score_errors": _ERRORS,
     "stream_score_errors": _ERRORS,
-    "split_predictions": split_sql(
-        "embeddings",
-        "vec_id",
-        "vec_id",
-        """, m AS (SELECT split = 'test' AS held, label >= 5 AS f, label / 2.0 AS y, vec_id FROM embeddings JOIN assigned ON grp = vec_id),
-           p AS (SELECT f, avg(y) AS y_pred FROM m WHERE NOT held GROUP BY f)
-           SELECT vec_id AS id, round(y, 6) AS y_true, round(y_pred, 6) AS y_pred, round(y - y_pred, 6) AS residual
-           FROM m JOIN p USING (f) WHERE held""",
-    ),
+    "split_predictions": _sides("""
+        SELECT vec_id AS id, round(y, 6) AS y_true, round(y_pred, 6) AS y_pred, round(y - y_pred, 6) AS residual FROM held"""),
+    "split_metrics": _sides("""
+        SELECT count(*) AS n, 0 AS skipped, round(sqrt(avg(pow(y - y_pred, 2))), 6) AS rmse,
+               round(1 - sum(pow(y - y_pred, 2)) / (var_pop(y) * count(*)), 6) AS r2,
+               round(pow(corr(y, y_pred), 2), 6) AS pearson_r2, 'run' AS run, 1 AS rounds FROM held"""),
+    "split_classes": _sides("""
+        SELECT vec_id AS id, c AS true, yhat AS predicted, round(p, 6) AS predicted_probability FROM held"""),
+    "split_class_metrics": _sides("""
+        , r AS (SELECT c, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM held),
+        a AS (SELECT (sum(CASE WHEN c = 1 THEN r END) - sum(c) * (sum(c) + 1) / 2) / (sum(c) * sum(1 - c)) AS auc FROM r)
+        SELECT round(avg((c = yhat)::INT), 6) AS accuracy, round(sum(c * yhat) / sum(yhat), 6) AS precision,
+               round(sum(c * yhat) / sum(c), 6) AS recall, round(2 * sum(c * yhat) / (sum(c) + sum(yhat)), 6) AS "f1-score",
+               0 AS unlabelled, round((SELECT auc FROM a), 6) AS "ROC-AUC", 'run' AS run, 1 AS rounds FROM held"""),
+    "split_responses": _ANSWERS,
+    "split_responses_stream": _ANSWERS,
 }
