@@ -9,7 +9,8 @@ every conditional distribution sums to one over all known words and the unknown
 Texts are read once. Every task codes its tokens, in chunks, by the chunk's own dictionary and keeps the codes. Per chunk and
 hash bucket it *asks* for the counts of its distinct words, later of its distinct pairs. A bucket adds up what all chunks sent
 (the count table, partitioned by bucket) and *answers* every chunk in the order it asked. So counting and looking up move
-distinct entries per chunk instead of tokens, and no word or pair is ever hot.
+distinct entries per chunk instead of tokens, and no word or pair is ever hot. Requests stream through a bucket's task, which
+holds its distinct entries only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -38,7 +38,10 @@ MOST_DISCOUNTED = 5
 #: Tokens per chunk, and bytes of text per bucket.
 CHUNK_TOKENS = 2_000_000
 BUCKET_BYTES = 16 << 20
-MOST_BUCKET_BITS = 16
+MOST_BUCKET_BITS = 24
+#: Counts that wait in a bucket before they are added up, and requests that are answered together.
+MOST_WAITING = 1_000_000
+REQUESTS = 4_096
 #: Shares of less are none: a history that all words followed needs no backoff, one whose counts free nothing frees one in n + 1.
 SLIGHT = 1e-9
 #: Additive part of the base score.
@@ -127,38 +130,92 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
     return map_batches(docs, _CODED, work, TEXT_ROWS)
 
 
+class _Totals:
+    """Counts by entry. What comes in is added up from time to time, so memory follows the distinct entries."""
+
+    def __init__(self) -> None:
+        self.found, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, entries: np.ndarray, counts: np.ndarray) -> None:
+        kept = counts > 0
+        self.waiting.append((entries[kept], counts[kept]))
+        self.size += int(kept.sum())
+        if self.size > max(len(self.found), MOST_WAITING):
+            self.settle()
+
+    def settle(self) -> None:
+        entries = np.concatenate([self.found, *[e for e, _ in self.waiting]])
+        counts = np.concatenate([self.n, *[c for _, c in self.waiting]])
+        self.found, inverse = np.unique(entries, return_inverse=True)
+        self.n = np.zeros(len(self.found), np.int64)
+        np.add.at(self.n, inverse, counts)
+        self.waiting, self.size = [], 0
+
+
 def count_table(asked: DataFrame) -> DataFrame:
-    """``bucket, entry, n``: training counts of all entries that any chunk asked for (0 for unseen ones is left out)."""
+    """``bucket, entry, n``: training counts of all entries that any chunk asked for (0 for unseen ones is left out).
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        entries = np.concatenate([spread_out(b, np.uint64) for b in group["entries"]])
-        counts = np.concatenate([spread_out(b, np.int64) for b in group["counts"]])
-        found, inverse = np.unique(entries[counts > 0], return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, inverse, counts[counts > 0])
-        return pd.DataFrame({"bucket": group["bucket"].iloc[0], "entry": found.view(np.int64), "n": total})
+    A bucket's requests, which grow with the chunks, pass by in order; only its distinct entries are held.
+    """
 
-    return asked.groupBy("bucket").applyInPandas(add, "bucket int, entry long, n long")
+    def settled(bucket: int, totals: _Totals) -> pa.RecordBatch:
+        totals.settle()
+        columns = [np.full(len(totals.found), bucket, np.int32), totals.found.view(np.int64), totals.n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "entry", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, totals = None, _Totals()
+        for batch in batches:
+            for bucket, entries, counts in zip(*[whole(batch, c) for c in ("bucket", "entries", "counts")]):
+                if bucket != current:
+                    if current is not None:
+                        yield settled(current, totals)
+                    current, totals = bucket, _Totals()
+                totals.add(spread_out(entries, np.uint64), spread_out(counts, np.int64))
+        if current is not None:
+            yield settled(current, totals)
+
+    together = asked.select("bucket", "entries", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    return map_batches(together, "bucket int, entry long, n long", add)
 
 
 def answers(asked: DataFrame, table: DataFrame, label: str) -> DataFrame:
-    """``chunk, <label>``: for every chunk the counts in the order it asked, as (bucket, blob) pairs in bucket order."""
-
-    def reply(group: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return pd.DataFrame({"chunk": [], "bucket": [], "found": []})
-        known, n = counted["entry"].to_numpy(np.int64).view(np.uint64), counted["n"].to_numpy(np.int64)
-        order = np.argsort(known)
-        known, n = np.append(known[order], np.uint64(0)), np.append(n[order], 0)
-        found = []
-        for blob in group["entries"]:
-            entries = spread_out(blob, np.uint64)
-            at = np.searchsorted(known[:-1], entries)
-            found.append(squeezed(np.where(known[at] == entries, n[at], 0)))
-        return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "found": found})
-
-    both = asked.select("chunk", "bucket", "entries").groupBy("bucket").cogroup(table.groupBy("bucket"))
-    replies = both.applyInPandas(reply, "chunk long, bucket int, found binary")
+    """``chunk, <label>``: for every chunk the counts in the order it asked, as (bucket, blob) pairs in bucket order.
+
+    In a bucket the counts come first and are held; the requests then pass by and are answered one by one.
+    """
+    none = F.lit(None)
+    counted = table.select("bucket", F.lit(0).alias("turn"), "entry", "n", none.cast("long").alias("chunk"), none.cast("binary").alias("entries"))
+    asking = asked.select("bucket", F.lit(1).alias("turn"), none.cast("long").alias("entry"), none.cast("long").alias("n"), "chunk", "entries")
+    together = counted.unionByName(asking).repartition("bucket").sortWithinPartitions("bucket", "turn")
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, known, n = None, [], None, None
+        for batch in batches:
+            buckets, turns = (batch.column(i).to_numpy() for i in (0, 1))
+            cuts = np.flatnonzero(np.diff(buckets.astype(np.int64) * 2 + turns, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(buckets)]):
+                if buckets[a] != current:
+                    current, parts, known = buckets[a], [], None
+                rows = batch.slice(a, b - a)
+                if turns[a] == 0:
+                    parts.append([rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3)])
+                    continue
+                if known is None:
+                    known, n = (np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*parts) if parts else ((), ())))
+                    order = np.argsort(known.view(np.uint64))
+                    known, n = np.append(known.view(np.uint64)[order], np.uint64(0)), np.append(n[order], 0)
+                found = []
+                for blob in rows.column(5).to_pylist():
+                    entries = spread_out(blob, np.uint64)
+                    at = np.searchsorted(known[:-1], entries)
+                    found.append(squeezed(np.where(known[at] == entries, n[at], 0)))
+                columns = [rows.column(4), pa.array(np.full(b - a, current, np.int32)), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "found"])
+
+    replies = map_batches(together, "chunk long, bucket int, found binary", reply, REQUESTS)
     return replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "found"))).alias(label))
 
 
