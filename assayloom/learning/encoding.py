@@ -7,6 +7,7 @@ random direction, and a text is the mean direction of its tokens.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,18 +24,33 @@ TABLE_SIZE = 4096
 BATCH_ROWS = 32
 
 
+def _mean_direction(directions: np.ndarray) -> Encoder:
+    def encode(input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
+        kept = attention_mask.astype(np.float32)
+        total = np.einsum("rt,rtd->rd", kept, directions[input_ids])
+        return total / np.maximum(kept.sum(axis=1, keepdims=True), 1)
+
+    return encode
+
+
 def mean_direction_encoder(dimensions: int = 64, table_size: int = TABLE_SIZE, seed: int = 42) -> Callable[[], Encoder]:
     """Factory of the default encoder."""
 
     def make() -> Encoder:
-        directions = np.random.default_rng(seed).standard_normal((table_size, dimensions)).astype(np.float32)
+        return _mean_direction(np.random.default_rng(seed).standard_normal((table_size, dimensions)).astype(np.float32))
+
+    return make
+
 
-        def encode(input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
-            kept = attention_mask.astype(np.float32)
-            total = np.einsum("rt,rtd->rd", kept, directions[input_ids])
-            return total / np.maximum(kept.sum(axis=1, keepdims=True), 1)
+def hashed_direction_encoder(dimensions: int = 4, table_size: int = TABLE_SIZE) -> Callable[[], Encoder]:
+    """Factory of a small encoder of whole-numbered directions, from -8 to 7: the leading hex digits of the id's MD5.
 
-        return encode
+    Other engines can compute it too.
+    """
+
+    def make() -> Encoder:
+        digits = [[int(d, 16) for d in hashlib.md5(str(i).encode()).hexdigest()[:dimensions]] for i in range(table_size)]
+        return _mean_direction(np.array(digits, np.float32) - 8)
 
     return make
 

@@ -156,10 +156,10 @@ QUERIES = {
     "accepted_responses": accepted_responses,
 }
 
-_TOKENS = r"regexp_extract_all(lower(text), '[^\s]+')"
+TOKENS_SQL = r"regexp_extract_all(lower(text), '[^\s]+')"
 
 
-def _bucket(value: str, buckets: int) -> str:
+def bucket_sql(value: str, buckets: int) -> str:
     return f"(('0x' || substr(md5({value}), 1, 8))::BIGINT % {buckets})"
 
 
@@ -169,13 +169,13 @@ def _bits_sql(source: str, key: str) -> str:
           || list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])
           || list_transform(range(1, len(toks) - 1), lambda i: toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2]))"""
     return f"""
-        SELECT {key}, toks, list_sort(list_distinct(list_transform({grams}, lambda g: {_bucket("g", 2048)}))) AS bits
-        FROM (SELECT {key}, {_TOKENS} AS toks FROM {source})"""
+        SELECT {key}, toks, list_sort(list_distinct(list_transform({grams}, lambda g: {bucket_sql("g", 2048)}))) AS bits
+        FROM (SELECT {key}, {TOKENS_SQL} AS toks FROM {source})"""
 
 
 _VOCABULARY = f"""
   SELECT token, count(*) AS uses, (row_number() OVER (ORDER BY count(*) DESC, encode(token)) + 1)::INT AS token_id
-  FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token"""
+  FROM (SELECT unnest({TOKENS_SQL}) AS token FROM documents) GROUP BY token"""
 
 _BODIES = """
   SELECT event_id, value, CASE
@@ -190,22 +190,22 @@ ORACLE = {
     "token_windows": f"""
         SELECT doc_id, md5(array_to_string(ids || list_resize([]::BIGINT[], 512 - len(ids), 0), ' ')) AS ids_digest,
                512 AS padded_length, len(ids)::INT AS mask_sum
-        FROM (SELECT doc_id, list_transform(({_TOKENS})[1:512], lambda t: {_bucket("t", 4094)} + 2) AS ids FROM documents)""",
+        FROM (SELECT doc_id, list_transform(({TOKENS_SQL})[1:512], lambda t: {bucket_sql("t", 4094)} + 2) AS ids FROM documents)""",
     "vocabulary": _VOCABULARY,
     "token_ids": f"""
         WITH v AS ({_VOCABULARY}),
-        t AS (SELECT conv_id, turn, unnest({_TOKENS}) AS token, unnest(range(len({_TOKENS}))) AS place FROM conversations)
+        t AS (SELECT conv_id, turn, unnest({TOKENS_SQL}) AS token, unnest(range(len({TOKENS_SQL}))) AS place FROM conversations)
         SELECT conv_id, turn, count(*)::INT AS length,
                md5(string_agg(coalesce(token_id, 1)::VARCHAR, ' ' ORDER BY place)) AS ids_digest
         FROM t LEFT JOIN v USING (token) GROUP BY conv_id, turn
-        UNION ALL SELECT conv_id, turn, 0, md5('') FROM conversations WHERE len({_TOKENS}) = 0""",
+        UNION ALL SELECT conv_id, turn, 0, md5('') FROM conversations WHERE len({TOKENS_SQL}) = 0""",
     "document_token_ids": f"""
         WITH v AS ({_VOCABULARY}),
-        t AS (SELECT doc_id, unnest({_TOKENS}) AS token, unnest(range(len({_TOKENS}))) AS place FROM documents)
+        t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token, unnest(range(len({TOKENS_SQL}))) AS place FROM documents)
         SELECT doc_id, count(*)::INT AS length,
                md5(string_agg(coalesce(token_id, 1)::VARCHAR, ' ' ORDER BY place)) AS ids_digest
         FROM t LEFT JOIN v USING (token) GROUP BY doc_id
-        UNION ALL SELECT doc_id, 0, md5('') FROM documents WHERE len({_TOKENS}) = 0""",
+        UNION ALL SELECT doc_id, 0, md5('') FROM documents WHERE len({TOKENS_SQL}) = 0""",
     "fingerprints": f"""
         SELECT doc_id, len(bits)::INT AS bits_set, md5(array_to_string(bits, ' ')) AS bits_digest
         FROM ({_bits_sql("documents", "doc_id")})""",

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import negative_log_molar, threshold_label
 from assayloom.functions.requests import HIGH_RISK, LOW_RISK
-from assayloom.functions.text import canonical_key
+from assayloom.functions.text import canonical_key, tokens
 from assayloom.learning import boosting, search
-from assayloom.learning.encoding import encode_texts
+from assayloom.learning.encoding import encode_texts, hashed_direction_encoder
 from assayloom.learning.features import with_fingerprint_vector
 from assayloom.operators.split import group_split
 from assayloom.plans.queries_evaluation import rounded
+from assayloom.plans.queries_features import bucket_sql, TOKENS_SQL
 from assayloom.plans.queries_split import split_sql
 from assayloom.plans.training import CLASSIFICATION, REGRESSION, train_and_evaluate, tune
 from assayloom.sinks.files import save_model
@@ -203,6 +204,14 @@ def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("doc_id", "features")
 
 
+def encoded_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole document through a small encoder of whole-numbered directions: tokens, and sums of their directions."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", F.size(tokens(F.col("text"))).alias("length"))
+    encoded = encode_texts(documents, "text", hashed_direction_encoder())
+    sums = [F.round(F.get("features", F.lit(d)).cast("double") * F.col("length")).cast("long").alias(f"s{d}") for d in range(4)]
+    return encoded.select("doc_id", "length", *sums)
+
+
 def _named(rows: DataFrame) -> DataFrame:
     """The key as text; every seventh vector short and every eleventh missing, as requests may be."""
     broken = F.when(F.col("vec_id") % 11 == 0, F.lit(None)).when(F.col("vec_id") % 7 == 0, F.slice("features", 1, 9))
@@ -251,6 +260,7 @@ QUERIES = {
     "search_trials": search_trials,
     "refit_metrics": refit_metrics,
     "encoded_texts": encoded_texts,
+    "encoded_sums": encoded_sums,
     "dual_scores": dual_scores,
     "dual_scores_stream": dual_scores_stream,
     "request_scores": request_scores,
@@ -287,7 +297,15 @@ _ANSWERS = _sides(f"""
            CASE WHEN yhat = 1 THEN '{HIGH_RISK}' ELSE '{LOW_RISK}' END AS warning,
            round(y_pred, 4) AS predicted, 'success' AS status FROM t""")
 
+_SUMS = ", ".join(
+    f"(coalesce(list_sum(list_transform(ids, lambda i: instr('0123456789abcdef', substr(md5(i::VARCHAR), {d + 1}, 1)) - 9)), 0))::BIGINT AS s{d}"
+    for d in range(4)
+)
+
 ORACLE: dict[str, str] = {
+    "encoded_sums": f"""
+        SELECT doc_id, len(ids)::INT AS length, {_SUMS}
+        FROM (SELECT doc_id, list_transform({TOKENS_SQL}, lambda t: {bucket_sql("t", 4094)} + 2) AS ids FROM documents)""",
     "score_errors": _ERRORS,
     "stream_score_errors": _ERRORS,
     "split_predictions": _sides("""
