@@ -96,7 +96,7 @@ def test_fingerprint_vectors_hold_the_checked_fingerprint(spark):
     assert all(list(v.indices) == expected[i] and set(v.values) == {1.0} for i, v in found.items())
 
 
-def test_parameters_reach_the_trees():
+def test_parameters_reach_the_trees(spark):
     space = {"n_estimators": 7, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.7, "colsample_bytree": 0.6, "gamma": 0.1, "min_child_weight": 3}
     trees = boosting.regressor(space)
     assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getSubsamplingRate()) == (7, 4, 0.2, 0.7)
