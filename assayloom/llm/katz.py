@@ -2,20 +2,22 @@
 
 The probability of a word after another is its discounted pair count if the pair was seen, else the backoff weight of the
 first word times the lower-order probability of the second; the lower order is the discounted word count, and what discounting
-frees there is the probability of the unknown word. Words of a training share below 1 / ``VOCABULARY`` are one class in pairs,
-and within the class the lower order holds; so the vocabulary of pairs is bounded at any corpus size, no count is dropped, and
-every conditional distribution sums to one over all known words and the unknown one.
+frees there is the probability of the unknown word. Every word that the training texts have twice or more has pairs of its own,
+at any corpus size; words seen once and unknown words are one class in pairs, and within the class the lower order holds. So no
+count is dropped, and every conditional distribution sums to one over all known words and the unknown one.
 
 Texts are read once. Every task codes its tokens, in chunks, by the chunk's own dictionary and keeps the codes. Per chunk and
-hash bucket it *asks* for the counts of its distinct words, later of its distinct pairs. A bucket adds up what all chunks sent
-(the count table, partitioned by bucket) and *answers* every chunk in the order it asked. So counting and looking up move
-distinct entries per chunk instead of tokens, and no word or pair is ever hot. Requests stream through a bucket's task, which
-holds its distinct entries only.
+hash bucket it *asks* for the counts of its distinct words, later of its distinct pairs and of what it needs of their histories.
+A bucket adds up what all chunks sent (the count table, partitioned by bucket) and *answers* every chunk in the order it asked.
+So counting and looking up move distinct entries per chunk instead of tokens, and no word, pair or history is ever hot. Requests
+stream through a bucket's task, which holds its distinct entries only. The driver holds numbers per bucket and per count, no
+words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +33,8 @@ from assayloom.llm.rows import TEXT_ROWS, map_batches, text_of, whole
 from assayloom.staging import stage
 
 FOLDS, HELD_OUT = 10, 0
-#: Words with at least this share of the training tokens have pairs of their own.
-VOCABULARY = 50_000
+#: Words have pairs of their own from a training share of 1 / this and two occurrences on; no share by default.
+VOCABULARY = math.inf
 #: Counts up to this one are discounted.
 MOST_DISCOUNTED = 5
 #: Tokens per chunk, and bytes of text per bucket.
@@ -60,6 +62,15 @@ def spread_out(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def squeezed_steps(values: np.ndarray) -> bytes:
+    """64-bit numbers by the steps between them, which are small where the numbers climb."""
+    return squeezed(np.diff(values.view(np.uint64), prepend=np.uint64(0)))
+
+
+def climbed(blob: bytes) -> np.ndarray:
+    return np.cumsum(spread_out(blob, np.uint64), dtype=np.uint64)
+
+
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         found = self[word] = len(self)
@@ -74,14 +85,20 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _by_bucket(scrambled: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Buckets by leading bits; ``scrambled`` is sorted, so each is a slice."""
-    buckets = scrambled >> np.uint64(64 - bits)
+def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """``buckets`` is sorted, so each is a slice."""
     found, starts = np.unique(buckets, return_index=True)
-    for bucket, a, b in zip(found.tolist(), starts, np.append(starts[1:], len(scrambled))):
+    for bucket, a, b in zip(found.tolist(), starts, np.append(starts[1:], len(buckets))):
         yield bucket, slice(a, b)
 
 
+def _pair_order(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending keys by bucket, then by key, and the buckets in it."""
+    buckets = (mixed(pairs) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int32)
+    order = np.argsort(buckets, kind="stable")
+    return order, buckets[order]
+
+
 _CODED = (
     "chunk long, keys array<long>, sizes binary, trains binary, codes binary, tokens long, train_tokens long, "
     "bucket int, entries binary, counts binary"
@@ -107,8 +124,8 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
         counts, hashes = np.bincount(ranked[trained], minlength=len(order)), hashes[order]
         size, flags = squeezed(np.array(sizes, np.int32)), squeezed(np.array(trains, np.uint8))
         out = [(chunk, keys, size, flags, squeezed(ranked), len(ranked), int(trained.sum()), None, None, None)]
-        for bucket, part in _by_bucket(hashes, bits):
-            asked = squeezed(hashes[part]), squeezed(counts[part].astype(np.int64))
+        for bucket, part in _by_bucket(hashes >> np.uint64(64 - bits)):
+            asked = squeezed_steps(hashes[part]), squeezed(counts[part].astype(np.int64))
             out.append((chunk, None, None, None, None, None, None, bucket, *asked))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
@@ -131,68 +148,89 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
 
 
 class _Totals:
-    """Counts by entry. What comes in is added up from time to time, so memory follows the distinct entries."""
+    """Counts, and a note each, by entry. What comes in is added up from time to time, so memory follows the distinct entries."""
 
     def __init__(self) -> None:
-        self.found, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.found, self.n, self.notes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, entries: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, entries: np.ndarray, counts: np.ndarray, notes: np.ndarray) -> None:
         kept = counts > 0
-        self.waiting.append((entries[kept], counts[kept]))
+        self.waiting.append((entries[kept], counts[kept], notes[kept]))
         self.size += int(kept.sum())
         if self.size > max(len(self.found), MOST_WAITING):
             self.settle()
 
     def settle(self) -> None:
-        entries = np.concatenate([self.found, *[e for e, _ in self.waiting]])
-        counts = np.concatenate([self.n, *[c for _, c in self.waiting]])
-        self.found, inverse = np.unique(entries, return_inverse=True)
-        self.n = np.zeros(len(self.found), np.int64)
+        entries, counts, notes = (np.concatenate(c) for c in zip((self.found, self.n, self.notes), *self.waiting))
+        self.found, first, inverse = np.unique(entries, return_index=True, return_inverse=True)
+        self.n, self.notes = np.zeros(len(self.found), np.int64), notes[first]
         np.add.at(self.n, inverse, counts)
         self.waiting, self.size = [], 0
 
 
-def count_table(asked: DataFrame) -> DataFrame:
-    """``bucket, entry, n``: training counts of all entries that any chunk asked for (0 for unseen ones is left out).
+_TABLE = "bucket int, entries binary, n binary, note binary, types long, own long, below long, small array<long>"
+
+
+def count_table(asked: DataFrame, least: int | None = None) -> DataFrame:
+    """Per bucket all entries that any chunk asked for, their training counts ``n`` (0 for unseen ones is left out) and notes.
 
-    A bucket's requests, which grow with the chunks, pass by in order; only its distinct entries are held.
+    The note is the one the entry came with or, given ``least``, its rank among the bucket's entries with that count, -1 for
+    the others. Beside them stand how many entries there are, how many have that count, what the others count together, and
+    how many entries have count 1, 2, ... A bucket's requests, which grow with the chunks, pass by in order; only its distinct
+    entries are held.
     """
+    names = ["bucket", "entries", "counts", *(["notes"] if least is None else [])]
 
     def settled(bucket: int, totals: _Totals) -> pa.RecordBatch:
         totals.settle()
-        columns = [np.full(len(totals.found), bucket, np.int32), totals.found.view(np.int64), totals.n]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "entry", "n"])
+        own = totals.n >= (least or 0)
+        notes = totals.notes if least is None else np.where(own, np.cumsum(own) - 1, -1)
+        rows = []
+        for at in range(0, len(totals.found), MOST_WAITING):
+            part = slice(at, at + MOST_WAITING)
+            n, mine = totals.n[part], own[part]
+            small = np.bincount(n[n <= MOST_DISCOUNTED + 1], minlength=MOST_DISCOUNTED + 2)[1:].tolist()
+            blobs = squeezed_steps(totals.found[part]), squeezed(n), squeezed(notes[part])
+            rows.append((bucket, *blobs, len(n), int(mine.sum()), int(n[~mine].sum()), small))
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
+
+    fields = [f.split()[0] for f in _TABLE.split(", ")]
+    kinds = [pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 3, pa.list_(pa.int64())]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, totals = None, _Totals()
         for batch in batches:
-            for bucket, entries, counts in zip(*[whole(batch, c) for c in ("bucket", "entries", "counts")]):
+            for bucket, entries, counts, *notes in zip(*[whole(batch, c) for c in names]):
                 if bucket != current:
                     if current is not None:
                         yield settled(current, totals)
                     current, totals = bucket, _Totals()
-                totals.add(spread_out(entries, np.uint64), spread_out(counts, np.int64))
+                n = spread_out(counts, np.int64)
+                totals.add(climbed(entries), n, spread_out(notes[0], np.int64) if notes else np.zeros_like(n))
         if current is not None:
             yield settled(current, totals)
 
-    together = asked.select("bucket", "entries", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    return map_batches(together, "bucket int, entry long, n long", add)
+    together = asked.select(*names).repartition("bucket").sortWithinPartitions("bucket")
+    return map_batches(together, _TABLE, add)
 
 
-def answers(asked: DataFrame, table: DataFrame, label: str) -> DataFrame:
-    """``chunk, <label>``: for every chunk the counts in the order it asked, as (bucket, blob) pairs in bucket order.
+def answers(asked: DataFrame, table: DataFrame, *values: str, read: Callable[[bytes], np.ndarray] = climbed) -> DataFrame:
+    """``chunk, bucket`` and per value a blob: a row for each request, its values in the order it asked, 0 where there are none.
 
-    In a bucket the counts come first and are held; the requests then pass by and are answered one by one.
+    In a bucket the table's rows come first and are held; the requests, decoded by ``read``, then pass by and are answered one
+    by one.
     """
     none = F.lit(None)
-    counted = table.select("bucket", F.lit(0).alias("turn"), "entry", "n", none.cast("long").alias("chunk"), none.cast("binary").alias("entries"))
-    asking = asked.select("bucket", F.lit(1).alias("turn"), none.cast("long").alias("entry"), none.cast("long").alias("n"), "chunk", "entries")
+    empty = [none.cast("binary").alias(v) for v in values]
+    counted = table.select("bucket", F.lit(0).alias("turn"), none.cast("long").alias("chunk"), "entries", *values)
+    asking = asked.select("bucket", F.lit(1).alias("turn"), "chunk", "entries", *empty)
     together = counted.unionByName(asking).repartition("bucket").sortWithinPartitions("bucket", "turn")
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, known, n = None, [], None, None
+        current, parts, known, held = None, [], None, []
         for batch in batches:
             buckets, turns = (batch.column(i).to_numpy() for i in (0, 1))
             cuts = np.flatnonzero(np.diff(buckets.astype(np.int64) * 2 + turns, prepend=-1))
@@ -201,27 +239,39 @@ def answers(asked: DataFrame, table: DataFrame, label: str) -> DataFrame:
                     current, parts, known = buckets[a], [], None
                 rows = batch.slice(a, b - a)
                 if turns[a] == 0:
-                    parts.append([rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3)])
+                    for entries, *blobs in zip(*[rows.column(i).to_pylist() for i in range(3, 4 + len(values))]):
+                        parts.append([climbed(entries), *[spread_out(blob, np.int64) for blob in blobs]])
                     continue
                 if known is None:
-                    known, n = (np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*parts) if parts else ((), ())))
-                    order = np.argsort(known.view(np.uint64))
-                    known, n = np.append(known.view(np.uint64)[order], np.uint64(0)), np.append(n[order], 0)
-                found = []
-                for blob in rows.column(5).to_pylist():
-                    entries = spread_out(blob, np.uint64)
+                    own, *rest = zip(*parts) if parts else [()] * (1 + len(values))
+                    own = np.concatenate([np.empty(0, np.uint64), *own])
+                    order, parts = np.argsort(own), []
+                    known = np.append(own[order], np.uint64(0))
+                    held = [np.append(np.concatenate([np.empty(0, np.int64), *c])[order], 0) for c in rest]
+                found: list[list[bytes]] = [[] for _ in values]
+                for blob in rows.column(3).to_pylist():
+                    entries = read(blob)
                     at = np.searchsorted(known[:-1], entries)
-                    found.append(squeezed(np.where(known[at] == entries, n[at], 0)))
-                columns = [rows.column(4), pa.array(np.full(b - a, current, np.int32)), pa.array(found, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "found"])
+                    for blobs, value in zip(found, held):
+                        blobs.append(squeezed(np.where(known[at] == entries, value[at], 0)))
+                columns = [rows.column(2), pa.array(np.full(b - a, current, np.int32)), *[pa.array(f, pa.binary()) for f in found]]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", *values])
+
+    return map_batches(together, ", ".join(["chunk long, bucket int", *[f"{v} binary" for v in values]]), reply, REQUESTS)
+
 
-    replies = map_batches(together, "chunk long, bucket int, found binary", reply, REQUESTS)
-    return replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "found"))).alias(label))
+def by_chunk(replies: DataFrame, label: str) -> DataFrame:
+    """``chunk, <label>``: all replies to a chunk as structs in bucket order."""
+    rest = [c for c in replies.columns if c != "chunk"]
+    return replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(label))
 
 
-def _answered(cell: list[dict]) -> np.ndarray:
-    parts = [spread_out(r["found"], np.int64) for r in cell]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+def _ranks(blob: bytes) -> np.ndarray:
+    return spread_out(blob, np.uint64)
+
+
+def _answered(cell: list[dict], value: str, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[spread_out(r[value], kind) for r in cell]])
 
 
 def discounts(counts_of_counts: Sequence[int]) -> np.ndarray:
@@ -244,181 +294,244 @@ def discounts(counts_of_counts: Sequence[int]) -> np.ndarray:
 
 
 def _counts_of_counts(table: DataFrame) -> list[int]:
-    most = MOST_DISCOUNTED + 1
-    found = {r["n"]: r["count"] for r in table.where(F.col("n") <= most).groupBy("n").count().collect()}
-    return [found.get(r, 0) for r in range(1, most + 1)]
+    return [n or 0 for n in table.agg(*[F.sum(F.col("small")[r]) for r in range(MOST_DISCOUNTED + 1)]).first()]
 
 
 @dataclass
 class Lower:
-    """The lower order: what a count is worth, and the bounded vocabulary of pairs (by sorted word hash)."""
+    """The lower order: what a count is worth, and the ids of the words with own pairs, counted through the buckets."""
 
     tokens: int
     types: int
     factor: np.ndarray
     unknown: float
-    hashes: np.ndarray
-    frequent: np.ndarray
+    #: Probability of all words without own pairs together.
+    others: float
+    #: Words with own pairs before each bucket, and in all.
+    starts: np.ndarray
 
     @property
     def rare(self) -> int:
-        return len(self.hashes)
+        return int(self.starts[-1])
 
     @property
     def start(self) -> int:
-        return len(self.hashes) + 1
+        return self.rare + 1
+
+    @property
+    def width(self) -> int:
+        return self.rare + 2
 
     def chance(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words by their training count; count 0 is the unknown word."""
         if not self.tokens:
             return np.ones(len(counts))
-        factor = self.factor[np.minimum(counts, len(self.factor) - 1)]
-        factor = np.where(counts < len(self.factor), factor, 1.0)
-        return np.where(counts > 0, factor * counts / self.tokens, self.unknown)
-
-    def by_id(self) -> np.ndarray:
-        """Probability per id: the frequent words, then the class of all others."""
-        own = self.chance(self.frequent)
-        return np.append(own, max(1 - own.sum(), self.unknown))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.append(self.hashes, np.uint64(0))
-        return np.where((at < len(self.hashes)) & (known[at] == hashes), at, self.rare).astype(np.int64)
+        return np.where(counts > 0, discounted(counts, self.factor) / self.tokens, self.unknown)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ADDED) / (self.tokens + ADDED * (self.types + 1)))
 
 
-def lower_order(words: DataFrame, tokens: int, vocabulary: int = VOCABULARY) -> Lower:
-    """From the word count table. The words collected are at most ``vocabulary``, by their share of all tokens."""
+def discounted(counts: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    return np.where(counts < len(factor), factor[np.minimum(counts, len(factor) - 1)], 1.0) * counts
+
+
+def least_count(tokens: int, vocabulary: float) -> int:
+    """The training count from which on a word has pairs of its own."""
+    return int(max(2, -(-tokens // vocabulary)))
+
+
+def lower_order(words: DataFrame, tokens: int, least: int, bits: int) -> Lower:
+    """From the word count table; what is collected is a number per bucket."""
     n = _counts_of_counts(words)
     factor = discounts(n)
-    freed = sum(r * n[r - 1] * (1 - factor[r]) for r in range(1, MOST_DISCOUNTED + 1))
-    least = max(2, -(-tokens // vocabulary))
-    rows = sorted((r["entry"] % (1 << 64), r["n"]) for r in words.where(F.col("n") >= least).select("entry", "n").collect())
-    return Lower(
-        tokens,
-        words.count(),
-        factor,
-        freed / tokens if tokens else 1.0,
-        np.array([r[0] for r in rows], np.uint64),
-        np.array([r[1] for r in rows], np.int64),
-    )
+    freed = [r * n[r - 1] * (1 - factor[r]) for r in range(1, MOST_DISCOUNTED + 1)]
+    types, below = (n or 0 for n in words.agg(F.sum("types"), F.sum("below")).first())
+    own = np.zeros((1 << bits) + 1, np.int64)
+    for row in words.groupBy("bucket").agg(F.sum("own").alias("own")).collect():
+        own[row["bucket"] + 1] = row["own"]
+    unknown = sum(freed) / tokens if tokens else 1.0
+    others = unknown + (below - sum(freed[: least - 1])) / tokens if tokens else 1.0
+    return Lower(tokens, types, factor, unknown, others, np.cumsum(own))
 
 
 @dataclass
 class Higher:
-    """The pair level: what a pair count is worth, and per history its tokens, its scale and its backoff weight."""
+    """The pair level: what a pair count is worth, and scale and backoff weight of the two histories that are no words."""
 
     factor: np.ndarray
-    totals: np.ndarray
-    scale: np.ndarray
-    backoff: np.ndarray
-
-    def log_chance(self, history: np.ndarray, word: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 probability of ids after ids, given the training counts of the pairs; recursion to ``lower`` where unseen."""
-        factor = np.where(counts < len(self.factor), self.factor[np.minimum(counts, len(self.factor) - 1)], 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = factor * counts / self.totals[history] * self.scale[history]
-        return np.log10(np.where(counts > 0, seen, self.backoff[history] * lower[word]))
+    rare: tuple[float, float]
+    start: tuple[float, float]
 
 
-def higher_order(pairs: DataFrame, lower: Lower) -> Higher:
-    """From the pair count table; what is collected is one row per history, so bounded by the vocabulary."""
-    factor, chance, width = discounts(_counts_of_counts(pairs)), lower.by_id(), len(lower.hashes) + 2
+def histories(pairs: DataFrame, lower: Lower, factor: np.ndarray) -> DataFrame:
+    """``bucket, entries, scale, backoff``: the histories of a bucket of words, by their ranks there.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The scale is the probability of a discounted count of one. The bucket after the last one has
+    the class of rare words (0) and the start (1). Tasks add up what they read of the pair table before it is exchanged.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast((lower, factor))
+    kinds = {"ranks": np.int64, "n": np.int64, "kept": np.float64, "covered": np.float64}
+
+    def part(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        lower, factor = shared.value
+        keys, n, notes = (np.concatenate(c) for c in zip(*held))
+        found, inverse = np.unique(keys // lower.width, return_inverse=True)
+        chance = np.where(notes > 0, lower.chance(notes), lower.others)
+        sums = [np.bincount(inverse, n).astype(np.int64), np.bincount(inverse, discounted(n, factor)), np.bincount(inverse, chance)]
+        buckets = np.searchsorted(lower.starts, found, side="right") - 1
+        ranks = found - lower.starts[buckets]
+        here, cuts = np.unique(buckets, return_index=True)
+        ends = [*cuts[1:].tolist(), len(found)]
+        blobs = [pa.array([squeezed(c[a:b]) for a, b in zip(cuts, ends)], pa.binary()) for c in (ranks, *sums)]
+        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), *blobs], names=["bucket", *kinds])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            history, word = np.divmod(keys, width)
-            kept = np.where(n < len(factor), factor[np.minimum(n, len(factor) - 1)], 1.0) * n
-            found, inverse = np.unique(history, return_inverse=True)
-            columns = [found, np.bincount(inverse, n), np.bincount(inverse, kept), np.bincount(inverse, chance[word])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "n", "kept", "covered"])
-
-    parts = map_batches(pairs.select("entry", "n"), "h long, n double, kept double, covered double", sums)
-    rows = parts.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "kept", "covered")]).collect()
-    totals, scale, backoff = np.zeros(width), np.ones(width), np.ones(width)
-    for row in rows:
-        h, open_share = row["h"], 1 - row["covered"]
-        totals[h] = row["n"]
-        freed = 1 - row["kept"] / row["n"]
-        if open_share <= SLIGHT:
-            freed, open_share = 0.0, 1.0
-        elif freed <= SLIGHT:
-            freed = 1 / (row["n"] + 1)
-        scale[h], backoff[h] = (1 - freed) * row["n"] / row["kept"], freed / open_share
-    return Higher(factor, totals, scale, backoff)
-
-
-def _histories(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    before = np.append(start, ids[:-1])
+            for entries, *blobs in zip(*[whole(batch, c) for c in ("entries", "n", "note")]):
+                held.append([climbed(entries).view(np.int64), *[spread_out(b, np.int64) for b in blobs]])
+                size += len(held[-1][0])
+                if size >= MOST_WAITING:
+                    yield part(held)
+                    held, size = [], 0
+        if size:
+            yield part(held)
+
+    def settled(bucket: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        n, kept, covered = held
+        seen = np.flatnonzero(n)
+        n, kept, covered = n[seen], kept[seen], covered[seen]
+        freed, open_share = 1 - kept / n, 1 - covered
+        closed = open_share <= SLIGHT
+        freed = np.where(closed, 0.0, np.where(freed <= SLIGHT, 1 / (n + 1), freed))
+        scale, backoff = (1 - freed) / kept, freed / np.where(closed, 1.0, open_share)
+        blobs = squeezed_steps(seen.astype(np.int64)), squeezed(scale), squeezed(backoff)
+        columns = [pa.array([bucket], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "entries", "scale", "backoff"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, starts = None, [], shared.value[0].starts
+        for batch in batches:
+            for bucket, *blobs in zip(*[whole(batch, c) for c in ("bucket", *kinds)]):
+                if bucket != current:
+                    if current is not None:
+                        yield settled(current, held)
+                    own = 2 if bucket == len(starts) - 1 else int(starts[bucket + 1] - starts[bucket])
+                    current, held = bucket, [np.zeros(own) for _ in range(3)]
+                ranks, *sums = (spread_out(b, kind) for b, kind in zip(blobs, kinds.values()))
+                for total, more in zip(held, sums):
+                    total[ranks] += more
+        if current is not None:
+            yield settled(current, held)
+
+    shares = map_batches(pairs.select("entries", "n", "note"), "bucket int, " + ", ".join(f"{c} binary" for c in kinds), parts)
+    together = shares.repartition("bucket").sortWithinPartitions("bucket")
+    return map_batches(together, "bucket int, entries binary, scale binary, backoff binary", weigh)
+
+
+def higher_order(weights: DataFrame, lower: Lower, factor: np.ndarray) -> Higher:
+    """From the table of :func:`histories`, of which its last bucket, of two histories at most, is collected."""
+    bits: dict[int, tuple[float, float]] = {}
+    for row in weights.where(F.col("bucket") == len(lower.starts) - 1).collect():
+        scale, backoff = (spread_out(row[c], np.float64).tolist() for c in ("scale", "backoff"))
+        bits |= dict(zip(climbed(row["entries"]).tolist(), zip(scale, backoff)))
+    return Higher(factor, bits.get(0, (0.0, 0.0)), bits.get(1, (0.0, 0.0)))
+
+
+def _before(values: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    before = np.append(start, values[:-1])
     before[np.append(0, np.cumsum(sizes)[:-1])] = start
     return before
 
 
-def _chunk_ids(batch: pa.RecordBatch, i: int, lower: Lower) -> tuple[np.ndarray, ...]:
-    cell = lambda name: batch.column(batch.schema.get_field_index(name))[i].as_py()
-    sizes, codes = spread_out(cell("sizes"), np.int32), spread_out(cell("codes"), np.int32)
-    hashes = np.concatenate([spread_out(r["entries"], np.uint64) for r in cell("asked")])
-    ids = lower.ids(hashes)[codes]
-    return sizes, codes, ids, _histories(ids, sizes, lower.start)
+def _cell(batch: pa.RecordBatch, i: int, name: str) -> object:
+    return batch.column(batch.schema.get_field_index(name))[i].as_py()
+
+
+def _chunk(batch: pa.RecordBatch, i: int, lower: Lower) -> tuple[np.ndarray, ...]:
+    """Sizes of the texts and codes of their tokens; training counts and ids by code."""
+    sizes, codes = spread_out(_cell(batch, i, "sizes"), np.int32), spread_out(_cell(batch, i, "codes"), np.int32)
+    cell = _cell(batch, i, "words")
+    counts, ids = _answered(cell, "n"), []
+    for reply in cell:
+        ranks = spread_out(reply["note"], np.int64)
+        ids.append(np.where(ranks >= 0, lower.starts[reply["bucket"]] + ranks, lower.rare))
+    ids = np.concatenate(ids)
+    return sizes, codes, counts, np.where(counts > 0, ids, lower.rare)
 
 
 def ask_pairs(chunks: DataFrame, lower: Lower, bits: int) -> DataFrame:
-    """A row per chunk and bucket that asks for the chunk's distinct pairs, ordered by their scrambled key."""
+    """A row per chunk and bucket that asks for the chunk's distinct pairs, in order.
+
+    A pair's note is the training count of its second word, 0 for the class of rare words.
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(lower)
+    names = ["chunk", "bucket", "entries", "counts", "notes"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, _, ids, before = _chunk_ids(batch, i, shared.value)
-                trains = spread_out(batch.column(batch.schema.get_field_index("trains"))[i].as_py(), np.uint8)
-                pairs, inverse = np.unique(before * (len(shared.value.hashes) + 2) + ids, return_inverse=True)
+                sizes, codes, known, by_code = _chunk(batch, i, lower)
+                ids, trains = by_code[codes], spread_out(_cell(batch, i, "trains"), np.uint8)
+                keys = _before(ids, sizes, lower.start) * lower.width + ids
+                pairs, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
                 counts = np.bincount(inverse, np.repeat(trains, sizes), len(pairs)).astype(np.int64)
-                scrambled = mixed(pairs)
-                order = np.argsort(scrambled)
-                pairs, counts, scrambled = pairs[order].astype(np.uint64), counts[order], scrambled[order]
-                chunk = batch.column(batch.schema.get_field_index("chunk"))[i].as_py()
-                out = [(chunk, b, squeezed(pairs[s]), squeezed(counts[s])) for b, s in _by_bucket(scrambled, bits)]
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["chunk", "bucket", "entries", "counts"]
-                )
+                notes = np.where(by_code == lower.rare, 0, known)[codes[first]]
+                order, buckets = _pair_order(pairs, bits)
+                pairs, counts, notes = pairs[order], counts[order], notes[order]
+                chunk = _cell(batch, i, "chunk")
+                out = [
+                    (chunk, b, squeezed_steps(pairs[s]), squeezed(counts[s]), squeezed(notes[s])) for b, s in _by_bucket(buckets)
+                ]
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return map_batches(chunks, "chunk long, bucket int, entries binary, counts binary", work)
+    return map_batches(chunks, "chunk long, bucket int, entries binary, counts binary, notes binary", work)
 
 
-def _score_chunks(chunks: DataFrame, lower: Lower, higher: Higher) -> DataFrame:
+def _score_chunks(chunks: DataFrame, lower: Lower, higher: Higher, bits: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast((lower, higher))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, higher = shared.value
-        by_id = lower.by_id()
         for batch in batches:
-            at = batch.schema.get_field_index
             for i in range(batch.num_rows):
-                sizes, codes, ids, before = _chunk_ids(batch, i, lower)
-                counts = _answered(batch.column(at("words"))[i].as_py())[codes]
-                pairs, inverse = np.unique(before * (len(lower.hashes) + 2) + ids, return_inverse=True)
+                sizes, codes, known, by_code = _chunk(batch, i, lower)
+                rare, ids = by_code == lower.rare, by_code[codes]
+                pairs, inverse = np.unique(_before(ids, sizes, lower.start) * lower.width + ids, return_inverse=True)
                 pair_counts = np.empty(len(pairs), np.int64)
-                pair_counts[np.argsort(mixed(pairs))] = _answered(batch.column(at("pairs"))[i].as_py())
-                logs = higher.log_chance(before, ids, pair_counts[inverse], by_id)
-                rare = ids == lower.rare
-                logs[rare] += np.log10(lower.chance(counts[rare]) / by_id[lower.rare])
+                pair_counts[_pair_order(pairs, bits)[0]] = _answered(_cell(batch, i, "pairs"), "n")
+                n, before = pair_counts[inverse], _before(codes, sizes, len(by_code))
+                cell = _cell(batch, i, "histories")
+                scale, backoff = (
+                    np.append(np.where(rare, a, _answered(cell, c, np.float64)), b)
+                    for c, a, b in zip(("scale", "backoff"), higher.rare, higher.start)
+                )
+                backoff = np.where(scale > 0, backoff, 1.0)
+                chance = lower.chance(known)
+                of_id = np.where(rare, lower.others, chance)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    logs = np.log10(np.where(n > 0, discounted(n, higher.factor) * scale[before], backoff[before] * of_id[codes]))
+                logs += np.log10(chance / of_id)[codes]
                 starts = np.append(0, np.cumsum(sizes)[:-1])
-                keys = pa.array(batch.column(at("keys"))[i].as_py(), pa.int64())
-                known = np.add.reduceat((counts > 0).astype(np.int64), starts)
-                columns = [sizes.astype(np.int64), known, np.add.reduceat(lower.base(counts), starts), np.add.reduceat(logs, starts)]
+                counts = known[codes]
+                columns = [
+                    sizes.astype(np.int64),
+                    np.add.reduceat((counts > 0).astype(np.int64), starts),
+                    np.add.reduceat(lower.base(counts), starts),
+                    np.add.reduceat(logs, starts),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [keys, *map(pa.array, columns)], names=["key", "n_tokens", "n_known", "base_score", "score"]
+                    [pa.array(_cell(batch, i, "keys"), pa.int64()), *map(pa.array, columns)],
+                    names=["key", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     return map_batches(chunks, "key long, n_tokens long, n_known long, base_score double, score double", work)
 
 
-def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: int = VOCABULARY) -> DataFrame:
+def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: float = VOCABULARY) -> DataFrame:
     """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the lower-cased (A-Z) words between blanks and one end per text. Learned from the rows outside the held-out
@@ -433,17 +546,22 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabu
     asked = everything.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "entries", "counts")
     tokens = everything.agg(F.sum("train_tokens")).first()[0] or 0
 
-    words = stage(count_table(asked), "word-counts")
-    lower = lower_order(words, tokens, vocabulary)
-    hashes = asked.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "entries"))).alias("asked"))
+    least = least_count(tokens, vocabulary)
+    words = stage(count_table(asked, least), "word-counts")
+    lower = lower_order(words, tokens, least, bits)
+    replies = stage(answers(asked, words, "n", "note"), "word-answers")
     texts = everything.where(F.col("codes").isNotNull()).select("chunk", "keys", "sizes", "trains", "codes")
-    texts = texts.join(hashes, "chunk")
+    texts = texts.join(by_chunk(replies, "words"), "chunk")
 
     pairs_asked = stage(ask_pairs(texts, lower, bits), "pairs-asked")
     pairs = stage(count_table(pairs_asked), "pair-counts")
-    higher = higher_order(pairs, lower)
-    full = texts.join(answers(asked, words, "words"), "chunk").join(answers(pairs_asked, pairs, "pairs"), "chunk")
-    return _score_chunks(full, lower, higher).select(
+    factor = discounts(_counts_of_counts(pairs))
+    weights = stage(histories(pairs, lower, factor), "histories")
+    higher = higher_order(weights, lower, factor)
+    ranks = replies.select("chunk", "bucket", F.col("note").alias("entries"))
+    full = texts.join(by_chunk(answers(pairs_asked, pairs, "n"), "pairs"), "chunk")
+    full = full.join(by_chunk(answers(ranks, weights, "scale", "backoff", read=_ranks), "histories"), "chunk")
+    return _score_chunks(full, lower, higher, bits).select(
         F.col("key").alias(key),
         (fold(F.col("key"), FOLDS) == HELD_OUT).alias("held_out"),
         "n_tokens",

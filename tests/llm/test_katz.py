@@ -151,3 +151,13 @@ def test_odd_rows(odd, none, spark):
 def test_discounts():
     assert (katz.discounts([100, 40, 22, 14, 10, 7])[1:] < 1).all()
     assert (katz.discounts([0] * 6)[1:] > 0).all() and (katz.discounts([5, 0, 0, 0, 0, 0])[1:] < 1).all()
+
+
+def test_words_seen_twice_have_pairs_in_a_large_table_too(spark):
+    """Over 100,000 tokens the former cut, a share of 1 / 50,000, left words seen twice no pairs."""
+    rng = np.random.default_rng(8)
+    docs = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 450) % 30_000)) for k in range(300)]
+    brute = Brute(docs, math.inf)
+    assert brute.total > 110_000 and sum(n == 2 for n in brute.c.values()) > 1_000
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    check(katz.score_texts(frame).collect(), brute)
