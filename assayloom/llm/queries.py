@@ -99,15 +99,12 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its shard and its slot there."""
-    text = F.coalesce("text", F.lit(""))
-    docs = _read(spark, folder, "documents").select(
-        "doc_id",
+    dealt = sharding.shuffle_into_shards(_read(spark, folder, "documents"))
+    text = F.coalesce("row.text", F.lit(""))
+    return dealt.select(
+        "row.doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    dealt = sharding.shuffle_into_shards(docs)
-    return dealt.select(
-        "row.*",
         F.lit("rows").alias("law"),
         "shard",
         "slot",

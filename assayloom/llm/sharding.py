@@ -2,7 +2,8 @@
 
 How many rows each partition sends to each target is one draw from the multivariate hypergeometric law with both margins
 fixed: the partition sizes and the wanted target sizes. Each partition permutes its rows locally and deals them out by its
-row of the matrix; rows are exchanged; every target permutes what it got. The result is a uniform permutation of all rows.
+row of the matrix; the rows themselves are exchanged by target; every target permutes what it got and numbers it, so a row comes
+out where its target lies. The result is a uniform permutation of all rows.
 
 The matrix is never built. A binary tree over the partitions splits the target counts at every node with a seeded draw, and a
 partition finds its own row by walking down the tree. A shard of more than ``BLOCK_ROWS`` rows is several targets, so no task
@@ -19,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.rows import boxed, map_batches, numbered
-from assayloom.staging import stage
+from assayloom.llm.rows import boxed, numbered
 
 SHARDS = 40
 BLOCK_ROWS = 1_000_000
@@ -93,11 +93,12 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     targets = target_sizes(rows, shards, blocks)
     shared = df.sparkSession.sparkContext.broadcast((starts, targets))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("int")
+    def target(rids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         starts, targets = shared.value
         held: tuple[int, np.ndarray] = -1, np.empty(0, np.int32)
-        for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
+        for rid in rids:
+            rid = rid.to_numpy(zero_copy_only=False)
             parts, places = rid >> _PART_BITS, rid & ((1 << _PART_BITS) - 1)
             out = np.empty(len(rid), np.int32)
             for part in np.unique(parts).tolist():
@@ -107,16 +108,15 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, b
                     held = part, np.random.default_rng([seed, 2, part]).permutation(labels)
                 here = parts == part
                 out[here] = held[1][places[here]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["rid", "target"])
+            yield pa.array(out)
 
-    dealt = map_batches(table.select("rid"), "rid long, target int", deal)
     whole = F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("long")
     block = F.col("target") % blocks
     start = block * F.floor(whole / blocks) + F.least(block, whole % blocks)
     again = Window.partitionBy("target").orderBy(F.xxhash64(F.lit(seed), "rid"), "rid")
-    placed = (
-        dealt.withColumn("shard", F.floor(F.col("target") / blocks).cast("int"))
+    return (
+        table.select("rid", "row", target("rid").alias("target"))
+        .withColumn("shard", F.floor(F.col("target") / blocks).cast("int"))
         .withColumn("slot", (start + F.row_number().over(again) - 1).cast("long"))
-        .select("rid", "shard", "slot")
+        .select("row", "shard", "slot")
     )
-    return table.select("rid", "row").join(stage(placed, "shard-places"), "rid").select("row", "shard", "slot")

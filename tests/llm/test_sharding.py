@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayloom.llm import sharding
 from assayloom.llm.queries import QUERIES
@@ -71,3 +72,27 @@ def test_large_populations(good, bad, draws):
     spread = max(1.0, (mean * bad / total * (total - draws) / (total - 1)) ** 0.5)
     assert (found <= min(good, draws)).all() and (found >= max(0, draws - bad)).all()
     assert abs(found.mean() - mean) < spread
+
+
+def test_query_deals_whole_documents(spark, monkeypatch):
+    """The operator gets the documents with their texts, and size and checksum are those of the rows it gives back."""
+    folder, deal, seen = "/root/testdata/sf0.001", sharding.shuffle_into_shards, []
+
+    def broken(docs, *more):
+        seen.append(docs.columns)
+        return deal(docs, *more).withColumn("row", F.col("row").withField("text", F.lit("lost")))
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", broken)
+    rows = QUERIES["op10_sharding"](spark, folder).collect()
+    assert seen == [spark.read.parquet(f"{folder}/documents.parquet").columns]
+    assert {(r["size"], r["text_crc32"]) for r in rows} == {(20, zlib.crc32(b"lost"))}
+
+
+def test_rows_lie_in_their_shard(spark):
+    """No two partitions hold rows of one target: the rows were exchanged, not only their numbers."""
+    docs = spark.range(400).repartition(6).withColumn("text", F.concat(F.lit("text "), "id"))
+    dealt = sharding.shuffle_into_shards(docs, shards=5)
+    rows = dealt.select("row.*", "shard", "slot", F.spark_partition_id().alias("part")).collect()
+    check(rows, 5)
+    assert all(r["text"] == f"text {r['id']}" for r in rows)
+    assert len({(r["shard"], r["part"]) for r in rows}) == 5
