@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontamination, exact, katz, licences, packing, pii, quality, sharding, simhash, toxicity
+from assayloom.llm import decontamination, exact, katz, licences, packing, pii, quality, sharding, simhash, toxicity, winnowing
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -112,6 +112,25 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, whose second half is the beginning of the next document."""
+    found = winnowing.winnow_with_next(_read(spark, folder, "documents"), carry=["doc_id"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
+    found = found.withColumn("edited", edited)
+    found = found.withColumn("edited_fingerprint", winnowing.fingerprint(F.col("edited")))
+    own, changed = F.col("fingerprint"), F.col("edited_fingerprint")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.written(own).alias("fingerprint"),
+        winnowing.written(changed).alias("edited_fingerprint"),
+        winnowing.likeness(own, changed).alias("near_edited"),
+        winnowing.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_near_duplicates": op2_near_duplicates,
@@ -123,6 +142,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_winnowing": op11_winnowing,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
