@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontamination, exact, katz, licences, packing, pii, quality, sharding, simhash, toxicity, winnowing
+from assayloom.llm import (
+    conversations,
+    decontamination,
+    exact,
+    katz,
+    licences,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+    winnowing,
+)
+from assayloom.llm.rows import folded, text_of
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -131,6 +146,49 @@ def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Code points that a word has at least, and how often it has to occur.
+_LEAST_LETTERS, _LEAST_COUNT, _MISSPELT = 7, 2, 31
+
+
+def misspelt_words(docs: DataFrame) -> DataFrame:
+    """``word, n``: the words of whole texts, one in 31 occurrences without one of its letters, as their id and spelling decide.
+
+    Null texts have no words; a null id counts as an empty one.
+    """
+    letters = F.lit(r"[A-Za-z\u00C0-\u00FF]{" + f"{_LEAST_LETTERS},}}")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(text_of("text"), letters, F.lit(0))).alias("run"))
+    runs = runs.select("doc_id", folded(F.col("run")).alias("run"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")
+    hashed = runs.select("run", F.crc32(key.cast("binary")).alias("hash"))
+    place = (F.col("hash") % F.length("run")).cast("int")
+    shorter = F.concat(F.left("run", place), F.substring("run", place + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("hash") % _MISSPELT == 0, shorter).otherwise(F.col("run")).alias("word"))
+    counted = words.where(F.length("word") >= _LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= _LEAST_COUNT)
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word with the more frequent word that it is a variant of."""
+    return spelling.group_variants(misspelt_words(_read(spark, folder, "documents")))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows with faults, as a checksum of conversation and turn decides: dropped, emptied, unpunctuated, repeated, another role."""
+    written = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(written("conv_id"), F.lit(":"), written("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(written("text"), ".!?", "")).otherwise(written("text"))
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    role = F.when(kind == 4, "user").otherwise(written("role"))
+    damaged = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind != 0).alias("present"), copies)
+    return damaged.drop("col")
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every damaged conversation with its faults and its repair."""
+    turns = damaged_turns(_read(spark, folder, "conversations"))
+    return conversations.repair_conversations(turns, present="present").withColumnRenamed("conversation", "conv_id")
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_near_duplicates": op2_near_duplicates,
@@ -143,6 +201,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "op11_winnowing": op11_winnowing,
+    "op12_spelling": op12_spelling,
+    "op13_conversations": op13_conversations,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
