@@ -163,13 +163,13 @@ def bucket_sql(value: str, buckets: int) -> str:
     return f"(('0x' || substr(md5({value}), 1, 8))::BIGINT % {buckets})"
 
 
-def _bits_sql(source: str, key: str) -> str:
+def bits_sql(source: str, key: str, width: int = 2048) -> str:
     """Key, tokens and sorted fingerprint bits of each text."""
     grams = """list_distinct(toks
           || list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])
           || list_transform(range(1, len(toks) - 1), lambda i: toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2]))"""
     return f"""
-        SELECT {key}, toks, list_sort(list_distinct(list_transform({grams}, lambda g: {bucket_sql("g", 2048)}))) AS bits
+        SELECT {key}, toks, list_sort(list_distinct(list_transform({grams}, lambda g: {bucket_sql("g", width)}))) AS bits
         FROM (SELECT {key}, {TOKENS_SQL} AS toks FROM {source})"""
 
 
@@ -208,15 +208,15 @@ ORACLE = {
         UNION ALL SELECT doc_id, 0, md5('') FROM documents WHERE len({TOKENS_SQL}) = 0""",
     "fingerprints": f"""
         SELECT doc_id, len(bits)::INT AS bits_set, md5(array_to_string(bits, ' ')) AS bits_digest
-        FROM ({_bits_sql("documents", "doc_id")})""",
+        FROM ({bits_sql("documents", "doc_id")})""",
     "usable_fingerprints": f"""
         SELECT doc_id, lang, len(bits)::INT AS bits_set
-        FROM ({_bits_sql("documents", "doc_id")}) JOIN documents USING (doc_id) WHERE len(toks) >= 8""",
+        FROM ({bits_sql("documents", "doc_id")}) JOIN documents USING (doc_id) WHERE len(toks) >= 8""",
     "stacked_batches": f"""
         SELECT 'documents' AS batch, doc_id AS row_key, len(bits)::INT AS bits_set
-        FROM ({_bits_sql("documents", "doc_id")}) UNION ALL
+        FROM ({bits_sql("documents", "doc_id")}) UNION ALL
         SELECT 'benchmark' AS batch, item_id AS row_key, len(bits)::INT AS bits_set
-        FROM ({_bits_sql("benchmark", "item_id")})""",
+        FROM ({bits_sql("benchmark", "item_id")})""",
     "first_positions": "SELECT vec_id, " + ", ".join(
         f"round(embedding[{i + 1}]::DOUBLE, 6) AS v{i}" for i in range(8)
     ) + " FROM embeddings",

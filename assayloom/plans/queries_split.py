@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.functions import text
 from assayloom.operators.alignment import aligned_join, aligned_rows, alignment_report, keep_surviving
+from assayloom.operators.similarity import similar_pairs, similarity_groups, similarity_split
 from assayloom.operators.split import (
     bundle_splits,
     group_sizes,
@@ -14,6 +16,7 @@ from assayloom.operators.split import (
     rank_in_size_class,
     split_sizes,
 )
+from assayloom.plans.queries_features import bits_sql
 from assayloom.sinks.files import write_by_split
 from assayloom.sources.files import read_vectors
 from assayloom.sources.tables import table
@@ -103,7 +106,35 @@ def surviving_labels(spark: SparkSession, sf: str) -> DataFrame:
     return keep_surviving(table(spark, sf, "labels"), survivors, "doc_id")
 
 
+#: Width of the fingerprints that similarity is measured on, so wide that few grams of long texts share a bit, and the threshold.
+SIMILARITY_BITS, SIMILARITY = 1 << 20, 0.7
+
+
+def _document_bits(spark: SparkSession, sf: str) -> DataFrame:
+    bits = text.fingerprint(text.tokens(F.col("text")), SIMILARITY_BITS)
+    return stage(table(spark, sf, "documents").select("doc_id", bits.alias("bits")), "document-bits")
+
+
+def similar_document_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different fingerprints that are similar, each named by its first document."""
+    pairs = similar_pairs(_document_bits(spark, sf), "doc_id", "bits", SIMILARITY)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the first one of its group of similar documents."""
+    return similarity_groups(_document_bits(spark, sf), "doc_id", "bits", SIMILARITY)
+
+
+def similar_documents_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, valid and test without similar documents in different parts."""
+    return similarity_split(_document_bits(spark, sf), "doc_id", "bits", SIMILARITY)
+
+
 QUERIES = {
+    "similar_document_pairs": similar_document_pairs,
+    "similar_documents": similar_documents,
+    "similar_documents_split": similar_documents_split,
     "orders_split": orders_split,
     "conversations_split": conversations_split,
     "orders_without_customers_split": orders_without_customers_split,
@@ -146,7 +177,26 @@ def split_sql(source: str, group: str, order: str, out: str) -> str:
 _ORDERS_OUT = "SELECT o_orderkey, o_custkey, split FROM orders JOIN assigned ON grp = o_custkey"
 _ORDERS_SPLIT = split_sql("orders", "o_custkey", "o_orderkey", _ORDERS_OUT)
 
+# All pairs that share a bit, and groups by walking links to their ends.
+_SIMILAR = f"""
+        f AS ({bits_sql("documents", "doc_id", SIMILARITY_BITS)}),
+        s AS (SELECT bits, min(doc_id) AS rep FROM f GROUP BY bits),
+        e AS (SELECT rep, unnest(bits) AS bit FROM s),
+        c AS (SELECT x.rep AS a, y.rep AS b, count(*) AS n FROM e x JOIN e y ON x.bit = y.bit AND x.rep < y.rep GROUP BY ALL),
+        l AS (SELECT a, b, n / (len(p.bits) + len(q.bits) - n) AS similarity
+              FROM c JOIN s p ON p.rep = a JOIN s q ON q.rep = b WHERE n >= {SIMILARITY} * (len(p.bits) + len(q.bits) - n))"""
+_GROUPED = f"""{_SIMILAR},
+        two AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT rep AS node, rep AS root FROM s UNION SELECT two.b, root FROM reach JOIN two ON two.a = node),
+        grouped AS (SELECT doc_id, "group" FROM f JOIN s USING (bits)
+                    JOIN (SELECT node, min(root) AS "group" FROM reach GROUP BY node) ON node = rep)"""
+
 ORACLE = {
+    "similar_document_pairs": f"WITH {_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM l",
+    "similar_documents": f"""WITH RECURSIVE {_GROUPED} SELECT doc_id, "group" FROM grouped""",
+    "similar_documents_split": f"WITH RECURSIVE {_GROUPED}," + split_sql(
+        "grouped", '"group"', "doc_id", 'SELECT doc_id, "group", split FROM grouped JOIN assigned ON grp = "group"'
+    ).replace("WITH RECURSIVE", "", 1),
     "orders_split": _ORDERS_SPLIT,
     "conversations_split": split_sql(
         "conversations",
