@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import finite
-from assayloom.operators.ordered import rows_at_ranks
+from assayloom.operators.order_statistics import quantiles
 from assayloom.staging import stage
 
 
@@ -90,21 +90,11 @@ def report_lines(df: DataFrame) -> DataFrame:
 
 
 def quartiles(df: DataFrame, column: str, rows: int) -> tuple[float, float]:
-    """Exact linearly interpolated first and third quartile of ``rows`` present values.
-
-    The built-in exact percentile gathers every distinct value in one place. Here equal values are counted first, so a value
-    that fills a third of the table is one row, and at most four ranks are looked up.
-    """
-    places = [(rows - 1) * q for q in (0.25, 0.75)]
-    ranks = sorted({int(p) + step for p in places for step in (1, 2) if int(p) + step <= rows})
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    held = rows_at_ranks(stage(values, "value-counts"), [], [column], ranks, "_n")
-    found = {r["rank"]: r[column] for r in held.select("rank", column).collect()}
-    between = []
-    for p in places:
-        low = found[int(p) + 1]
-        between.append(low + (found.get(int(p) + 2, low) - low) * (p - int(p)))
-    return between[0], between[1]
+    """Exact linearly interpolated first and third quartile of ``rows`` present values, by two scans."""
+    found, quarters, _ = quantiles(df, column, (0.25, 0.75))
+    if found != rows:
+        raise ValueError(f"{found} values, not {rows}")
+    return quarters[0], quarters[1]
 
 
 def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
@@ -119,14 +109,16 @@ def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     """Equal-width histogram ``bin, bins, low, high, count`` of the filled bins among ``bins``, the last one closed.
 
-    Values that are not finite have no bin. The result follows the data, however far an outlier lies.
+    Values that are not finite have no bin. The result follows the data, however far an outlier lies. The table is read three times,
+    with exact quartiles from two of them: stage it first if it is dear to compute.
     """
-    spark, df = df.sparkSession, stage(df.select(finite(F.col(column)).alias(column)), "values")
-    n, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
+    spark, df = df.sparkSession, df.select(finite(F.col(column)).alias(column))
+    ends = [F.min(column).alias("low"), F.max(column).alias("high")]
+    n, quarters, (low, high) = quantiles(df, column, [0.25, 0.75] if bins is None else [], ends)
     if n == 0:
         return spark.createDataFrame([], "bin long, bins long, low double, high double, count long")
     if bins is None:
-        bins = bin_count(n, low, high, *quartiles(df, column, n))
+        bins = bin_count(n, low, high, *quarters)
     width = (high - low) / bins or 1.0
     place = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     counts = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
