@@ -8,10 +8,10 @@ count is dropped, and every conditional distribution sums to one over all known
 
 Texts are read once. Every task codes its tokens, in chunks, by the chunk's own dictionary and keeps the codes. Per chunk and
 hash bucket it *asks* for the counts of its distinct words, later of its distinct pairs and of what it needs of their histories.
-A bucket adds up what all chunks sent (the count table, partitioned by bucket) and *answers* every chunk in the order it asked.
-So counting and looking up move distinct entries per chunk instead of tokens, and no word, pair or history is ever hot. Requests
-stream through a bucket's task, which holds its distinct entries only. The driver holds numbers per bucket and per count, no
-words.
+A bucket adds up what all chunks sent (the count table, partitioned by bucket) and *answers* every chunk in the order it asked, in
+one task and from one exchange. So counting and looking up move distinct entries per chunk instead of tokens, and no word, pair or
+history is ever hot. A bucket's task holds its distinct entries and its requests as they came, compressed; buckets are sized by the
+text. The driver holds numbers per bucket and per count, no words.
 """
 
 from __future__ import annotations
@@ -170,20 +170,31 @@ class _Totals:
         self.waiting, self.size = [], 0
 
 
-_TABLE = "bucket int, entries binary, n binary, note binary, types long, own long, below long, small array<long>"
+_TABLE = (
+    "chunk long, bucket int, entries binary, n binary, note binary, types long, own long, below long, small array<long>"
+)
 
 
 def count_table(asked: DataFrame, least: int | None = None) -> DataFrame:
-    """Per bucket all entries that any chunk asked for, their training counts ``n`` (0 for unseen ones is left out) and notes.
+    """Per bucket all entries that any chunk asked for, with their training counts ``n`` and notes, and the answers to all chunks.
+
+    A row without a chunk is a part of the table. Entries without a count are left out. The note is the one the entry came with or,
+    given ``least``, its rank among the bucket's entries with that count, -1 for the others. Beside them stand how many entries
+    there are, how many have that count, what the others count together, and how many entries have count 1, 2, ...
 
-    The note is the one the entry came with or, given ``least``, its rank among the bucket's entries with that count, -1 for
-    the others. Beside them stand how many entries there are, how many have that count, what the others count together, and
-    how many entries have count 1, 2, ... A bucket's requests, which grow with the chunks, pass by in order; only its distinct
-    entries are held.
+    A row with a chunk answers its request: counts in the order asked, 0 where there are none, and given ``least`` the notes
+    too. So a request is exchanged once for counting and answering. While a bucket is counted its task holds what was asked in
+    the compressed form that it came in, which is bounded by the bucket's share of the text, and the distinct entries.
     """
-    names = ["bucket", "entries", "counts", *(["notes"] if least is None else [])]
+    names = ["chunk", "bucket", "entries", "counts", *(["notes"] if least is None else [])]
+    fields = [f.split()[0] for f in _TABLE.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 3, pa.list_(pa.int64())]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
 
-    def settled(bucket: int, totals: _Totals) -> pa.RecordBatch:
+    def settled(bucket: int, totals: _Totals, requests: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         totals.settle()
         own = totals.n >= (least or 0)
         notes = totals.notes if least is None else np.where(own, np.cumsum(own) - 1, -1)
@@ -193,28 +204,43 @@ def count_table(asked: DataFrame, least: int | None = None) -> DataFrame:
             n, mine = totals.n[part], own[part]
             small = np.bincount(n[n <= MOST_DISCOUNTED + 1], minlength=MOST_DISCOUNTED + 2)[1:].tolist()
             blobs = squeezed_steps(totals.found[part]), squeezed(n), squeezed(notes[part])
-            rows.append((bucket, *blobs, len(n), int(mine.sum()), int(n[~mine].sum()), small))
-        columns = zip(*rows) if rows else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
-
-    fields = [f.split()[0] for f in _TABLE.split(", ")]
-    kinds = [pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 3, pa.list_(pa.int64())]
+            rows.append((None, bucket, *blobs, len(n), int(mine.sum()), int(n[~mine].sum()), small))
+        yield packed(rows)
+        known = np.append(totals.found, np.uint64(0))
+        held = [np.append(c, 0) for c in ((totals.n,) if least is None else (totals.n, notes))]
+        for start in range(0, len(requests), REQUESTS):
+            rows = []
+            for chunk, blob in requests[start : start + REQUESTS]:
+                entries = climbed(blob)
+                at = np.searchsorted(known[:-1], entries)
+                seen = known[at] == entries
+                values = [squeezed(np.where(seen, value[at], 0)) for value in held]
+                rows.append((chunk, bucket, None, *values, *[None] * (6 - len(values))))
+            yield packed(rows)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, totals = None, _Totals()
+        current, totals, requests = None, _Totals(), []
         for batch in batches:
-            for bucket, entries, counts, *notes in zip(*[whole(batch, c) for c in names]):
+            for chunk, bucket, entries, counts, *notes in zip(*[whole(batch, c) for c in names]):
                 if bucket != current:
                     if current is not None:
-                        yield settled(current, totals)
-                    current, totals = bucket, _Totals()
+                        yield from settled(current, totals, requests)
+                    current, totals, requests = bucket, _Totals(), []
                 n = spread_out(counts, np.int64)
                 totals.add(climbed(entries), n, spread_out(notes[0], np.int64) if notes else np.zeros_like(n))
+                requests.append((chunk, entries))
         if current is not None:
-            yield settled(current, totals)
+            yield from settled(current, totals, requests)
 
     together = asked.select(*names).repartition("bucket").sortWithinPartitions("bucket")
-    return map_batches(together, _TABLE, add)
+    return map_batches(together, _TABLE, add, REQUESTS)
+
+
+def counted(asked: DataFrame, label: str, least: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The staged table of :func:`count_table`, and its answers: ``chunk, bucket, n`` and, given ``least``, ``note``."""
+    both = stage(count_table(asked, least), label)
+    values = ["n"] if least is None else ["n", "note"]
+    return both.where("chunk IS NULL").drop("chunk"), both.where("chunk IS NOT NULL").select("chunk", "bucket", *values)
 
 
 def answers(asked: DataFrame, table: DataFrame, *values: str, read: Callable[[bytes], np.ndarray] = climbed) -> DataFrame:
@@ -547,19 +573,17 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabu
     tokens = everything.agg(F.sum("train_tokens")).first()[0] or 0
 
     least = least_count(tokens, vocabulary)
-    words = stage(count_table(asked, least), "word-counts")
+    words, replies = counted(asked, "word-counts", least)
     lower = lower_order(words, tokens, least, bits)
-    replies = stage(answers(asked, words, "n", "note"), "word-answers")
     texts = everything.where(F.col("codes").isNotNull()).select("chunk", "keys", "sizes", "trains", "codes")
     texts = texts.join(by_chunk(replies, "words"), "chunk")
 
-    pairs_asked = stage(ask_pairs(texts, lower, bits), "pairs-asked")
-    pairs = stage(count_table(pairs_asked), "pair-counts")
+    pairs, pair_replies = counted(ask_pairs(texts, lower, bits), "pair-counts")
     factor = discounts(_counts_of_counts(pairs))
     weights = stage(histories(pairs, lower, factor), "histories")
     higher = higher_order(weights, lower, factor)
     ranks = replies.select("chunk", "bucket", F.col("note").alias("entries"))
-    full = texts.join(by_chunk(answers(pairs_asked, pairs, "n"), "pairs"), "chunk")
+    full = texts.join(by_chunk(pair_replies, "pairs"), "chunk")
     full = full.join(by_chunk(answers(ranks, weights, "scale", "backoff", read=_ranks), "histories"), "chunk")
     return _score_chunks(full, lower, higher, bits).select(
         F.col("key").alias(key),
