@@ -27,6 +27,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
+def token_places(token_array: Column) -> Column:
+    """``array<struct<token, places>>``: each different token with the places where it stands, from 0.
+
+    Tokens are sorted with their places, and every run of equal ones is cut out; so a text of n tokens takes n log n steps.
+    """
+
+    def runs(pairs: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(pairs) - 1),
+            lambda i: (i == 0) | (F.get(pairs, i)["token"] != F.get(pairs, i - 1)["token"]),
+        )
+        return bound(F.array_append(starts, F.size(pairs)), lambda ends: cut(pairs, ends))
+
+    def cut(pairs: Column, ends: Column) -> Column:
+        def one(n: Column) -> Column:
+            at = F.get(ends, n)
+            places = F.transform(F.slice(pairs, at + 1, F.get(ends, n + 1) - at), lambda p: p["place"])
+            return F.struct(F.get(pairs, at)["token"].alias("token"), places.alias("places"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(ends) - 2), one)
+
+    pairs = F.array_sort(F.transform(token_array, lambda t, i: F.struct(t.alias("token"), i.alias("place"))))
+    return bound(pairs, lambda p: F.when(F.size(p) > 0, runs(p)).otherwise(F.array().cast("array<struct<token:string,places:array<int>>>")))
+
+
 def truncated(sequence: Column, length: int = MAX_TOKENS) -> Column:
     return F.slice(sequence, 1, length)
 

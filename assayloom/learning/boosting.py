@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -95,7 +96,10 @@ def best_round(losses: list[float], patience: int) -> int:
 
 
 def first_rounds(model: Any, rounds: int) -> Any:
-    """The model of the first ``rounds``: the same trees and weights, without a second fit."""
+    """The model of the first ``rounds``: the same trees and weights, without a second fit.
+
+    Raises AttributeError or TypeError where the session has no classic models to take apart (see :func:`fit_with_stopping`).
+    """
     whole, spark_jvm = model._java_obj, SparkSession.active()._jvm
     parts = [model.uid, whole.trees()[:rounds], whole.treeWeights()[:rounds], model.numFeatures]
     if isinstance(model, GBTRegressionModel):
@@ -155,7 +159,11 @@ def fit_with_stopping(
         losses += each(valid, "squared") if isinstance(model, GBTRegressionModel) else each(valid)
     rounds = best_round(losses, patience)
     if rounds < model.getNumTrees:
-        model = first_rounds(model, rounds)
+        try:
+            model = first_rounds(model, rounds)
+        except (AttributeError, TypeError, Py4JError):
+            # Another Spark version or a remote session: the same seed grows the same first trees.
+            model = make(params, rounds=rounds).fit(train)
     return Fit(model, rounds, losses)
 
 

@@ -63,8 +63,12 @@ VECTOR_SPACE = (
 
 
 def uniform_draw(trial: Column, name: str, seed: int) -> Column:
-    """A number in [0, 1) that depends on trial, parameter and seed only, not on partitions or row order."""
-    return F.shiftrightunsigned(F.xxhash64(trial, F.lit(name), F.lit(seed)), 11) * F.lit(2.0**-53)
+    """A number in [0, 1) that depends on trial, parameter and seed only, not on partitions or row order.
+
+    It is made of the first 52 bits of an MD5 digest, so other engines draw the same trials.
+    """
+    digest = F.md5(F.concat_ws("|", trial.cast("string"), F.lit(name), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") * F.lit(2.0**-52)
 
 
 def draw_trials(spark: SparkSession, space: Sequence[Whole | Real], n: int, seed: int) -> DataFrame:

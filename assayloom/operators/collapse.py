@@ -24,13 +24,23 @@ def collapse_duplicates(
     ``order`` has to be unique per row. Equal (key, value) pairs are counted first and the middle ranks come from
     range-partitioned chunks, so a key of any size is spread over tasks; there is one path for every size.
     """
+    counted = stage(value_counts(df, keys, value, first, order), "value-counts")
+    return collapse_counts(counted, keys, value, first)
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, first: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``keys, _value, _weight, _first``: rows per key and value, and the order and ``first`` columns of their first row.
+
+    Counts of several tables add up: group their union again, sum the weights and take the least ``_first``.
+    """
     rows = df.select(
         *keys, F.col(value).alias("_value"), F.struct(*order, *[c for c in first if c not in order]).alias("_first")
     )
-    counted = stage(
-        rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_weight"), F.min("_first").alias("_first")),
-        "value-counts",
-    )
+    return rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_weight"), F.min("_first").alias("_first"))
+
+
+def collapse_counts(counted: DataFrame, keys: Sequence[str], value: str, first: Sequence[str]) -> DataFrame:
+    """:func:`collapse_duplicates` from staged :func:`value_counts`."""
     per_key = counted.groupBy(*keys).agg(
         F.sum("_weight").alias("n"),
         F.sum(F.when(F.col("_value").isNotNull(), F.col("_weight"))).alias("_valued"),

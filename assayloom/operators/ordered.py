@@ -86,6 +86,30 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: M
     return joined.withColumns(added).drop(_CHUNK, *[f"_before_{name}" for name in outputs])
 
 
+def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Add per key ``row``, from 1, and ``best``: the largest ``value`` up to the row as ``(value, back)``, where ``back`` is minus
+    the first row that has it; null until there is a value.
+
+    Row numbers and maxima come from the same chunks: a chunk's maximum is placed by its own row numbers, and moved by the rows before
+    the chunk.
+    """
+    inside = [*keys, _CHUNK]
+    rows = _chunked(df, keys, order).withColumn("_row", F.row_number().over(Window.partitionBy(*inside).orderBy(*sort_columns(order))))
+    mark = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("value"), (-F.col("_row")).cast("long").alias("back")))
+    marked = rows.withColumn("_mark", mark)
+    totals = marked.groupBy(*inside).agg(F.count(F.lit(1)).alias("_rows"), F.max("_mark").alias("_top"))
+    earlier = _window(keys, [_CHUNK], -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    moved = lambda top: F.when(top.isNotNull(), F.struct(top["value"], (top["back"] - F.col("_before")).alias("back")))
+    placed = totals.withColumn("_before", before).withColumn("_top", moved(F.col("_top")))
+    offsets = placed.select(*inside, "_before", F.max("_top").over(earlier).alias("_best"))
+    found = marked.withColumn("_mark", F.max("_mark").over(_window(inside, order)))
+    joined = join_null_safe(found, offsets, inside)
+    best = F.greatest(F.col("_best"), moved(F.col("_mark")))
+    added = joined.withColumns({"row": F.col("_before") + F.col("_row"), "best": best})
+    return added.drop(_CHUNK, "_row", "_mark", "_before", "_best")
+
+
 def previous_values(df: DataFrame, order: Sequence[str], outputs: Mapping[str, str]) -> DataFrame:
     """Add, for every row of the whole ordered table, a column's value in the row before it (ascending order only)."""
     rows = _chunked(df, [], order)

@@ -38,13 +38,18 @@ def rank_in_size_class(groups: DataFrame, group: str) -> DataFrame:
     return running(one, ["size"], order, {"class_rank": ("sum", "_one")}).drop("_one")
 
 
-def fill_by_size(histogram: Iterable[tuple[int, int]], shares: Sequence[int] = SHARES) -> list[tuple[int, int, int, int]]:
-    """``(size, groups, to_train, to_valid)`` per size class from ``(size, groups)`` pairs."""
+def fill_by_size(
+    histogram: Iterable[tuple[int, int]], shares: Sequence[int] = SHARES, held: tuple[int, int, int] = (0, 0, 0)
+) -> list[tuple[int, int, int, int]]:
+    """``(size, groups, to_train, to_valid)`` per size class from ``(size, groups)`` pairs.
+
+    ``held`` counts rows that are in train, valid and test already; they take their room first.
+    """
     classes = sorted(histogram, reverse=True)
-    rows = sum(size * groups for size, groups in classes)
+    rows = sum(size * groups for size, groups in classes) + sum(held)
     train_room = rows * shares[0] // sum(shares)
     both_room = rows * (shares[0] + shares[1]) // sum(shares)
-    train = valid = 0
+    train, valid = held[:2]
     filled = []
     for size, groups in classes:
         to_train = min(groups, max(0, (train_room - train) // size))
@@ -60,10 +65,11 @@ def assign_groups(
     group: str,
     histogram: Sequence[tuple[int, int]],
     shares: Sequence[int] = SHARES,
+    held: tuple[int, int, int] = (0, 0, 0),
 ) -> DataFrame:
-    """Add ``split`` to a staged table of group sizes whose ``(size, groups)`` histogram is given."""
+    """Add ``split`` to a staged table of group sizes whose ``(size, groups)`` histogram is given; see :func:`fill_by_size`."""
     spark = groups.sparkSession
-    filled = fill_by_size(histogram, shares)
+    filled = fill_by_size(histogram, shares, held)
     # Classes that are cut inside: look up the last group on the near side of each cut.
     cuts = [(size, [r for r in sorted({a, a + b}) if 0 < r < n]) for size, n, a, b in filled]
     cuts = [(size, ranks) for size, ranks in cuts if ranks]

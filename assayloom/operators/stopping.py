@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.ordered import join_null_safe, running
+from assayloom.operators.ordered import join_null_safe, running, running_best
 from assayloom.staging import stage
 
 #: Running maxima that one run may hold in one row; longer runs are followed by joins.
@@ -39,6 +39,9 @@ def improvements(
     sizes = records.groupBy(run).agg((F.count(F.lit(1)) > held_records).alias("_long"))
     sized = join_null_safe(records, sizes, [run])
     short = _folded(sized.where(~F.col("_long")).drop("_long"), run, gap)
+    # Most logs have no long run; following none would only cost its joins.
+    if not sizes.where("_long").limit(1).count():
+        return short
     return short.unionByName(_followed(stage(sized.where("_long").drop("_long"), "long-runs"), run, gap))
 
 
@@ -108,14 +111,12 @@ def _stops_without_gap(
     log: DataFrame, run: str, order: list[str], patience: int, most_epochs: int | None
 ) -> DataFrame:
     """Running maxima and one aggregate: no run has to fit one task."""
-    numbered = running(log, [run], order, {"epoch": ("sum", "_one")})
-    # The largest (value, -epoch) so far is the best value at its first epoch, which is the last improvement.
-    mark = F.when(F.col("_value").isNotNull(), F.struct("_value", (-F.col("epoch")).alias("_back")))
-    rows = running(numbered.withColumn("_mark", mark), [run], order, {"_top": ("max", "_mark")})
+    # The best value so far at its first epoch is the last improvement.
+    rows = running_best(log, [run], order, "_value").withColumn("epoch", F.col("row"))
     if most_epochs is not None:
         rows = rows.where(F.col("epoch") <= most_epochs)
-    last = F.coalesce(-F.col("_top._back"), F.lit(0))
-    at = F.struct(last.alias("epoch"), F.col("_top._value").alias("value"))
+    last = F.coalesce(-F.col("best.back"), F.lit(0))
+    at = F.struct(last.alias("epoch"), F.col("best.value").alias("value"))
     here = F.struct(F.col("epoch").alias("now"), at.alias("at"))
     merged = rows.groupBy(run).agg(
         F.count(F.lit(1)).alias("epochs"),

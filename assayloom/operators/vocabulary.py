@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.text import RESERVED_IDS, UNKNOWN_ID, tokens, truncated
+from assayloom.functions.text import RESERVED_IDS, UNKNOWN_ID, token_places, tokens, truncated
 from assayloom.operators.ordered import running
 from assayloom.operators.spread import HOT_ROWS, hot_keys, spread_join
 from assayloom.staging import stage
@@ -34,15 +34,18 @@ def encode_tokens(
 ) -> DataFrame:
     """``key, ids``: vocabulary ids of all tokens of each whole text; tokens it lacks get the unknown id.
 
-    ``length`` cuts texts for a model whose window ends there. The lookup is a join with frequent tokens spread; Spark decides
-    by size whether it broadcasts. The regrouping shuffles ids, not text. ``key`` is unique.
+    ``length`` cuts texts for a model whose window ends there. Each text sends its different tokens, with their places, once; the
+    lookup is a join with frequent tokens spread (Spark decides by size whether it broadcasts), and ids and places, no text, are
+    brought together again. ``key`` is unique.
     """
     window = tokens(F.col(text)) if length is None else truncated(tokens(F.col(text)), length)
-    # A text without tokens keeps one row with a null place; its stand-in token holds a space, so it is no word.
-    placed = df.select(key, F.posexplode_outer(window).alias("_place", "token"))
-    placed = placed.withColumn("token", F.coalesce("token", F.lit(" ")))
+    # A text without tokens keeps one row without places; its stand-in token holds a space, so it is no word.
+    placed = df.select(key, F.explode_outer(token_places(window)).alias("_token"))
+    token = F.coalesce("_token.token", F.lit(" ")).alias("token")
+    placed = stage(placed.select(key, token, F.col("_token.places").alias("_places")), "token-places")
     ids = vocabulary.select("token", "token_id")
-    found = spread_join(placed, ids, ["token"], [key, "_place"], hot_keys(placed, ["token"], hot_rows), "left")
-    pair = F.struct("_place", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), pair)))
-    return found.groupBy(key).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))
+    found = spread_join(placed, ids, ["token"], [key], hot_keys(placed, ["token"], hot_rows), "left")
+    id_ = F.coalesce("token_id", F.lit(UNKNOWN_ID))
+    pairs = F.transform("_places", lambda p: F.struct(p.alias("place"), id_.alias("id")))
+    gathered = F.array_sort(F.flatten(F.collect_list(pairs)))
+    return found.groupBy(key).agg(F.transform(gathered, lambda p: p["id"]).alias("ids"))

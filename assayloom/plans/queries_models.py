@@ -14,6 +14,7 @@ from assayloom.functions.requests import HIGH_RISK, LOW_RISK
 from assayloom.functions.text import canonical_key, tokens
 from assayloom.learning import boosting, search
 from assayloom.learning.encoding import encode_texts, hashed_direction_encoder
+from assayloom.learning.halving import LOGISTIC, Search
 from assayloom.learning.features import with_fingerprint_vector
 from assayloom.operators.split import group_split
 from assayloom.plans.queries_evaluation import rounded
@@ -125,6 +126,33 @@ def one_feature(spark: SparkSession, sf: str) -> DataFrame:
     return boosting.with_vector(stage(group_split(source, "vec_id", ["vec_id"]), "one-feature"))
 
 
+STOPPED = {"n_estimators": 12, "max_depth": 1, "learning_rate": 0.7}
+
+
+def stopped_class_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation loss of every round of a classifier on the one feature, and whether the stopped model kept the round."""
+    rows = one_feature(spark, sf)
+    train, valid = (rows.where(F.col("split") == s) for s in ("train", "valid"))
+    train = boosting.in_fixed_order(train, "vec_id")
+    fit = boosting.fit_with_stopping(boosting.classifier, STOPPED, train, valid, patience=3)
+    kept = [(i, round(loss, 6), i <= fit.rounds) for i, loss in enumerate(fit.losses, start=1)]
+    return spark.createDataFrame(kept, "round int, validation_loss double, kept boolean")
+
+
+HALVING_SPACE = (search.Whole("n_estimators", 3, 9), search.Real("learning_rate", 0.02, 0.9, log=True), search.Whole("max_depth", 1, 2))
+
+
+def halving_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of eight trials on the one feature: drawn parameters, rounds and loss of each rung, and who went on."""
+    found = Search(one_feature(spark, sf), LOGISTIC, "vec_id", fresh_path(spark, "halving"), HALVING_SPACE, 8, first_rounds=2)
+    params = F.from_json("params", "n_estimators int, learning_rate double, max_depth int")
+    ledger = found.run().withColumn("params", params)
+    return ledger.select(
+        "trial", "rung", "rounds", "params.n_estimators", F.round("params.learning_rate", 6).alias("learning_rate"),
+        "params.max_depth", F.round("score", 6).alias("score"), "kept",
+    )
+
+
 def split_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out predictions of the regressor: the means of the two sides of the training rows."""
     predictions, _ = train_and_evaluate(one_feature(spark, sf), REGRESSION, ONE_SPLIT, "vec_id")
@@ -266,6 +294,8 @@ QUERIES = {
     "request_scores": request_scores,
     "score_errors": score_errors,
     "stream_score_errors": stream_score_errors,
+    "stopped_class_rounds": stopped_class_rounds,
+    "halving_ledger": halving_ledger,
     "split_predictions": split_predictions,
     "split_metrics": split_metrics,
     "split_classes": split_classes,
@@ -292,19 +322,64 @@ def _sides(query: str) -> str:
     return split_sql("embeddings", "vec_id", "vec_id", f"{_SIDES} {query}")
 
 
+# Boosting on the one feature: each side's margin goes on by its mean gradient; one row per trial, round and side.
+_BOOSTED = """, m AS (SELECT split, label >= 5 AS f, label IN (4, 5, 6, 8, 9) AS c FROM embeddings JOIN assigned ON grp = vec_id),
+    k AS (SELECT f, avg(c::INT) AS p FROM m WHERE split = 'train' GROUP BY f),
+    b AS (SELECT trial, rate, most, 1 AS round, f, p, 2 * p - 1 AS margin FROM k, trials
+          UNION ALL SELECT trial, rate, most, round + 1, f, p,
+            margin + rate * (p * 4 / (1 + exp(2 * margin)) - (1 - p) * 4 / (1 + exp(-2 * margin))) FROM b WHERE round < most),
+    v AS (SELECT f, count(*) FILTER (c) AS yes, count(*) FILTER (NOT c) AS no FROM m WHERE split = 'valid' GROUP BY f),
+    s AS (SELECT trial, round, sum(2 * (yes * ln(1 + exp(-2 * margin)) + no * ln(1 + exp(2 * margin)))) / sum(yes + no) AS score
+          FROM b JOIN v USING (f) GROUP BY ALL)"""
+
+
+def _boosted(trials: str, query: str) -> str:
+    return split_sql("embeddings", "vec_id", "vec_id", f", trials AS ({trials}){_BOOSTED} {query}")
+
+
+def _drawn(name: str) -> str:
+    """The uniform number of a trial ``i`` with seed 42."""
+    return f"(('0x' || substr(md5(i || '|{name}|42'), 1, 13))::BIGINT / pow(2, 52))"
+
+
 _ANSWERS = _sides(f"""
     SELECT vec_id, yhat = 1 AS is_toxic, round(p, 4) AS confidence_score,
            CASE WHEN yhat = 1 THEN '{HIGH_RISK}' ELSE '{LOW_RISK}' END AS warning,
            round(y_pred, 4) AS predicted, 'success' AS status FROM t""")
 
-_SUMS = ", ".join(
+SUMS_SQL = ", ".join(
     f"(coalesce(list_sum(list_transform(ids, lambda i: instr('0123456789abcdef', substr(md5(i::VARCHAR), {d + 1}, 1)) - 9)), 0))::BIGINT AS s{d}"
     for d in range(4)
 )
 
 ORACLE: dict[str, str] = {
+    # A round is kept up to the first lowest loss that three rounds in a row do not beat.
+    "stopped_class_rounds": _boosted(
+        f"SELECT 0 AS trial, {STOPPED['learning_rate']} AS rate, {STOPPED['n_estimators']} AS most",
+        """, l AS (SELECT round, score, min(score) OVER w AS low, lead(score, 3) OVER (ORDER BY round) IS NOT NULL
+                     AND min(score) OVER (ORDER BY round ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) >= score AS ends
+               FROM s WINDOW w AS (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        r AS (SELECT min(round) FILTER (ends) AS stop, arg_min(round, (score, round)) AS best
+              FROM l WHERE low IS NULL OR score < low)
+        SELECT round::INT AS round, round(score, 6) AS validation_loss, round <= (SELECT coalesce(stop, best) FROM r) AS kept
+        FROM s"""),
+    "halving_ledger": _boosted(
+        f"""SELECT i AS trial, exp(ln(0.02) + {_drawn('learning_rate')} * (ln(0.9) - ln(0.02))) AS rate,
+                   (3 + floor({_drawn('n_estimators')} * 7))::INT AS most, (1 + floor({_drawn('max_depth')} * 2))::INT AS depth
+            FROM range(8) t(i)""",
+        """, rungs AS (SELECT trial, rung, least(2 * pow(2, rung), most)::INT AS rounds FROM trials, range(4) g(rung)),
+        c AS (SELECT trial, rung, rounds, score FROM rungs JOIN s USING (trial) WHERE s.round = rounds),
+        r0 AS (SELECT *, row_number() OVER (ORDER BY score, trial) <= 4 AS kept FROM c WHERE rung = 0),
+        r1 AS (SELECT c.*, row_number() OVER (ORDER BY c.score, trial) <= 2 AS kept
+               FROM c JOIN r0 USING (trial) WHERE r0.kept AND c.rung = 1),
+        r2 AS (SELECT c.*, row_number() OVER (ORDER BY c.score, trial) <= 1 AS kept
+               FROM c JOIN r1 USING (trial) WHERE r1.kept AND c.rung = 2),
+        r3 AS (SELECT c.*, true AS kept FROM c JOIN r2 USING (trial) WHERE r2.kept AND c.rung = 3)
+        SELECT trial, rung::INT AS rung, rounds, most AS n_estimators, round(rate, 6) AS learning_rate, depth AS max_depth,
+               round(score, 6) AS score, kept
+        FROM (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2 UNION ALL FROM r3) JOIN trials USING (trial)"""),
     "encoded_sums": f"""
-        SELECT doc_id, len(ids)::INT AS length, {_SUMS}
+        SELECT doc_id, len(ids)::INT AS length, {SUMS_SQL}
         FROM (SELECT doc_id, list_transform({TOKENS_SQL}, lambda t: {bucket_sql("t", 4094)} + 2) AS ids FROM documents)""",
     "score_errors": _ERRORS,
     "stream_score_errors": _ERRORS,
