@@ -86,22 +86,23 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: use(v))[0]
 
 
-def _runs(token_array: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens in order."""
-    count = F.size(token_array)
-    starts = F.sequence(F.lit(0), count - F.lit(n))
-    joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(token_array, i + F.lit(k)) for k in range(n)]))
-    return F.when(count >= n, joined).otherwise(F.array().cast("array<string>"))
+def _gram_buckets(token_array: Column, bits: int, longest: int) -> Column:
+    """The bucket of every run of 1 to ``longest`` tokens. Runs grow token by token; only one length is held as text at a time."""
 
+    def level(runs: Column, n: int) -> Column:
+        here = F.transform(F.array_distinct(runs) if n == 1 else runs, lambda g: hash_bucket(g, bits))
+        if n == longest:
+            return here
+        count = F.greatest(F.size(token_array) - F.lit(n), F.lit(0))
+        longer = F.zip_with(F.slice(runs, 1, count), F.slice(token_array, n + 1, count), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(here, bound(longer, lambda r: level(r, n + 1)))
 
-def grams(token_array: Column, longest: int = FINGERPRINT_GRAM) -> Column:
-    """Distinct runs of 1 to ``longest`` neighbouring tokens, joined by single spaces."""
-    return bound(token_array, lambda t: F.array_distinct(F.concat(t, *[_runs(t, n) for n in range(2, longest + 1)])))
+    return level(token_array, 1)
 
 
 def fingerprint(token_array: Column, bits: int = FINGERPRINT_BITS, longest: int = FINGERPRINT_GRAM) -> Column:
     """Sorted positions of the bits set by the hashed token runs: a sparse 0/1 vector of width ``bits``."""
-    return F.sort_array(F.array_distinct(F.transform(grams(token_array, longest), lambda g: hash_bucket(g, bits))))
+    return F.sort_array(F.array_distinct(bound(token_array, lambda t: _gram_buckets(t, bits, longest))))
 
 
 def usable_fingerprint(token_array: Column, least_tokens: int = 1, bits: int = FINGERPRINT_BITS) -> Column:
