@@ -1,9 +1,10 @@
 """Exact duplicates by counting quotient filters, with the suspects compared byte by byte.
 
 A 64-bit fingerprint of the normalised text splits into a quotient (its leading bits, the block) and a remainder. Every
-task builds the filter of its own rows: per block the sorted remainders with their counts. Filters of one block merge
-without loss by merging the sorted remainders and adding the counts. A fingerprint with count 1 proves its row unique; all
-others go to the byte comparison, which groups by the normalised text itself.
+task builds filters of its own rows: per block the sorted remainders, as many bytes wide as the quotient leaves, and a counter of
+one byte each; counts that don't fit stand in an overflow list. Filters of one block merge without loss by merging the sorted
+remainders and adding the counts. A fingerprint with count 1 proves its row unique; all others go to the byte comparison, which
+groups by the normalised text itself.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from assayloom.staging import stage
 
 #: Fingerprints per block of the filter, on average. It bounds a block's memory, not what is counted.
 BLOCK_FINGERPRINTS = 16_384
+#: Different fingerprints that a task holds; beyond, it gives out the filter that it has and begins another.
+HELD_FINGERPRINTS = 4_000_000
+_FULL = 255
 #: The routing table has 2**27 bits in rows of 32,768: at most 4,096 rows and 16 MB, however many fingerprints repeat.
 ROUTE_BITS = 27
 _ROW_BITS = 15
@@ -37,13 +41,12 @@ def _quotients(fingerprints: np.ndarray, quotient_bits: int) -> np.ndarray:
 
 
 def partition_filters(rows: DataFrame, fingerprint: str, quotient_bits: int) -> DataFrame:
-    """One row per task and block: sorted remainders (kept with their quotient, as 64-bit values) and counts."""
+    """Rows of a task's filters, one per block: sorted remainders, their counters, and the counts that overflow them.
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            held = merge_sorted([held, (values, np.ones(len(values), np.int64))])
+    Batches wait until they are as many as what is held, so a task takes n log n steps; it holds ``HELD_FINGERPRINTS`` at most.
+    """
+
+    def given(held: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, counts = held
         if not len(keys):
             return
@@ -51,17 +54,51 @@ def partition_filters(rows: DataFrame, fingerprint: str, quotient_bits: int) ->
         ends = np.append(starts[1:], len(keys))
         for i in range(0, len(blocks), 1024):
             part = slice(i, i + 1024)
-            pieces = list(zip(starts[part], ends[part]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(blocks[part]),
-                    pa.array([keys[a:b].tobytes() for a, b in pieces], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in pieces], pa.binary()),
-                ],
-                names=["block", "remainders", "counts"],
-            )
+            packed = zip(*[pack(keys[a:b], counts[a:b], quotient_bits) for a, b in zip(starts[part], ends[part])])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[part]), *[pa.array(c, pa.binary()) for c in packed]], names=_FILTER)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, size = (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            waiting.append((values, np.ones(len(values), np.int64)))
+            size += len(values)
+            if size > max(len(held[0]), 1 << 16):
+                held, waiting, size = merge_sorted([held, *waiting]), [], 0
+                if len(held[0]) > HELD_FINGERPRINTS:
+                    yield from given(held)
+                    held = held[0][:0], held[1][:0]
+        yield from given(merge_sorted([held, *waiting]))
+
+    kinds = "block long, remainders binary, counters binary, overflow binary"
+    return map_batches(rows.select(fingerprint), kinds, build)
+
+
+_FILTER = ["block", "remainders", "counters", "overflow"]
+
+
+def _width(quotient_bits: int) -> int:
+    """Bytes of a remainder."""
+    return -(-(64 - quotient_bits) // 8)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray, quotient_bits: int) -> tuple[bytes, bytes, bytes]:
+    """Sorted fingerprints of one quotient as remainders, counters and the counts from ``_FULL`` on, in order."""
+    remainders = keys & np.uint64((1 << (64 - quotient_bits)) - 1)
+    cut = np.ascontiguousarray(remainders).view(np.uint8).reshape(-1, 8)[:, : _width(quotient_bits)]
+    return cut.tobytes(), np.minimum(counts, _FULL).astype(np.uint8).tobytes(), counts[counts >= _FULL].tobytes()
+
 
-    return map_batches(rows.select(fingerprint), "block long, remainders binary, counts binary", build)
+def unpack(block: int, remainders: bytes, counters: bytes, overflow: bytes, quotient_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.frombuffer(remainders, np.uint8).reshape(-1, _width(quotient_bits))
+    wide = np.zeros((len(cut), 8), np.uint8)
+    wide[:, : cut.shape[1]] = cut
+    keys = wide.view(np.uint64).ravel()
+    if quotient_bits:
+        keys = keys | np.uint64(block << (64 - quotient_bits))
+    counts = np.frombuffer(counters, np.uint8).astype(np.int64)
+    counts[counts == _FULL] = np.frombuffer(overflow, np.int64)
+    return keys, counts
 
 
 def merge_sorted(filters: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +113,12 @@ def merge_sorted(filters: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def merged_filters(filters: DataFrame) -> DataFrame:
+def merged_filters(filters: DataFrame, quotient_bits: int) -> DataFrame:
     """Every fingerprint with its count over all tasks."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = merge_sorted(
-            [
-                (np.frombuffer(r, np.uint64), np.frombuffer(c, np.int64))
-                for r, c in zip(group["remainders"], group["counts"])
-            ]
-        )
+        rows = zip(*[group[c] for c in _FILTER])
+        keys, counts = merge_sorted([unpack(*row, quotient_bits) for row in rows])
         return pd.DataFrame({"fingerprint": keys.view(np.int64), "n": counts})
 
     return filters.groupBy("block").applyInPandas(merge, "fingerprint long, n long")
@@ -129,7 +162,7 @@ def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ri
         "exact-rows",
     )
     quotient_bits = min(24, max(0, (table.count() // BLOCK_FINGERPRINTS).bit_length()))
-    merged = merged_filters(partition_filters(table, "fingerprint", quotient_bits))
+    merged = merged_filters(partition_filters(table, "fingerprint", quotient_bits), quotient_bits)
     repeated = stage(merged.where("n > 1").select("fingerprint"), "repeated-fingerprints")
 
     # Rows whose leading bits no repeated fingerprint has are proven unique and never shuffle their text.
