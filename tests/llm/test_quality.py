@@ -67,3 +67,13 @@ def test_training_rows_are_bounded_and_outside_the_fold(spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     rows = training_rows(docs, labels, "quality", 5, 0, 100)
     assert rows.count() == 100 and rows.where(fold(F.col("key"), 5) == 0).count() == 0
+
+
+def test_training_rows_are_one_per_id_and_bounded_in_bytes(spark):
+    docs = spark.range(20_000).selectExpr("id % 50 AS doc_id", "concat('text ', id % 3) AS text")
+    labels = spark.range(50).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = training_rows(docs, labels, "quality", 5, 0, 100).collect()
+    again = training_rows(docs.repartition(7), labels, "quality", 5, 0, 100).collect()
+    assert len(rows) == len({r["key"] for r in rows}) <= 50 and sorted(rows) == sorted(again)
+    few = training_rows(docs, labels, "quality", 5, 0, 100, most_bytes=30).collect()
+    assert len(few) == 5 and set(few) < set(rows)
