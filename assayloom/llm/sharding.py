@@ -6,8 +6,8 @@ row of the matrix; the rows themselves are exchanged by target; every target per
 out where its target lies. The result is a uniform permutation of all rows.
 
 The matrix is never built. A binary tree over the partitions splits the target counts at every node with a seeded draw, and a
-partition finds its own row by walking down the tree. A shard of more than ``BLOCK_ROWS`` rows is several targets, so no task
-holds a whole shard. The driver sees one number per partition, as the scheduler does anyway.
+partition finds its own row by walking down the tree. A shard of more than ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` of text is
+several targets, so no task holds a whole shard. The driver sees one number per partition, as the scheduler does anyway.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from assayloom.llm.rows import boxed, numbered
 
 SHARDS = 40
 BLOCK_ROWS = 1_000_000
+#: Bytes of text in a target, about: rows are dealt at random, so targets of a shard hold nearly equal bytes.
+BLOCK_BYTES = 128 << 20
 SEED = 20_240_611
 _PART_BITS = 33
 _NUMPY_MOST = 999_999_999
@@ -76,20 +78,25 @@ def target_sizes(rows: int, shards: int, blocks: int) -> np.ndarray:
     return np.array(sizes, np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def shuffle_into_shards(
+    df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """``row`` (the input row as a struct), ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard).
 
     Shard sizes are at most one row apart. Repeated rows, nulls and empty texts are rows like any other; fewer rows than
     shards leave some shards empty; an empty table gives an empty result. Given the partitions of ``df``, the same seed gives
     the same result.
     """
-    table = numbered(boxed(df), "to-shard").withColumn("part", F.shiftright("rid", _PART_BITS))
-    sizes = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    length = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    bytes_ = sum(length, F.lit(16)).cast("long")
+    table = numbered(boxed(df, bytes=bytes_), "to-shard").withColumn("part", F.shiftright("rid", _PART_BITS))
+    counts = table.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()
+    sizes, size = {r["part"]: r["n"] for r in counts}, sum(r["bytes"] for r in counts)
     starts = [0]
     for part in range(max(sizes, default=-1) + 1):
         starts.append(starts[-1] + sizes.get(part, 0))
     rows = starts[-1]
-    blocks = max(1, -(-(-(-rows // shards)) // block_rows))
+    blocks = max(1, -(-(-(-rows // shards)) // block_rows), -(-size // (shards * block_bytes)))
     targets = target_sizes(rows, shards, blocks)
     shared = df.sparkSession.sparkContext.broadcast((starts, targets))
 
