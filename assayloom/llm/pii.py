@@ -127,17 +127,38 @@ _CHECKS = {"ip": valid_ip, "card": valid_card, "phone": valid_phone}
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 
 
+def valid_spans(kind: str) -> Column:
+    """The matches of a base kind that pass its check, in order of their starts."""
+    check = _CHECKS.get(kind)
+    return F.filter(kind, lambda s: check(s["match"])) if check else F.col(kind)
+
+
 def base_spans() -> Column:
-    """``array<struct<rank, start, stop>>`` of the four base kinds, by kind and start, from the columns named like them."""
+    """``array<struct<rank, start, stop>>`` of the four base kinds, by kind and start, from columns ``valid_`` and the kind."""
 
     def of_kind(kind: str) -> Column:
-        check, rank = _CHECKS.get(kind), F.lit(KINDS.index(kind))
-        kept = F.filter(kind, lambda s: check(s["match"])) if check else F.col(kind)
-        return F.transform(kept, lambda s: F.struct(rank.alias("rank"), s["start"].alias("start"), s["stop"].alias("stop")))
+        rank = F.lit(KINDS.index(kind))
+        return F.transform(f"valid_{kind}", lambda s: F.struct(rank.alias("rank"), s["start"].alias("start"), s["stop"].alias("stop")))
 
     return F.concat(*map(of_kind, _PATTERNS))
 
 
+def _overlapped(spans: Column, start: Column, stop: Column) -> Column:
+    """Whether a place meets one of the spans, which don't overlap and are in order: halving finds the last that begins before its end."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["low"] + span["high"] + 1, 1)
+        begins = F.get(spans, middle)["start"] < stop
+        return F.struct(
+            F.when(begins, middle).otherwise(span["low"]).alias("low"), F.when(begins, span["high"]).otherwise(middle - 1).alias("high")
+        )
+
+    whole = F.struct(F.lit(-1).alias("low"), (F.size(spans) - 1).alias("high"))
+    last = F.aggregate(steps, whole, halve, lambda span: F.get(spans, span["low"])["stop"])
+    return F.when(F.size(spans) > 0, F.coalesce(last > start, F.lit(False))).otherwise(False)
+
+
 def candidate_tokens() -> Column:
     """Tokens with a digit and six or more characters, trimmed of marks, with their contexts and the kind they are known as."""
 
@@ -150,7 +171,8 @@ def candidate_tokens() -> Column:
         two = F.regexp_extract(words, r"(\S++)\s++(\S++)\s++$", 1)
         one = F.regexp_extract(words, r"(\S++)\s++$", 1)
         mark = F.right(opening, F.lit(4))
-        known = F.get(F.filter("base", lambda b: (b["start"] < stop) & (start < b["stop"])), 0)["rank"]
+        met = [F.when(_overlapped(F.col(f"valid_{k}"), start, stop), F.lit(KINDS.index(k))) for k in _PATTERNS]
+        known = F.coalesce(*met)
         return F.struct(
             start.alias("start"),
             stop.alias("stop"),
@@ -212,7 +234,8 @@ def find_personal_data(
     """
     source = boxed(docs, carry, text=text_of(f"`{text}`"))
     found = spans_of(source, "text", _PATTERNS | {"token": _TOKEN})
-    found = found.withColumn("base", base_spans()).withColumn("tokens", candidate_tokens())
+    found = found.withColumns({f"valid_{k}": valid_spans(k) for k in _PATTERNS})
+    found = found.withColumns({"base": base_spans(), "tokens": candidate_tokens()})
     found = stage(found.select("row", F.xxhash64("text", F.length("text")).alias("place"), "base", "tokens"), "personal-data")
     tokens = found.where(F.size("tokens") > 0).select("place", F.explode("tokens").alias("t")).select("place", "t.*")
     patterns = pattern_scores(tokens, rounds).where(F.greatest(*_names("s")) >= LEAST_SCORE)

@@ -93,3 +93,35 @@ def test_copies_do_not_make_a_pattern(spark):
     text = f'set tok = "{"ab" * 20}"'
     docs = spark.createDataFrame([(i, text) for i in range(100)] + [(1000, 'set tok = "other-1-form"')], "doc_id long, text string")
     assert pii.find_personal_data(docs).where(F.size("spans") > 0).count() == 0
+
+
+def test_thousands_of_spans_in_one_text_stay_cheap(spark):
+    """A log of 1 MB: every line has an address and a token of another form; each token looks its spans up by halving."""
+    import time
+
+    def seconds(lines):
+        text = "".join(f"from 10.{i % 250}.{i // 250 % 250}.7 to a{i}@b.cd as x{i:07d} {'ok ' * 8}\n" for i in range(lines))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = pii.find_personal_data(docs).first()
+        assert len(row["base"]) == 2 * lines and all(s["start"] < s["stop"] for s in row["base"])
+        return time.perf_counter() - start, len(text)
+
+    seconds(10)
+    few, _ = seconds(2_000)
+    many, size = seconds(16_000)
+    assert size > 1_000_000 and many < 16 * few + 20
+
+
+def test_tokens_meet_the_kind_that_they_overlap(spark):
+    text = "a1@b.cd 4111111111111111 x +1 (415) 555-2671 10.0.0.1 abc123def 99 y1234567"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    kinds = pii.spans_of(docs, "text", pii._PATTERNS | {"token": pii._TOKEN})
+    kinds = kinds.withColumns({f"valid_{k}": pii.valid_spans(k) for k in PLAIN}).withColumns({"base": pii.base_spans(), "tokens": pii.candidate_tokens()})
+    row = kinds.select("base", "tokens").first()
+    wanted = {}
+    for t in row["tokens"]:
+        met = [b["rank"] for b in row["base"] if b["start"] < t["stop"] and t["start"] < b["stop"]]
+        wanted[text[t["start"] : t["stop"]]] = (met[0] if met else None, bool(met))
+        assert (t["rank"], t["in_base"]) == wanted[text[t["start"] : t["stop"]]]
+    assert wanted["a1@b.cd"] == (0, True) and wanted["abc123def"] == (None, False) and len(wanted) >= 5
