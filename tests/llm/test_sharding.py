@@ -96,3 +96,14 @@ def test_rows_lie_in_their_shard(spark):
     check(rows, 5)
     assert all(r["text"] == f"text {r['id']}" for r in rows)
     assert len({(r["shard"], r["part"]) for r in rows}) == 5
+
+
+def test_long_texts_make_more_targets_and_the_same_sizes(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "repeat('x', cast(id % 50 AS int)) AS text")
+    rows = sharding.shuffle_into_shards(docs, shards=7, block_bytes=2_000).select("row.doc_id", "shard", "slot").collect()
+    assert len({r["doc_id"] for r in rows}) == 3_000
+    for shard in range(7):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots))) and len(slots) in (428, 429)
+    first = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))][:428]
+    assert 1_000 < sum(first) / len(first) < 2_000
