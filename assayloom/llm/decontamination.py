@@ -74,15 +74,15 @@ def matches(automaton: ahocorasick.Automaton, words: str) -> tuple[list[tuple[in
 
 
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
-    """The ranges as code points of the original text."""
+    """The ranges as code points of the original text, with their number of words."""
     if not ranges:
         return []
     places = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
-    return [{"start": places[a][0], "stop": places[b - 1][1]} for a, b in ranges]
+    return [{"start": places[a][0], "stop": places[b - 1][1], "words": b - a} for a, b in ranges]
 
 
 _RANGES = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))
 
 
 def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +103,7 @@ def scan_block(
     first = "ranges" not in docs.columns
     row = StructType().add(docs.schema["row"])
     if last:
-        span = StructType().add("start", LongType()).add("stop", LongType())
+        span = StructType().add("start", LongType()).add("stop", LongType()).add("words", LongType())
         schema = row.add("n_words", LongType()).add("n_hit", LongType())
         schema = schema.add("items", ArrayType(StringType())).add("spans", ArrayType(span))
     else:
@@ -157,7 +157,8 @@ def find_contamination(
     carry: Sequence[str] | None = None,
     spans: bool = True,
 ) -> DataFrame:
-    """``row`` (the input row, or its ``carry`` columns), ``n_words``, ``n_hit``, ``items`` (sorted), ``spans`` of the original.
+    """``row`` (the input row, or its ``carry`` columns), ``n_words``, ``n_hit``, ``items`` (sorted), ``spans`` of the original
+    (start, stop, words).
 
     Null and empty texts have no words; null or wordless items have no window; an empty benchmark matches nothing; an empty
     table gives an empty result; repeated rows are judged one by one. A word covered by several occurrences counts once.

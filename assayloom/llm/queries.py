@@ -36,7 +36,8 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside benchmark windows."""
     docs, benchmark = _read(spark, folder, "documents"), _read(spark, folder, "benchmark")
-    found = decontamination.find_contamination(docs, benchmark, carry=["doc_id"], spans=False)
+    found = decontamination.find_contamination(docs, benchmark, carry=["doc_id"])
+    found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["words"]))
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         "n_words",
@@ -73,12 +74,13 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document."""
     docs = _read(spark, folder, "documents")
     model = toxicity.fit_toxicity(docs, _read(spark, folder, "labels"))
-    scored = toxicity.score_toxicity(docs, model, carry=["doc_id"], clauses=False)
+    scored = toxicity.score_toxicity(docs, model, carry=["doc_id"])
     return scored.select(
         F.col("row.doc_id").alias("doc_id"),
         toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("clauses").cast("long").alias("n_clauses"),
     )
 
 

@@ -48,6 +48,7 @@ def test_odd_rows(spark, odd, none, most):
         assert r["items"] == brute(r["row"]["text"], known)[2]
         for span in r["spans"]:
             piece = r["row"]["text"][span["start"] : span["stop"]]
-            assert brute(piece, ITEMS)[1] == len(words(piece))
+            assert brute(piece, ITEMS)[1] == len(words(piece)) == span["words"]
+        assert sum(span["words"] for span in r["spans"]) == n_hit
     assert decontamination.find_contamination(none, items).count() == 0
     assert {r["n_hit"] for r in decontamination.find_contamination(odd, items.limit(0)).collect()} == {0}
