@@ -47,7 +47,7 @@ def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), spans=False)
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     clean: Column = ~decontamination.contaminated()
     return found.where(clean).select("row.*")
 
