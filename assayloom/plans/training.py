@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.vectors import positive_probability
-from assayloom.learning import boosting, search
+from assayloom.learning import boosting, halving, search
 from assayloom.learning.encoding import Encoder, encode_texts
 from assayloom.operators.classification import classification_metrics, roc_auc
 from assayloom.operators.regression import regression_metrics, with_residuals
@@ -109,6 +109,30 @@ def tune(
     return ledger
 
 
+def tune_by_halving(
+    rows: DataFrame,
+    task: Task,
+    key: str,
+    path: str,
+    space: Sequence[search.Whole | search.Real] = search.VECTOR_SPACE,
+    n_trials: int = TRIALS,
+    seed: int = boosting.SEED,
+    first_rounds: int = halving.FIRST_ROUNDS,
+    parallelism: int = 2,
+) -> DataFrame:
+    """Like :func:`tune`, by successive halving on the validation loss: the ledger with who went on at each rung.
+
+    State, trees and ledger stand below ``path``, the winner's parameters in its folder ``best``. Called again with the same path, a
+    search that broke off goes on with the trials and rungs that are missing.
+    """
+    loss = halving.LOGISTIC if task is CLASSIFICATION else halving.SQUARED
+    found = halving.Search(rows, loss, key, path, space, n_trials, seed, first_rounds, parallelism=parallelism)
+    ledger = found.run()
+    _, params, _ = found.winner()
+    write_parameters(rows.sparkSession, f"{path}/best", params)
+    return ledger
+
+
 def train_and_evaluate(
     rows: DataFrame,
     task: Task,

@@ -7,6 +7,8 @@ from assayloom.learning import boosting, halving
 from assayloom.learning.halving import LOGISTIC, SQUARED, Search, grow
 from assayloom.learning.search import Real, Whole
 from assayloom.plans import queries_models as Q
+from assayloom.plans.training import REGRESSION, tune_by_halving
+from assayloom.sources.files import read_parameters
 
 SPACE = (Whole("n_estimators", 3, 6), Whole("max_depth", 1, 3), Real("learning_rate", 0.05, 0.5, log=True), Real("subsample", 0.6, 1.0))
 
@@ -77,3 +79,12 @@ def test_refused_settings_and_no_ledger(rows, tmp_path):
     assert empty.ledger().count() == 0
     with pytest.raises(ValueError):
         Search(rows, SQUARED, "vec_id", f"{tmp_path}/none", SPACE, 3, kept_one_in=1)
+
+
+def test_the_winner_is_written(spark, rows, tmp_path):
+    ledger = tune_by_halving(rows, REGRESSION, "vec_id", f"{tmp_path}/s", SPACE, 2, first_rounds=1).collect()
+    won = [json.loads(r["params"]) for r in ledger if r["rung"] == 1 and r["kept"]]
+    saved = read_parameters(spark, f"{tmp_path}/s/best", {})
+    assert len(won) == 1 and saved == pytest.approx(won[0])
+    mean = rows.where("split = 'valid'").agg(F.stddev_pop("y")).first()[0]
+    assert min(r["score"] for r in ledger) < mean * 1.05
