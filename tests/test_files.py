@@ -65,6 +65,35 @@ def test_staging_uses_the_shared_folder(spark):
     assert shared_folder(spark) in staged.inputFiles()[0]
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_a_cluster_stages_in_a_plain_folder_that_is_shared(spark, tmp_path, monkeypatch, named):
+    from assayloom import staging
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(spark.sparkContext, "setCheckpointDir", lambda folder: None)
+    monkeypatch.setattr(staging, "_SHARED", set())
+    conf = {"spark.checkpoint.dir": f"{tmp_path}/shared" if named else None, "spark.sql.warehouse.dir": f"file:{tmp_path}/warehouse"}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, default=None: conf.get(name, default))
+    staged = stage(spark.range(5), "numbers")
+    assert staged.count() == 5
+    assert (f"{tmp_path}/shared/" if named else f"{tmp_path}/warehouse/_assayloom/") in staged.inputFiles()[0]
+    assert len(staging._SHARED) == 1
+
+
+def test_a_cluster_refuses_a_folder_of_each_machine(spark, tmp_path, monkeypatch):
+    """A driver that finds none of the tasks' files."""
+    from pyspark.sql import DataFrameReader
+
+    from assayloom import staging
+
+    reader = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, path: reader(self, path).limit(0))
+    with pytest.raises(RuntimeError, match="folder of each machine"):
+        staging._require_shared(spark, f"{tmp_path}/own")
+    assert (spark.sparkContext.applicationId, f"{tmp_path}/own") not in staging._SHARED
+
+
 def test_staged_tables_can_be_dropped(spark, tmp_path):
     from assayloom.staging import drop_staged, fresh_path, stage
 
