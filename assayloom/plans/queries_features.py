@@ -53,14 +53,14 @@ def document_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    bits = text.fingerprint(text.tokens(F.col("text")))
+    bits = text.text_fingerprint(F.col("text"))
     documents = texts(spark, sf, "documents", "doc_id").select("doc_id", bits.alias("bits"))
     return documents.select("doc_id", F.size("bits").alias("bits_set"), F.md5(joined(F.col("bits"))).alias("bits_digest"))
 
 
 def usable_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with enough tokens for a fingerprint; the label column stays in the row."""
-    bits = text.usable_fingerprint(text.tokens(F.col("text")), LEAST_TOKENS)
+    bits = text.text_fingerprint(F.col("text"), least_tokens=LEAST_TOKENS)
     rows = texts(spark, sf, "documents", "doc_id", "lang").select("doc_id", "lang", bits.alias("features"))
     return rows.where(F.col("features").isNotNull()).select("doc_id", "lang", F.size("features").alias("bits_set"))
 
@@ -69,7 +69,7 @@ def stacked_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint sizes of two text tables stacked into one, each row under its own key."""
 
     def batch(name: str, key: str) -> DataFrame:
-        bits = text.fingerprint(text.tokens(F.col("text")))
+        bits = text.text_fingerprint(F.col("text"))
         return texts(spark, sf, name, key).select(F.lit(name).alias("batch"), F.col(key).alias("row_key"), F.size(bits).alias("bits_set"))
 
     return batch("documents", "doc_id").unionByName(batch("benchmark", "item_id"))

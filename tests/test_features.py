@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayloom.functions import text as T
 from assayloom.functions import vectors as V
 from assayloom.operators.vocabulary import build_vocabulary, encode_tokens
+from assayloom.plans import queries_features as Q
 
 
 @pytest.mark.parametrize("count", [0, 1, 511, 512, 513])
@@ -37,6 +38,37 @@ def test_fingerprint(spark):
         assert r["u"] == (expected if len(r["t"].split()) >= 2 else None)
 
 
+def test_text_fingerprint_is_that_of_the_tokens(spark):
+    texts = [None, "", " \t\n", "One", "a b\x0bc\x0cd\re\x1cf\x85g\xa0h\u2003i", "  ÉCOLE İ ΣΑΣ  日本語 a", "x y " * 500, "\ud7ff \U0001f600 z"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    words = T.tokens(F.col("t"))
+    few = T.text_fingerprint(F.col("t"), least_tokens=3).alias("few")
+    wide = T.text_fingerprint(F.col("t"), 1 << 20).alias("wide")
+    rows = frame.select("t", words.alias("words"), T.fingerprint(words).alias("b"), T.text_fingerprint(F.col("t")).alias("x"), few, wide).collect()
+    for r in rows:
+        expected = None if r["t"] is None else bits(r["words"])
+        assert r["b"] == r["x"] == expected
+        assert r["few"] == (expected if r["words"] and len(r["words"]) >= 3 else None)
+        assert (r["wide"] is None) == (r["t"] is None) and sorted({v % 2048 for v in r["wide"] or []}) == (expected or [])
+
+
+def test_groups_of_rows_do_not_change_fingerprints(monkeypatch):
+    import pyarrow as pa
+
+    draw = random.Random(4)
+    rows = [None if i % 7 == 3 else [f"w{draw.randrange(30)}" for _ in range(draw.randrange(9))] for i in range(60)]
+    for size in (1, 5, 1000):
+        monkeypatch.setattr(T, "TOKENS_AT_ONCE", size)
+        found = T._fingerprints(pa.array(rows, pa.list_(pa.string())).slice(2), 2048, 3, 2).to_pylist()
+        assert found == [bits(r) if r is not None and len(r) > 1 else None for r in rows[2:]]
+
+
+def test_a_usable_fingerprint_is_computed_once(spark, small):
+    """Neither the filter nor the size computes it again."""
+    plan = Q.usable_fingerprints(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1 and "md5(" not in plan
+
+
 @pytest.mark.parametrize("hot_rows", [1000, 20])
 def test_vocabulary_and_ids(spark, hot_rows):
     draw = random.Random(2)
