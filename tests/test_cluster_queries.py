@@ -44,6 +44,7 @@ ROWS = {
 NAMES = [
     "batch_split_sizes",
     "bundled_orders",
+    "capped_patience_stops",
 ]
 
 
