@@ -45,6 +45,7 @@ NAMES = [
     "batch_split_sizes",
     "bundled_orders",
     "capped_patience_stops",
+    "class_predictions",
 ]
 
 
