@@ -46,6 +46,7 @@ NAMES = [
     "bundled_orders",
     "capped_patience_stops",
     "class_predictions",
+    "class_runs_table",
 ]
 
 
