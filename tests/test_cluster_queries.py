@@ -49,6 +49,7 @@ NAMES = [
     "class_runs_table",
     "collapsed_documents",
     "conversations_split",
+    "csv_round_trip",
 ]
 
 
