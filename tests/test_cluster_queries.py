@@ -50,6 +50,7 @@ NAMES = [
     "collapsed_documents",
     "conversations_split",
     "csv_round_trip",
+    "csv_texts",
 ]
 
 
