@@ -51,6 +51,7 @@ NAMES = [
     "conversations_split",
     "csv_round_trip",
     "csv_texts",
+    "cumulative_positives",
 ]
 
 
