@@ -52,6 +52,7 @@ NAMES = [
     "csv_round_trip",
     "csv_texts",
     "cumulative_positives",
+    "document_token_ids",
 ]
 
 
