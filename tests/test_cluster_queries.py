@@ -53,6 +53,7 @@ NAMES = [
     "csv_texts",
     "cumulative_positives",
     "document_token_ids",
+    "curated_in_batches",
 ]
 
 
