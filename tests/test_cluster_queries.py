@@ -54,6 +54,7 @@ NAMES = [
     "cumulative_positives",
     "document_token_ids",
     "curated_in_batches",
+    "curated_prices",
 ]
 
 
