@@ -55,6 +55,7 @@ NAMES = [
     "document_token_ids",
     "curated_in_batches",
     "curated_prices",
+    "dual_scores",
 ]
 
 
