@@ -56,6 +56,7 @@ NAMES = [
     "curated_in_batches",
     "curated_prices",
     "dual_scores",
+    "fingerprint_predictions",
 ]
 
 
