@@ -57,6 +57,7 @@ NAMES = [
     "curated_prices",
     "dual_scores",
     "fingerprint_predictions",
+    "dual_scores_stream",
 ]
 
 
