@@ -58,6 +58,7 @@ NAMES = [
     "dual_scores",
     "fingerprint_predictions",
     "dual_scores_stream",
+    "fetched_splits",
 ]
 
 
