@@ -59,6 +59,7 @@ NAMES = [
     "fingerprint_predictions",
     "dual_scores_stream",
     "fetched_splits",
+    "halving_ledger",
 ]
 
 
