@@ -60,6 +60,7 @@ NAMES = [
     "dual_scores_stream",
     "fetched_splits",
     "halving_ledger",
+    "matrix_columns",
 ]
 
 
