@@ -61,6 +61,7 @@ NAMES = [
     "fetched_splits",
     "halving_ledger",
     "matrix_columns",
+    "label_balance",
 ]
 
 
