@@ -63,6 +63,7 @@ NAMES = [
     "matrix_columns",
     "label_balance",
     "labels_with_documents",
+    "matrix_round_trip",
 ]
 
 
